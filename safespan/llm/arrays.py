@@ -75,12 +75,13 @@ def runs(offsets: np.ndarray, most: int = 4 * BLOCK) -> Iterator[tuple[int, int]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each text, and the n + 1 offsets of the texts in them."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each text, by default [^\\x20\\x09-\\x0D]+, and the n + 1 offsets of the texts in
+    them. apart: for each byte, whether it stands between words."""
     if not len(data):
         empty = np.empty(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~apart[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     ends = solid.copy()
@@ -129,10 +130,10 @@ def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.
         dst = np.repeat(at[full] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
         out[dst] = acc[src]
     for d in np.flatnonzero((counts > 0) & (counts < k)):
-        acc1 = np.uint64(counts[d])
-        for h in hashes[offsets[d] : offsets[d + 1]]:
-            acc1 = acc1 * c + h
-        out[at[d]] = acc1
+        one = int(counts[d])
+        for h in hashes[offsets[d] : offsets[d + 1]].tolist():
+            one = (one * int(c) + h) & 0xFFFFFFFFFFFFFFFF
+        out[at[d]] = one
     return mix64(out), at
 
 

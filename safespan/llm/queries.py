@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safespan.llm import bpe, tokencount, winnow
+from safespan.llm import bpe, decontam, langid, minhash, secrets, suffix, tokencount, toxicity, winnow
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -26,6 +26,54 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare(pairs, "text", {"edited": ("near_edited", "edited_fingerprint"), "next_text": ("near_next", None)})
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    counts = [F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("secrets", secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined("secrets", secrets.KINDS).alias("spans"))
+
+
+def held_out(n: int, rest: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n == rest
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out(3, 1)))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    kept = suffix.cut(docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("repeats").cast("long").alias("n_spans"), "repeats"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    machine = toxicity.fit(docs.where(~held_out(4, 2)).join(F.broadcast(sampled(labels.where(~held_out(4, 2)))), "doc_id"))
+    found = toxicity.score(docs, machine)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.FLAG).cast("int").alias("predicted"))
+
+
+def sampled(labels: DataFrame) -> DataFrame:
+    """About toxicity.SAMPLE labels, as many as fitting uses, those of the least key hashes, before any text is read."""
+    n = labels.count()
+    if n <= toxicity.SAMPLE:
+        return labels
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * toxicity.SAMPLE / n))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,8 +91,34 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_minhash": op2_minhash,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_language": op4_language,
+    "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)] END) AS sh
+  FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, o.b FROM reach r JOIN both_ways o ON o.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
+FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES}
