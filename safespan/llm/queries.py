@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safespan.llm import bpe, decontam, langid, minhash, secrets, suffix, tokencount, toxicity, winnow
+from safespan.llm import bpe, decontam, kneser, langid, minhash, secrets, suffix, tokencount, toxicity, winnow
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -58,6 +58,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kneser.judge(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe": op7_bpe,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
