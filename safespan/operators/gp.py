@@ -61,7 +61,7 @@ def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: i
     mean, std = (np.array([row[f"{c}_{k}"] for c in features]) for k in ("mean", "std"))
     points = df.select(*features).distinct().orderBy(F.xxhash64(*features)).limit(inducing).collect()
     z = (np.array([[p[c] for c in features] for p in points], float) - mean) / std
-    schema = "length double, part int, sums array<double>"
+    schema = "length double, part long, sums array<double>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(z)
