@@ -10,6 +10,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -146,3 +149,29 @@ def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows:
                 yield from make(batch.slice(at, rows))
 
     return run
+
+
+def _recoded(df: DataFrame, columns: list[str], kind: T.DataType, change: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    schema = T.StructType([T.StructField(f.name, kind, f.nullable) if f.name in columns else f for f in df.schema.fields])
+    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
+
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        one = change()
+        out = []
+        for n, c in zip(batch.schema.names, batch.columns, strict=True):
+            if n in columns:
+                c = pa.array([None if x is None else one(x) for x in c.cast(pa.binary()).to_pylist()], pa.binary()).cast(arrow)
+            out.append(c)
+        yield pa.RecordBatch.from_arrays(out, batch.schema.names)
+
+    return df.mapInArrow(per_batch(make), schema)
+
+
+def pack(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the text columns as zstandard frames (binary), for shuffles of whole texts. Null stays null."""
+    return _recoded(df, list(columns), T.BinaryType(), lambda: zstandard.ZstdCompressor(level=3).compress)
+
+
+def unpack(df: DataFrame, *columns: str) -> DataFrame:
+    """The reverse of pack."""
+    return _recoded(df, list(columns), T.StringType(), lambda: zstandard.ZstdDecompressor().decompress)

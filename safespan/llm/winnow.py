@@ -129,8 +129,8 @@ def compare(df: DataFrame, text: str, others: dict[str, tuple[str, str | None]],
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "next_text") -> DataFrame:
-    """df with the text of the row that follows in descending order of key (nulls last; rows of equal key by text); the
-    last row is followed by the first.
+    """df with the text (or packed text) of the row that follows in descending order of key (nulls last; rows of equal
+    key by text); the last row is followed by the first.
 
     The rows are dealt over ranges of the key, with bounds from an approximate quantile sketch; each range also gets the
     first row of the range below as a ghost, and looks ahead within itself. So the texts are shuffled once, and no range
@@ -154,7 +154,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
         places = places.when(F.col(key).isin(bounds), F.array(own, place(at + 1, True))).otherwise(F.array(own))
     order = [F.col("_at.ghost"), F.col(key).desc_nulls_last(), F.col(text).asc_nulls_first()]
     dealt = df.withColumn("_at", F.explode(places))
-    ahead = F.lead(F.coalesce(F.col(text), F.lit(""))).over(Window.partitionBy("_at.range").orderBy(*order))
+    ahead = F.lead(text).over(Window.partitionBy("_at.range").orderBy(*order))
     return dealt.withColumn(name, ahead).where(~F.col("_at.ghost")).drop("_at")
 
 
