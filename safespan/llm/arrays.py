@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at a time, so that the working arrays stay small.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -69,7 +69,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - first
 
 
-def runs(offsets: np.ndarray, most: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = 8 * BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `most` bytes at most, or one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -167,6 +167,12 @@ def _recoded(df: DataFrame, columns: list[str], kind: T.DataType, change: Callab
     return df.mapInArrow(per_batch(make), schema)
 
 
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each packed text; null counts as empty."""
+    one = zstandard.ZstdDecompressor().decompress
+    return [one(x) if x is not None else b"" for x in column.to_pylist()]
+
+
 def pack(df: DataFrame, *columns: str) -> DataFrame:
     """df with the text columns as zstandard frames (binary), for shuffles of whole texts. Null stays null."""
     return _recoded(df, list(columns), T.BinaryType(), lambda: zstandard.ZstdCompressor(level=3).compress)

@@ -6,14 +6,16 @@ anchor: its k-gram with the least hash, the rightmost one of several. Equal stri
 only strings that hang on equal anchors need comparing. The strings of one anchor occurrence start side by side and
 together cover its context.
 
-1. Each batch of documents makes its anchor occurrences, with a hash of the k-gram and one of the context, and keeps for
-   each context those of the least document; the others are repeats at once. What is left is dealt out by anchor.
-2. A context that a smaller document has too is a repeat as a whole. The others are passed on only if their anchor has
-   several contexts.
+1. Each batch of documents makes its anchor occurrences, with hashes of the k-gram, of the context and of the SIDE bytes on
+   either side of the k-gram, and keeps for each context those of the least document; the others are repeats at once. What
+   is left is dealt out by anchor.
+2. A context that a smaller document has too is a repeat as a whole. Of the others, two can share a string only if they
+   share the SIDE bytes on one side, as a string has 2 * SIDE bytes besides its k-gram; those that share one with another
+   document are passed on.
 3. The bytes of these contexts meet by anchor. Their suffixes are sorted by mergesort: prefix sums of a polynomial hash
    and a binary search give the common extension of two suffixes in logarithmic steps. Runs of suffixes that share SPAN
    bytes (checked byte by byte against hash collisions) yield the least document of each string. Anchors with more than
-   CROWD contexts are not gathered: their strings are grouped one by one by their own bytes, which finds the same.
+   CROWD such contexts are not gathered: their strings are grouped one by one by their own bytes, which finds the same.
 
 Defined cases: null and empty texts and those below SPAN bytes have no strings; rows without an id neither lose bytes nor
 take them from others; rows of equal id (repeated rows) don't take bytes from each other; texts of any length are worked
@@ -26,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from safespan.llm.arrays import BASE, hash_spans, mix64, per_batch, powers, text_bytes
+from safespan.llm.arrays import BASE, hash_spans, mix64, pack, per_batch, powers, text_bytes, unpacked
 from safespan.session import materialize
 
 SPAN, K = 50, 16
+SIDE = (SPAN - K) // 2
 CROWD = 20_000
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _LOW = (1 << 24) - 1
 _LISTS = T.ArrayType(T.LongType())
 
@@ -50,13 +54,16 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor occurrence: hashes of the k-gram and of the context, the index of the text, and where the first
-    and last string that hang on it start in the text, as first << 12 | (anchor - first) << 6 | (last - first)."""
+    """For each anchor occurrence: hashes of the k-gram (64 bits) and of the context (32), the index of the text, the start
+    of the first string that hangs on it, and its shape: anchor - first and last - first (6 bits each) and hashes of the
+    SIDE bytes before and behind the k-gram (10 bits each, 0 where the text has fewer)."""
     w = SPAN - K + 1
     out = []
     for lo in range(0, max(len(data) - SPAN + 1, 0), _BLOCK):
         m = min(_BLOCK, len(data) - SPAN + 1 - lo)
-        part = data[lo : lo + m + SPAN - 1]
+        pad = min(lo, SIDE)
+        wide = data[lo - pad : lo + m + SPAN - 1 + SIDE]
+        part = wide[pad : pad + m + SPAN - 1]
         grams = _grams(part)
         least = ((grams >> np.uint64(24)) << np.uint64(24)) | (np.uint64(_LOW) - np.arange(len(grams), dtype=np.uint64))
         size = 1
@@ -76,46 +83,74 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         begin = np.flatnonzero(new)
         end = np.concatenate((begin[1:], [len(starts)])) - 1
         a, s, e = at[begin], starts[begin], starts[end]
-        context = mix64(hash_spans(part, s, e + SPAN) + (a - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         doc = np.searchsorted(offsets, s + lo, "right") - 1
-        out.append((grams[a], context, doc, (s + lo - offsets[doc]) << 12 | (a - s) << 6 | (e - s)))
+        context = hash_spans(part, s, e + SPAN) >> np.uint64(32)
+        shape = (a - s).astype(np.uint64) << np.uint64(26) | (e - s).astype(np.uint64) << np.uint64(20)
+        for begin_, bits, there in ((a - SIDE, 10, a + lo - SIDE >= offsets[doc]), (a + K, 0, a + lo + K + SIDE <= offsets[doc + 1])):
+            h = np.zeros(len(a), np.uint64)
+            x = begin_[there] + pad
+            h[there] = hash_spans(wide, x, x + SIDE) % np.uint64(1023) + np.uint64(1)
+            shape |= h << np.uint64(bits)
+        out.append((grams[a], context, doc, s + lo - offsets[doc], shape))
     if not out:
         none = np.empty(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none.view(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _first_of_context(gram, context, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by gram, context and document; where a new context begins; and whether each is of the context's least
-    document."""
-    order = np.lexsort((doc, context, gram))
-    g, c, d = gram[order], context[order], doc[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-    begin = np.flatnonzero(new)
+def _first_of_context(gram, context, shape, doc) -> tuple[np.ndarray, np.ndarray]:
+    """An order by gram, context and document, and whether each is of its context's least document."""
+    same = (gram.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64)
+    order = np.lexsort((doc, shape, same))
+    x, y, d = same[order], shape[order], doc[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
     least = np.repeat(d[begin], np.diff(np.concatenate((begin, [len(d)]))))
-    return order, new, d == least
+    return order, d == least
+
+
+def _met(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each row's key occurs in another document too."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+    size = np.diff(np.concatenate((begin, [len(k)])))
+    out = np.empty(len(k), bool)
+    out[order] = np.repeat(d[begin] != d[begin + size - 1], size)
+    return out
 
 
 def _lists(cuts: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
     at = pa.array(cuts.astype(np.int32))
-    return [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(c).view(np.int64))) for c in columns]
+    return [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(c))) for c in columns]
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate((np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))), [len(x)]))
+
+
+_INTS = T.ArrayType(T.IntegerType())
+_DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("gram", _INTS), T.StructField("context", _INTS), T.StructField("doc", _LISTS), T.StructField("start", _INTS), T.StructField("shape", _INTS)])
+_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", _LISTS), T.StructField("place", _LISTS), T.StructField("gram", _LISTS), T.StructField("crowded", T.BooleanType())])
+
+
+def _ints(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32).view(np.int32)
 
 
-def _by_doc(doc: np.ndarray, place: np.ndarray, gram: np.ndarray | None) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
-    """Rows of (document, its places, their grams), some thousands at a time."""
+def _by_doc(doc: np.ndarray, start: np.ndarray, shape: np.ndarray, gram: np.ndarray | None = None, crowded: bool = False) -> Iterator[pa.RecordBatch]:
+    """_FOUND rows, some thousands at a time. A place is start << 12 | (anchor - first) << 6 | (last - first)."""
     order = np.argsort(doc, kind="stable")
     d = doc[order]
-    cuts = np.concatenate((np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), d[1:] != d[:-1]))), [len(d)]))
+    place = (start.astype(np.int64) << 12 | (shape.astype(np.int64) >> 20))[order]
+    cuts = _cuts(d)
     for i in range(0, len(cuts) - 1, 4000):
         c = cuts[i : i + 4001]
-        part = order[c[0] : c[-1]]
-        grams = gram[part] if gram is not None else np.empty(0, np.int64)
-        yield pa.array(d[c[:-1]]), _lists(c - c[0], place[part])[0], _lists(c - c[0] if gram is not None else np.zeros(len(c)), grams)[0]
-
-
-_DEALT = T.StructType([T.StructField("bucket", T.LongType())] + [T.StructField(n, _LISTS) for n in ("gram", "context", "doc", "place")])
-_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", _LISTS), T.StructField("place", _LISTS), T.StructField("gram", _LISTS)])
+        n, part = len(c) - 1, slice(c[0], c[-1])
+        none = _lists(np.zeros(n + 1), np.empty(0, np.int64))[0]
+        places = _lists(c - c[0], place[part])[0]
+        columns = [places, none, none] if gram is None else [none, places, _lists(c - c[0], gram[order][part].astype(np.int64))[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(d[c[:-1]]), *columns, pa.array([crowded] * n)], _FOUND.names)
 
 
 def _deal(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
@@ -123,62 +158,68 @@ def _deal(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(batch.column(key).is_valid())
-        gram, context, doc, place = anchors(*text_bytes(batch.column(text)))
+        gram, context, doc, start, shape = anchors(*text_bytes(batch.column(text)))
         ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)[doc] if len(doc) else doc
-        order, _, least = _first_of_context(gram, context, ids)
-        for keep, sign in ((order[least], 0), (order[~least], 1)):
+        order, least = _first_of_context(gram >> np.uint64(32), context, shape, ids)
+        for keep, again in ((order[least], False), (order[~least], True)):
             keep = np.sort(keep)  # in the order of the texts, which packs well
             bucket = (gram[keep] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             keep, bucket = keep[by], bucket[by]
-            cuts = np.concatenate((np.flatnonzero(np.concatenate((np.ones(min(1, len(by)), bool), bucket[1:] != bucket[:-1]))), [len(by)]))
-            if len(cuts) > 1:
-                names = bucket[cuts[:-1]] if not sign else -1 - bucket[cuts[:-1]]
-                columns = (gram[keep], context[keep], ids[keep], place[keep]) if not sign else (ids[keep], place[keep])
-                lists = _lists(cuts, *columns)
-                if sign:
-                    empty = pa.nulls(len(names), pa.list_(pa.int64()))
-                    lists = [empty, empty, *lists]
-                yield pa.RecordBatch.from_arrays([pa.array(names), *lists], _DEALT.names)
+            cuts = _cuts(bucket)
+            if len(cuts) == 1:
+                continue
+            doc_, start_, shape_ = _lists(cuts, ids[keep], _ints(start[keep]), _ints(shape[keep]))
+            if again:
+                gram_ = context_ = pa.nulls(len(cuts) - 1, pa.list_(pa.int32()))
+            else:
+                gram_, context_ = _lists(cuts, _ints(gram[keep] >> np.uint64(32)), _ints(context[keep]))
+            names = pa.array(-1 - bucket[cuts[:-1]] if again else bucket[cuts[:-1]])
+            yield pa.RecordBatch.from_arrays([names, gram_, context_, doc_, start_, shape_], _DEALT.names)
 
-    return df.select(key, text).mapInArrow(per_batch(make, 5000), _DEALT)
+    return df.select(key, text).mapInArrow(per_batch(make, 3000), _DEALT)
 
 
-def _settle(dealt: DataFrame, buckets: int) -> DataFrame:
+def _settle(dealt: DataFrame) -> DataFrame:
     """Step 2: places that are repeats as a whole, and places whose strings have yet to be compared."""
 
-    def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        gram, context, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new, least = _first_of_context(gram.view(np.uint64), context.view(np.uint64), doc)
+    def flush(bucket: int, parts: list) -> Iterator[pa.RecordBatch]:
+        gram, context, doc, start, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram, context, shape = (x.view(np.uint32).astype(np.uint64) for x in (gram, context, shape))
+        order, least = _first_of_context(gram, context, shape, doc)
         again = order[~least]
-        for d, whole, none in _by_doc(doc[again], place[again], None):
-            yield pa.RecordBatch.from_arrays([d, whole, none, none], _FOUND.names)
-        g, d = gram[order], doc[order]
-        begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        size = np.diff(np.concatenate((begin, [len(g)])))
-        several = (np.add.reduceat(new.astype(np.int64), begin) > 1) & (np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin))
-        open_ = order[np.repeat(several, size) & least]
-        for d, places, grams in _by_doc(doc[open_], place[open_], gram[open_]):
-            none = pa.array([[]] * len(d), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([d, none, places, grams], _FOUND.names)
+        yield from _by_doc(doc[again], start[again], shape[again])
+        one = order[least]
+        g, d, s = gram[one], doc[one], shape[one]
+        open_ = np.zeros(len(one), bool)
+        for bits in (10, 0):
+            side = (s >> np.uint64(bits)) & np.uint64(1023)
+            has = np.flatnonzero(side)
+            open_[has] |= _met(g[has] << np.uint64(10) | side[has], d[has])
+        one, g = one[open_], g[open_]
+        _, which, count = np.unique(g, return_inverse=True, return_counts=True)
+        crowd = count[which] > CROWD
+        for there in (False, True):
+            x = one[crowd == there]
+            # the bucket tells grams of equal upper halves apart
+            yield from _by_doc(doc[x], start[x], shape[x], gram[x] << np.uint64(24) | np.uint64(bucket & 0xFFFFFF), there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            lists = [batch.column(i) for i in range(1, 5)]
+            lists = [batch.column(i) for i in range(1, 6)]
             for i, bucket in enumerate(batch.column(0).to_pylist()):
                 row = [np.asarray(c[i].values) if c[i].values is not None else None for c in lists]
                 if bucket < 0:
-                    for d, whole, none in _by_doc(row[2], row[3], None):
-                        yield pa.RecordBatch.from_arrays([d, whole, none, none], _FOUND.names)
+                    yield from _by_doc(row[2], row[3], row[4].view(np.uint32))
                     continue
                 if bucket != now and parts:
-                    yield from flush(parts)
+                    yield from flush(now, parts)
                     parts = []
                 now = bucket
                 parts.append(row)
         if parts:
-            yield from flush(parts)
+            yield from flush(now, parts)
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, F.expr("if(bucket < 0, -1 - bucket, bucket)")).sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
@@ -187,21 +228,19 @@ def _settle(dealt: DataFrame, buckets: int) -> DataFrame:
 _CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("place", T.LongType()), T.StructField("bytes", T.BinaryType())])
 
 
-def _contexts(df: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
+def _contexts(packed: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
     """The bytes of the open contexts: the strings of one occurrence, side by side."""
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets = text_bytes(batch.column(text))
         rows: list[tuple[int, int, int, bytes]] = []
-        for i, d in enumerate(batch.column("doc").to_pylist()):
-            for p, g in zip(batch.column("place")[i].as_py(), batch.column("gram")[i].as_py(), strict=True):
-                s = offsets[i] + (p >> 12)
-                rows.append((g, d, p, data[s : s + (p & 63) + SPAN].tobytes()))
+        for d, raw, places_, grams in zip(batch.column("doc").to_pylist(), unpacked(batch.column(text)), batch.column("place"), batch.column("gram"), strict=True):
+            for p, g in zip(places_.as_py(), grams.as_py(), strict=True):
+                rows.append((g, d, p, raw[p >> 12 : (p >> 12) + (p & 63) + SPAN]))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _CONTEXT.names)
 
-    joined = df.select(F.col(key).alias("doc"), text).join(places, "doc")
+    joined = packed.join(places, packed[key] == places["doc"]).select("doc", text, "place", "gram")
     return joined.mapInArrow(per_batch(make, 500), _CONTEXT)
 
 
@@ -311,9 +350,7 @@ def repeated(gram: np.ndarray, doc: np.ndarray, place: np.ndarray, contexts: lis
 
 
 def _compare(contexts: DataFrame) -> DataFrame:
-    """Step 3: (doc, place) of the strings that are repeats, as places of one string each."""
-    contexts = materialize(contexts, "contexts")
-    crowd = contexts.groupBy("gram").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("gram")
+    """Step 3: doc and place of the strings that are repeats, each as a place of one string."""
     schema = "doc long, place long"
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -325,39 +362,53 @@ def _compare(contexts: DataFrame) -> DataFrame:
         parts, rows = [], 0
         for batch in batches:
             g = batch.column("gram").to_numpy()
+            if parts and len(g) and rows >= 20_000 and parts[-1].column("gram")[-1].as_py() != g[0]:
+                yield flush(parts)
+                parts, rows = [], 0
             at = 0
             for cut in (np.flatnonzero(g[1:] != g[:-1]) + 1).tolist() + [len(g)]:
-                # only whole groups are compared: a group may reach into the next batch
-                whole = cut < len(g)
-                if whole and rows + cut - at < 20_000:
+                # only whole groups are compared: the last of a batch may reach into the next
+                if cut < len(g) and rows + cut - at < 20_000:
                     continue
                 parts.append(batch.slice(at, cut - at))
                 rows += cut - at
                 at = cut
-                if whole:
+                if cut < len(g):
                     yield flush(parts)
                     parts, rows = [], 0
         if parts:
             yield flush(parts)
 
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = contexts.join(crowd, "gram", "left_anti").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, schema)
-    strings = contexts.join(crowd, "gram", "left_semi").withColumn("step", F.explode(F.sequence(F.lit(0), F.col("place").cast("int").bitwiseAND(63))))
+    return contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, schema)
+
+
+def _compare_crowds(contexts: DataFrame) -> DataFrame:
+    """The same by grouping single strings, for anchors with very many contexts."""
+    strings = contexts.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("place").bitwiseAND(63).cast("int"))))
     strings = strings.withColumn("string", F.sha2(F.substring("bytes", F.col("step") + 1, F.lit(SPAN)), 256))
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-    many = strings.join(least, "string").where("doc > least")
-    return few.unionByName(many.select("doc", F.expr("((place >> 12) + step) << 12").alias("place")))
+    return strings.join(least, "string").where("doc > least").select("doc", F.expr("((place >> 12) + step) << 12").alias("place"))
 
 
 def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "repeats") -> DataFrame:
     """df with the byte spans of each text that strings of smaller documents cover, joined and in order:
     array<struct<start: bigint, end: bigint>>."""
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(_settle(_deal(df, key, text, buckets), buckets), "repeats")
-    open_ = found.where(F.size("place") > 0).groupBy("doc").agg(F.flatten(F.collect_list("place")).alias("place"), F.flatten(F.collect_list("gram")).alias("gram"))
-    whole = found.where(F.size("whole") > 0).select("doc", F.col("whole").alias("places"))
-    single = _compare(_contexts(df, key, text, open_)).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    spans = whole.unionByName(single).groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("_places"))
+    found = materialize(_settle(_deal(df, key, text, buckets)), "repeats")
+    packed = pack(df, text)
+    parts = [found.where(F.size("whole") > 0).select("doc", F.col("whole").alias("places"))]
+    for crowded, compare in ((False, _compare), (True, _compare_crowds)):
+        some = found.where((F.size("place") > 0) & (F.col("crowded") == crowded))
+        if some.isEmpty():
+            continue
+        places = some.groupBy("doc").agg(F.flatten(F.collect_list("place")).alias("place"), F.flatten(F.collect_list("gram")).alias("gram"))
+        single = compare(_contexts(packed, key, text, places))
+        parts.append(single.groupBy("doc").agg(F.collect_list("place").alias("places")))
+    spans = parts[0]
+    for p in parts[1:]:
+        spans = spans.unionByName(p)
+    spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.flatten(F.collect_list("places")).alias("_places"))
     schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -373,11 +424,12 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (starts, ends)], ["start", "end"])
         made = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), flat)
         keep = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (name, "_places")}
+        whole = pa.array(unpacked(keep[text]), pa.binary()).cast(pa.string())
+        keep[text] = pc.if_else(keep[text].is_valid(), whole, pa.scalar(None, pa.string()))
         yield pa.RecordBatch.from_arrays([*keep.values(), made], [*keep, name])
 
-    spans = spans.withColumnRenamed("doc", "_doc")
-    joined = df.join(spans, df[key] == spans["_doc"], "left").drop("_doc")
-    return joined.mapInArrow(per_batch(make), schema)
+    joined = packed.join(spans, packed[key] == spans["_doc"], "left").drop("_doc")
+    return joined.mapInArrow(per_batch(make, 500), schema)
 
 
 def cut(df: DataFrame, text: str = "text", spans: str = "repeats", name: str = "kept") -> DataFrame:
@@ -386,7 +438,7 @@ def cut(df: DataFrame, text: str = "text", spans: str = "repeats", name: str = "
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(text))
-        out = []
+        out: list[bytes] = []
         for i, found in enumerate(batch.column(spans).to_pylist()):
             raw, parts, at = data[offsets[i] : offsets[i + 1]].tobytes(), [], 0
             for s in found or []:
@@ -396,4 +448,4 @@ def cut(df: DataFrame, text: str = "text", spans: str = "repeats", name: str = "
         keep = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != name}
         yield pa.RecordBatch.from_arrays([*keep.values(), pa.array(out, pa.binary())], [*keep, name])
 
-    return df.mapInArrow(per_batch(make), schema)
+    return df.mapInArrow(per_batch(make, 500), schema)
