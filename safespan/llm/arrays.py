@@ -5,6 +5,7 @@ Everything works on one Arrow batch inside a task; Spark decides which rows meet
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -147,10 +148,19 @@ def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield from make(batch.slice(at, rows))
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps idle workers, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def _recoded(df: DataFrame, columns: list[str], kind: T.DataType, change: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, kind, f.nullable) if f.name in columns else f for f in df.schema.fields])
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()

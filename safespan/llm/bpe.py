@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from safespan.llm.arrays import per_batch, text_bytes
 
 #: Words (and chunks) that a worker remembers; on overflow the older half is forgotten, which changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 NEVER = 1 << 60
 
 
@@ -113,7 +113,7 @@ class Encoder(dict):
         self.automaton = ahocorasick.Automaton()
         self.older: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.left_edge: dict[int, list[tuple[int, int, int]]] = {}
         self.right_edge: dict[int, list[tuple[int, int, int]]] = {}
@@ -151,7 +151,7 @@ class Encoder(dict):
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merge rules leave the border between a and b alone."""
-        key = (a, b)
+        key = a << 20 | b
         found = self.compatible.get(key)
         if found is None:
             found, xs, ys, i, j = True, self.edge(a, 1), self.edge(b, 0), 0, 0
@@ -239,6 +239,7 @@ class Encoder(dict):
             self.clear()
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.compatible) > 2 * REMEMBERED:
             self.compatible.clear()
         out = []
         for special, chunks in self.v.chunks(text):
