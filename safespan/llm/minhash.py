@@ -5,9 +5,10 @@ second one, shifted by 0, 1, 2, ... places, orders them anew; each coordinate is
 coordinates give candidate pairs, and every link is confirmed on the full shingle sets.
 
 Documents of equal sets are one node. In a band's bucket no list of pairs is made: members are first compared with the
-bucket's least node; members that are then still in other components than it are compared with the rest. A pair within
-one component needs no test, so every pair that shares a bucket is either tested or already connected, and a group of
-near copies costs about one test a member. The chance that a pair of likeness 0.8 shares no bucket is
+bucket's least node; members that are then still in other components than it are compared with the rest, if what they
+share with any of the rest can reach the threshold at all. A pair within one component needs no test, so every pair that
+shares a bucket is tested, already connected or ruled out by that bound, and a group of near copies costs about one test a
+member. The chance that a pair of likeness 0.8 shares no bucket is
 (1 - 0.8**6)**40, about 5 in a million.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing; a text with
@@ -116,6 +117,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """node, comp for links (a, b) in which each a has one b, below it: the root of each node's tree, by pointer jumping."""
+    up = parents.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    tops = parents.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
+    labels = materialize(up.unionByName(tops).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
+    while True:
+        above = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        jumped = materialize(labels.join(above, "comp").select("node", F.col("comp").alias("old"), F.col("above").alias("comp")), "labels")
+        labels = jumped.select("node", "comp")
+        if jumped.where("comp <> old").isEmpty():
+            return labels
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have a likeness of `percent` or more. A node that many pairs have as b is copied for
     every 1000 of them, and each pair goes to one copy."""
@@ -125,8 +139,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = right.select("b", "set_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
     wide = dealt.join(right, ["b", "copy"]).join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    found = wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
-    return found.where(F.expr(f"100 * both >= {percent} * either")).select("a", "b")
+    found = wide.select(*pairs.columns, both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
+    return found.where(F.expr(f"100 * both >= {percent} * either")).select(pairs.columns)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -149,50 +163,52 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     # first each node with the least of its heads, then with its other heads, where that can still matter
     pairs = members.where("node <> head").where(alike("size", "head_size")).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    links = materialize(confirmed(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "confirmed")
-    labels = components(links)
-    links, labels = _grow(pairs.distinct(), links, labels, sets, percent)
-    tested = 0
-    while True:
-        comp = _labelled(members, labels)
-        head = comp.where("node = head").select("band", F.col("comp").alias("head_comp"))
-        apart = comp.join(head, "band").where("comp <> head_comp")
-        loose = materialize(apart.select("band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp")), "loose")
-        stats = loose.groupBy("band").agg(F.count("*").alias("loose"))
-        crowd = members.groupBy("band").agg(F.count("*").alias("n")).join(stats, "band")
-        row = crowd.agg(F.sum(F.col("loose") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
-        others = comp.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp"))
-        if not row["pairs"]:
-            break
-        last = row["pairs"] <= 20 * row["n"] or tested >= 4
-        if not last:  # large buckets: first one more head each, taken from the members that are apart
-            loose = loose.join(loose.groupBy("band").agg(F.min("a").alias("a")), ["band", "a"])
-        pairs = loose.join(others, "band").where("a_comp <> b_comp and a <> b").where(alike("a_size", "b_size"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        links, labels = _grow(pairs, links, labels, sets, percent)
-        tested += 1
-        if last:
-            break
+    labels = roots(confirmed(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent))
+    labels = _grow(pairs.distinct(), labels, sets, percent)
+    # then what is apart from its bucket's head with all of the bucket
+    comp = materialize(members.join(labels, "node", "left").select("band", "node", "size", "head", F.coalesce("comp", "node").alias("comp")), "comp")
+    heads = comp.where("node = head").select("band", F.col("comp").alias("head_comp"))
+    apart = comp.join(heads, "band").select("band", "node", "size", "comp", (F.col("comp") != F.col("head_comp")).alias("loose"))
+    torn = apart.groupBy("band").agg(F.bool_or("loose").alias("torn")).where("torn").select("band")
+    others = materialize(apart.join(torn, "band"), "others")
+    able = _able(others, sets, percent).where(f"100 * shared >= {percent} * size").select("node", "shared")
+    others = materialize(others.join(able, "node"), "able")
+    one = others.where("loose").select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "comp", "shared")])
+    two = others.select(F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "comp", "shared")])
+    # what both can share at most, against what they must share
+    bound = f"100 * least(shared_a, shared_b) >= {percent} * (size_a + size_b - least(shared_a, shared_b))"
+    pairs = one.join(two, [F.col("band") == F.col("band_b"), F.expr("comp_a <> comp_b"), F.expr(bound)])
+    pairs = pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    labels = _grow(pairs, labels, sets, percent)
     found = sig.join(nodes.select("set_a", "set_b", F.col("node")), ["set_a", "set_b"], "left")
     found = found.withColumn("node", F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("node")).otherwise(F.col(key)))
     found = found.join(labels, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
     return found.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, shared: how many of its shingles any other of these nodes has too. A shingle that no other has is lost for
+    every pair, so shared bounds the common part of each pair, and a node whose shared part is below the threshold's share
+    of its own size has no partner here."""
+    own = sets.join(members.select("node").distinct(), "node", "left_semi")
+    counts = own.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    alone = counts.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return own.join(alone, "node", "left").select("node", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def _grow(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after testing the pairs that lie in different components."""
+def _grow(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels after testing the pairs that lie in different components. The new links are followed between components, of
+    which there are far fewer than nodes."""
     for side in "ab":
         known = labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_in"))
         pairs = pairs.join(known, side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
-    new = materialize(confirmed(pairs.where("a_in <> b_in").select("a", "b"), sets, percent), "confirmed")
+    new = materialize(confirmed(pairs.where("a_in <> b_in").select("a", "b", "a_in", "b_in"), sets, percent), "confirmed")
     if new.isEmpty():
-        return links, labels
-    links = links.unionByName(new)
-    return links, components(links)
+        return labels
+    merged = components(new.select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).distinct())
+    above = merged.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+    moved = labels.join(above, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
+    return materialize(moved.unionByName(merged.join(labels, "node", "left_anti")), "labels")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
