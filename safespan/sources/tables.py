@@ -85,13 +85,13 @@ FROM (
   SELECT *, round(10e0 + (l_quantity - 1)*15/49, 4) AS dx0, round(30e0 + l_discount*100, 4) AS ego_speed, round(10e0 + (l_partkey % 151)*0.1e0, 4) AS npc_speed
   FROM {lineitem}) c"""
 
-#: A reference point for each order, followed over ITERATIONS decisions.
+#: A reference point for each order, followed over 150 decisions.
 BOUNDARY = """
 SELECT iter, o_orderkey AS point_id, ((o_orderkey*7919) % 1000)/1000e0 + 0.3e0/(1 + iter*0.1e0) - 0.1e0 AS mean
 FROM {orders} CROSS JOIN (SELECT CAST(a.i*10 + b.i AS BIGINT) AS iter
-  FROM (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) a
-  CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) b) d
-WHERE o_orderkey % 20 = 0"""
+  FROM (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9
+    UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14) a
+  CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) b) d"""
 
 VIEWS = {
     "runs": RUNS, "params": PARAMS, "results": RESULTS, "frames": FRAMES, "traces": TRACES, "checker_log": CHECKER_LOG, "tasks": TASKS,
