@@ -1,19 +1,20 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item of m characters may occur in a document with up to e edits, e = m div EVERY and MOST at most. It is split
-into e + 1 pieces: each edit spoils one piece at most, so one piece occurs unchanged. An Aho-Corasick automaton finds all
+A test item of m characters may occur in a document with up to e edits, e = m div EVERY whatever its length, or 0 below
+LEAST characters. It is split into e + 1 pieces: each edit spoils one piece at most, so one piece occurs unchanged. An Aho-Corasick automaton finds all
 pieces in one pass over a text; around each hit, Myers' bit-parallel algorithm gives the least edit distance of the item
 to any stretch of the text.
 
 The test items are a stated query set. They are shared with the tasks in blocks of at most BLOCK characters, whatever
 their number, and each block is matched against all documents.
 
-Defined cases: null and empty texts match nothing; null, empty and short items (below LEAST characters) are left out;
-letters match in either case; equal items are all reported; repeated rows match alike; empty tables give empty results.
+Defined cases: null and empty texts match nothing; null and empty items are left out; items below LEAST characters match
+only without edits; letters match in either case; equal items are all reported; repeated rows match alike; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from safespan.llm.arrays import per_batch
 
-EVERY, MOST, LEAST = 25, 16, 40
+EVERY, LEAST = 25, 40
+MOST = math.inf  # the budget has no bound but the item's length
 BLOCK = 8_000_000
 
 
@@ -61,9 +63,9 @@ def nearest(item: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], every: int = EVERY, most: int = MOST, least: int = LEAST):
-        self.items = [(k, lowered(t)) for k, t in items if t and len(t) >= least]
-        self.budget = [min(most, len(t) // every) for _, t in self.items]
+    def __init__(self, items: list[tuple[int, str]], every: int = EVERY, least: int = LEAST):
+        self.items = [(k, lowered(t)) for k, t in items if t]
+        self.budget = [len(t) // every if len(t) >= least else 0 for _, t in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, ((_, t), e) in enumerate(zip(self.items, self.budget, strict=True)):
             for p in range(e + 1):
@@ -93,6 +95,12 @@ class Matcher:
                 if tried is not None and s <= tried + e // 2 and e or s + e < done:
                     continue  # the last window covered this start, or the last match reaches beyond it
                 lo = max(0, s - 2 * e, done)
+                if not e:  # the piece was the whole item
+                    out.append((key, s, s + len(item), 0))
+                    done = s + len(item)
+                    if first:
+                        return out
+                    continue
                 window = low[lo : s + len(item) + 2 * e]
                 tried = s
                 best, stop = nearest(item, window)
@@ -108,7 +116,7 @@ class Matcher:
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK characters, each fetched when it is needed."""
-    usable = items.where(F.length(text) >= LEAST).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    usable = items.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // BLOCK))
     for i in range(n):
