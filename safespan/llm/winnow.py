@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from safespan.llm.arrays import BASE, mix64, per_batch
 from safespan.llm.bpe import _with
 
-K, W = 32, 64
+K, W = 8, 8
 _BLOCK = 1 << 18
 
 
