@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 Each language has a raw-content dictionary for zstandard, made of a bounded sample of its labelled texts. A text is
-compressed with each; the language with the smallest result wins. Where the runner-up is within CLOSE of it (as a share
+compressed with each, in parts of PART bytes that each start anew from the dictionary, so that what a dictionary saves
+grows with the text; the language with the smallest result in all parts together wins. Where the runner-up is within CLOSE of it (as a share
 of its size), as with very short texts, both are weighed again by a slower encoder that also uses matches of three
 bytes, and the two sizes are added. Where the runner-up is still within `margin`, the answer is rejected as too close to
 call.
@@ -28,6 +29,7 @@ from safespan.llm.arrays import per_batch
 
 SAMPLE = 600
 PIECE = 800
+PART = 100_000
 LEVEL = 3
 CLOSE = 0.03
 MARGIN = 0.002
@@ -79,12 +81,13 @@ def classify(text: str | None, model: dict[str, bytes]) -> tuple[str, float, flo
     if not text or not model or not any(map(str.isalpha, text)):
         return NONE, 0.0, 0.0
     raw = text.lower().encode("utf-8", "replace")
+    parts = [raw[i : i + PART] for i in range(0, len(raw), PART)]
     ready = _ready(model)
-    sizes = sorted((len(quick.compress(raw)), lang) for lang, quick, _ in ready)
+    sizes = sorted((sum(len(quick.compress(x)) for x in parts), lang) for lang, quick, _ in ready)
     least = sizes[0][0]
     close = {lang: n for n, lang in sizes if n - least <= CLOSE * least}
     if len(close) > 1:
-        sizes = sorted([(close[lang] + len(slow.compress(raw)), lang) for lang, _, slow in ready if lang in close])
+        sizes = sorted([(close[lang] + sum(len(slow.compress(x)) for x in parts), lang) for lang, _, slow in ready if lang in close])
         least = sizes[0][0]
     score = 1 / sum(2.0 ** max(least - n, -60) for n, _ in sizes)
     return sizes[0][1], score, (sizes[1][0] - least) / least if len(sizes) > 1 else 1.0
