@@ -43,10 +43,14 @@ def phase_timeline(decisions: DataFrame, scenario: Scenario = Scenario()) -> Dat
     """(idx, violations, trained, stable) with the phase each decision is taken in. STEP1 while idx is below the limit or
     nothing was violated; STEP2 once a model exists, else a Sobol fallback; STEP3 from the decision where stability holds
     in STEP2 or STEP2 has had its share."""
-    order = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    started = F.max(((F.col("idx") >= scenario.first_phase) & (F.col("violations") > 0) & F.col("trained")).cast("int")).over(order) == 1
-    step = decisions.withColumn("started", started).withColumn("in_step2", F.sum(F.col("started").cast("int")).over(order))
-    done = F.max((F.col("started") & (F.col("stable") | (F.col("in_step2") > scenario.second_phase))).cast("int")).over(order) == 1
+    starts = (F.col("idx") >= scenario.first_phase) & (F.col("violations") > 0) & F.col("trained")
+    start = decisions.agg(F.min(F.when(starts, F.col("idx"))).alias("start"))
+    second = decisions.join(F.broadcast(start), F.col("idx") >= F.col("start"))
+    calm = second.agg(F.min(F.when(F.col("stable"), F.col("idx"))).alias("calm"))
+    # the decision after STEP2's share, from a fixed number of least indices
+    share = second.select("idx").orderBy("idx").limit(scenario.second_phase + 1).agg(F.when(F.count("*") > scenario.second_phase, F.max("idx")).alias("share"))
+    marks = start.crossJoin(calm).crossJoin(share)  # one row
+    step = decisions.crossJoin(F.broadcast(marks)).withColumn("started", F.col("idx") >= F.col("start")).withColumn("done", F.col("idx") >= F.least("calm", "share"))
     early = (F.col("idx") < scenario.first_phase) | (F.col("violations") == 0)
     phase = F.when(F.col("done"), "STEP3").when(F.col("started"), "STEP2").when(early, "STEP1").otherwise("FALLBACK")
-    return step.withColumn("done", done).select("idx", phase.alias("phase"))
+    return step.select("idx", phase.alias("phase"))
