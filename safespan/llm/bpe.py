@@ -26,8 +26,11 @@ from pyspark.sql import types as T
 
 from safespan.llm.arrays import per_batch, text_bytes
 
-#: Words (and chunks) that a worker remembers; on overflow the older half is forgotten, which changes no result.
-REMEMBERED = 80_000
+#: Bytes that a worker's memory of chunks, and that of words, may take; beyond half of it the older half is forgotten,
+#: which changes no result.
+REMEMBERED = 64_000_000
+#: Bytes of an entry besides its key and value, and the number of remembered pairs of tokens.
+ENTRY, PAIRS = 220, 400_000
 NEVER = 1 << 60
 
 
@@ -75,6 +78,12 @@ class Vocabulary:
             self.rank.setdefault(made, rank)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern.replace(r"\s", WHITE))
+        late = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in LATE.split())
+        self.late = regex.compile(f"[{late}]")
+        old = pattern.replace(r"\s", WHITE)
+        for kind in (r"\p{L}", r"\p{N}"):
+            old = old.replace(kind, f"[{kind}--[{late}]]")
+        self.split_late = regex.compile(old, regex.V1)
         self.space = regex.compile(f"[{WHITE}]+")
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -87,7 +96,8 @@ class Vocabulary:
             yield parts[i - 1] if i else "", self.space.split(parts[i]) if odd else parts[i].split()
 
     def words(self, chunk: str) -> list[str]:
-        return self.split.findall(normal(chunk))
+        chunk = normal(chunk)
+        return (self.split if chunk.isascii() or not self.late.search(chunk) else self.split_late).findall(chunk)
 
     def word_symbols(self, word: str) -> str:
         raw = word.encode("utf-8")
@@ -98,43 +108,83 @@ class Vocabulary:
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 
 
+# Code points of the newest Unicode versions on which the tables at hand differ from those of the library.
+# Letters and digits to the pattern engine here that the library's pattern engine has as unassigned:
+LATE = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A
+11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE
+1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+# Capital letters, first and last of a row, and the first one's small letter, that the library knows and Python doesn't:
+CAPITALS = "1C89-1C89:1C8A A7CB-A7CB:264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+_SMALL = {ord("\u03a3"): "\u03c3"}
+for _row in CAPITALS.split():
+    _first, _last, _small = (int(x, 16) for x in _row.replace("-", ":").split(":"))
+    _SMALL |= {c: chr(_small + c - _first) for c in range(_first, _last + 1) if chr(c).lower() == chr(c)}
+_ODD = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
 def normal(text: str) -> str:
     """Canonical composition, then each character in lower case by itself (no special final sigma)."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower()
+    return (text.translate(_SMALL) if _ODD.search(text) else text).lower()
 
 
-class Encoder(dict):
-    """Maps a chunk to its ids, packed as little-endian 32-bit integers; what was found is remembered."""
+class Memory(dict):
+    """A dictionary that makes missing values and forgets the older ones when it has grown to half of `most` bytes."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
+        self.make, self.most = make, most
+        self.older: dict = {}
+        self.bytes = 0
+
+    def __missing__(self, key: str):
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        self.bytes += ENTRY + len(key) + (len(made) if isinstance(made, bytes) else 0)
+        if 2 * self.bytes > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = ENTRY + len(key)
+        self[key] = made
+        return made
+
+
+class Encoder:
+    """Texts, chunks and words to ids, packed as little-endian 32-bit integers; what was found is remembered."""
+
+    def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.automaton = ahocorasick.Automaton()
-        self.older: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.chunks = Memory(self.chunk)
+        self.words = Memory(self.word)
         self.compatible: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.left_edge: dict[int, list[tuple[int, int, int]]] = {}
         self.right_edge: dict[int, list[tuple[int, int, int]]] = {}
-        for i, s in vocabulary.token_symbols.items():
-            if self.stands(i):  # others never occur
-                self.automaton.add_word(s, (len(s), i))
+        standing = {s: i for i, s in vocabulary.token_symbols.items() if self.stands(i)}  # others never occur
+        most = max(vocabulary.token_symbols, default=-1) + 1
+        self.size = [0] * most
+        #: For each token the longest other one that it begins with, or -1.
+        self.shorter = [-1] * most
+        for s, i in standing.items():
+            self.automaton.add_word(s, (len(s) - 1, i))
+            self.size[i] = len(s)
+            self.shorter[i] = next((standing[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in standing), -1)
         self.automaton.make_automaton()
 
-    def __missing__(self, chunk: str) -> bytes:
-        made = self.older.get(chunk)
-        if made is not None:
-            self[chunk] = made
-            return made
-        made = b""
-        for word in self.v.words(chunk):
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self.known[word] = array("I", self.encode(self.v.word_symbols(word))).tobytes()
-            made += ids
-        self[chunk] = made
-        return made
+    def chunk(self, chunk: str) -> bytes:
+        words = self.v.words(chunk)
+        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
+
+    def word(self, word: str) -> bytes:
+        return array("I", self.encode(self.v.word_symbols(word))).tobytes()
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The tokens that stand at that edge while the token is being merged: (token, rank made, rank ended)."""
@@ -200,52 +250,46 @@ class Encoder(dict):
                 j += 1
 
     def encode(self, word: str) -> list[int]:
-        n = len(word)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, hit in self.automaton.iter(word):
-            at[end - hit[0] + 1].append(hit)
-        fits = self.fits
+        n, size, shorter, known = len(word), self.size, self.shorter, self.compatible
+        longest = [-1] * n  # of the tokens that begin at each place, the last found is the longest
+        for end, (back, token) in self.automaton.iter(word):
+            longest[end - back] = token
         tokens: list[int] = []
-        sizes: list[int] = []
-        choice = [len(x) for x in at]
-        dead = bytearray(n + 1)
-        pos = 0
-        while pos < n:
-            k, here = choice[pos], at[pos]
-            placed = False
-            while k:
-                k -= 1
-                size, token = here[k]
-                if not dead[pos + size] and (not tokens or fits(tokens[-1], token)):
-                    placed = True
-                    break
-            choice[pos] = k
-            if placed:
-                tokens.append(token)
-                sizes.append(size)
-                pos += size
-            else:
-                dead[pos] = 1
+        dead: set[int] = set()
+        pos, token, before = 0, longest[0], -1
+        while True:
+            if token < 0:  # nothing fits here: step back
+                dead.add(pos)
                 if not tokens:
                     raise ValueError("a word has symbols outside the vocabulary")
-                tokens.pop()
-                pos -= sizes.pop()
-        return tokens
+                token = tokens.pop()
+                pos -= size[token]
+                before = tokens[-1] if tokens else -1
+                token = shorter[token]
+                continue
+            fits = pos + size[token] not in dead
+            if fits and before >= 0:
+                fits = known.get(before << 20 | token)
+                if fits is None:
+                    fits = self.fits(before, token)
+            if not fits:
+                token = shorter[token]
+                continue
+            tokens.append(token)
+            pos += size[token]
+            if pos == n:
+                return tokens
+            before, token = token, longest[pos]
 
     def text(self, text: str) -> bytes:
         """The packed ids of a whole text."""
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.compatible) > 2 * REMEMBERED:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
-        out = []
+        out, chunks_ = [], self.chunks
         for special, chunks in self.v.chunks(text):
             if special:
                 out.append(self.v.special[special].to_bytes(4, "little"))
-            out.extend(map(self.__getitem__, chunks))
+            out.extend([chunks_[c] for c in chunks if c])
         return b"".join(out)
 
 

@@ -18,31 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from safespan.llm.arrays import per_batch
-from safespan.llm.bpe import REMEMBERED, Vocabulary, _with
+from safespan.llm.bpe import Memory, Vocabulary, _with
 
 
-class Counter(dict):
-    """Maps a chunk to its number of tokens; found counts are remembered."""
+class Counter:
+    """Numbers of tokens of texts, chunks and words; what was found is remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.v = vocabulary
-        self.older: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.chunks = Memory(self.chunk)
+        self.words = Memory(self.word)
         self.rules = {a << 20 | b: (rank, made) for (a, b), (rank, made) in vocabulary.merges.items()}
 
-    def __missing__(self, chunk: str) -> int:
-        if chunk in self.older:
-            self[chunk] = n = self.older[chunk]
-            return n
-        total, symbol = 0, self.v.symbol_ids
-        for word in self.v.words(chunk):
-            n = self.known.get(word)
-            if n is None:
-                n = self.known[word] = self.count([symbol[s] for s in self.v.word_symbols(word)])
-            total += n
-        self[chunk] = total
-        return total
+    def chunk(self, chunk: str) -> int:
+        return sum([self.words[w] for w in self.v.words(chunk)])
+
+    def word(self, word: str) -> int:
+        symbol = self.v.symbol_ids
+        return self.count([symbol[s] for s in self.v.word_symbols(word)])
 
     def count(self, ids: list[int]) -> int:
         n, rules = len(ids), self.rules
@@ -82,12 +75,8 @@ class Counter(dict):
         return left
 
     def text(self, text: str) -> int:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return sum((special != "") + sum(map(self.__getitem__, chunks)) for special, chunks in self.v.chunks(text))
+        known = self.chunks
+        return sum([(special != "") + sum([known[c] for c in chunks]) for special, chunks in self.v.chunks(text)])
 
 
 @lru_cache(maxsize=2)
