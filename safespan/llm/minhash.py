@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from safespan.llm.arrays import LOWER, hash_spans, mix64, per_batch, runs, shingle_hashes, text_bytes, words
+from safespan.llm.arrays import LOWER, hash_spans, mix64, pack, per_batch, runs, shingle_hashes, text_bytes, unpacked, words
 from safespan.session import materialize
 
 ROWS, BANDS = 6, 40
@@ -97,11 +97,13 @@ def signatures(df: DataFrame, key: str, text: str, k: int, rows: int, bands: int
 
 
 def sets_of(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """node, tag (a hash of the set) and its full shingle set; a node of several texts has a row for each."""
+    """node, tag (a hash of the set) and its full shingle set; a node of several texts has a row for each. Texts may be
+    packed."""
     schema = T.StructType([T.StructField("node", df.schema[key].dataType), T.StructField("tag", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        made = list(shingle_sets(batch.column(text), k))
+        column = batch.column(text)
+        made = list(shingle_sets(pa.array(unpacked(column), pa.binary()) if pa.types.is_binary(column.type) else column, k))
         at = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64)))
         tags = pa.array([int(np.sum(mix64(x + np.uint64(1))).view(np.int64)) for x in made], pa.int64())
@@ -169,7 +171,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     heads = rows_.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("band", "head")
     members = materialize(rows_.join(heads, "band").groupBy("head", "node").agg(F.count("*").alias("bands")), "members")
     touched = members.select(F.col("node").alias(key)).distinct()
-    sets = materialize(sets_of(df.select(key, text).join(touched, key, "left_semi"), key, text, k).dropDuplicates(["node", "tag"]), "sets")
+    # texts are shuffled packed; sorted on both sides, so that the plan is the same at every size
+    texts = pack(df.select(key, text), text).join(touched.hint("merge"), key, "left_semi")
+    sets = materialize(sets_of(texts, key, text, k).dropDuplicates(["node", "tag"]), "sets")
 
     # first each node with the least of its heads, then with its other heads, where that can still matter
     pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -229,13 +233,15 @@ def _evidence(apart: DataFrame, percent: int, extras: bool) -> DataFrame:
     that share an extra, losses counting too; without: pairs that reach the number by losses alone."""
     need = f"ceil((weight + other - {100 - percent} * size) / {100 + percent})"
     left = apart.select("cluster", "node", "tag", "comp", "loose", "weight", "size", "items")
-    for _ in range(3):  # each round drops members that share too little with any other; none that can have a partner
+    for _ in range(2):  # each round drops members that share too little with any other; none that can have a partner
         counts = left.select("cluster", "node", "tag", F.explode("items").alias("item")).groupBy("cluster", "item").agg(F.min("node").alias("node"), F.min("tag").alias("tag"), F.count("*").alias("n"))
         alone = counts.where("n = 1").groupBy("cluster", "node", "tag").agg(F.collect_list("item").alias("own"))
         least = left.groupBy("cluster").agg(F.min("weight").alias("any_least"), F.min(F.when(F.col("loose"), F.col("weight"))).alias("loose_least")).where("loose_least is not null")
         left = left.join(alone, ["cluster", "node", "tag"], "left").withColumn("items", F.when(F.col("own").isNull(), F.col("items")).otherwise(F.array_except("items", "own"))).drop("own")
         left = dealt(left, least, "cluster").withColumn("other", F.when(F.col("loose"), F.col("any_least")).otherwise(F.col("loose_least"))).drop("any_least", "loose_least")
         left = materialize(left.withColumn("need", F.greatest(F.lit(1), F.expr(need))).where("size(items) >= need").drop("other"), "left")
+        if left.isEmpty():
+            return left.select(F.col("node").alias("a"), F.col("node").alias("b"))
     single = left.withColumn("shared", F.size("items")).withColumn("losses", F.size(F.filter("items", lambda x: x.bitwiseAND(1) == 0)))
     # of the items in order of rarity, so many that one of any `need` is among them
     if extras:  # at least need - losses of the shared items are extras
