@@ -153,6 +153,12 @@ def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows:
     return run
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in ("_" * i + name for i in range(1, len(taken) + 2)) if n.lower() not in taken) for name in names]
+
+
 def give_back() -> None:
     """Return freed memory to the system: Spark keeps idle workers, and what they hold counts against the executor."""
     pa.default_memory_pool().release_unused()

@@ -9,15 +9,16 @@ together cover its context.
 1. Each batch of documents makes its anchor occurrences, with hashes of the k-gram, of the context and of the SIDE bytes on
    either side of the k-gram, and keeps for each context those of the least document; the others are repeats at once. What
    is left is dealt out by anchor.
-2. A context that a smaller document has too is a repeat as a whole. Of the others, two can share a string only if they
-   share the SIDE bytes on one side, as a string has 2 * SIDE bytes besides its k-gram; those that share one with another
-   document are passed on.
-3. The bytes of these contexts meet by anchor. Their suffixes are sorted by mergesort: prefix sums of a polynomial hash
-   and a binary search give the common extension of two suffixes in logarithmic steps. Runs of suffixes that share SPAN
-   bytes (checked byte by byte against hash collisions) yield the least document of each string. Anchors with more than
-   CROWD such contexts are not gathered: their strings are grouped one by one by their own bytes, which finds the same.
-
-Defined cases: null and empty texts and those below SPAN bytes have no strings; rows without an id neither lose bytes nor
+2. A context that a smaller document has too is a repeat as a whole: hashes of 32 bits of the k-gram, 64 of the context
+   and 32 of its shape and sides must agree. Of the others, two can share a string only if they share the SIDE bytes on one
+   side, as a string has 2 * SIDE bytes besides its k-gram; those that share one with another document are passed on.
+3. The bytes of these contexts meet by anchor. They are sorted twice, from the anchor on and from the anchor back, by a
+   mergesort: prefix sums of a polynomial hash and a binary search give the common extension of two suffixes in
+   logarithmic steps. All neighbours are checked byte by byte against hash collisions. Contexts that share a string stand
+   side by side in both orders, which yields the least document of each string. Anchors with more than CROWD such contexts
+   are not gathered: their strings are grouped one by one by SHA-256 digests, which finds the same.
+
+Defined cases: ids are integers; null and empty texts and those below SPAN bytes have no strings; rows without an id neither lose bytes nor
 take them from others; rows of equal id (repeated rows) don't take bytes from each other; texts of any length are worked
 through in blocks; an empty table gives an empty table; other columns are kept, one named as the new one is replaced.
 """
@@ -33,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from safespan.llm.arrays import BASE, hash_spans, mix64, pack, per_batch, powers, text_bytes, unpacked
+from safespan.llm.arrays import BASE, hash_spans, mix64, pack, per_batch, powers, text_bytes, unpacked, unused
 from safespan.session import materialize
 
 SPAN, K = 50, 16
 SIDE = (SPAN - K) // 2
-CROWD = 20_000
+CROWD = 100_000
 _BLOCK = 1 << 18
 _LOW = (1 << 24) - 1
 _LISTS = T.ArrayType(T.LongType())
@@ -54,7 +55,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor occurrence: hashes of the k-gram (64 bits) and of the context (32), the index of the text, the start
+    """For each anchor occurrence: hashes of the k-gram and of the context (64 bits each), the index of the text, the start
     of the first string that hangs on it, and its shape: anchor - first and last - first (6 bits each) and hashes of the
     SIDE bytes before and behind the k-gram (10 bits each, 0 where the text has fewer)."""
     w = SPAN - K + 1
@@ -84,7 +85,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         end = np.concatenate((begin[1:], [len(starts)])) - 1
         a, s, e = at[begin], starts[begin], starts[end]
         doc = np.searchsorted(offsets, s + lo, "right") - 1
-        context = hash_spans(part, s, e + SPAN) >> np.uint64(32)
+        context = hash_spans(part, s, e + SPAN)
         shape = (a - s).astype(np.uint64) << np.uint64(26) | (e - s).astype(np.uint64) << np.uint64(20)
         for begin_, bits, there in ((a - SIDE, 10, a + lo - SIDE >= offsets[doc]), (a + K, 0, a + lo + K + SIDE <= offsets[doc + 1])):
             h = np.zeros(len(a), np.uint64)
@@ -100,9 +101,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _first_of_context(gram, context, shape, doc) -> tuple[np.ndarray, np.ndarray]:
     """An order by gram, context and document, and whether each is of its context's least document."""
-    same = (gram.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64)
-    order = np.lexsort((doc, shape, same))
-    x, y, d = same[order], shape[order], doc[order]
+    same = (gram.astype(np.uint64) << np.uint64(32)) | shape.astype(np.uint64)
+    order = np.lexsort((doc, same, context))
+    x, y, d = same[order], context[order], doc[order]
     begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
     least = np.repeat(d[begin], np.diff(np.concatenate((begin, [len(d)]))))
     return order, d == least
@@ -130,7 +131,7 @@ def _cuts(x: np.ndarray) -> np.ndarray:
 
 
 _INTS = T.ArrayType(T.IntegerType())
-_DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("gram", _INTS), T.StructField("context", _INTS), T.StructField("doc", _LISTS), T.StructField("start", _INTS), T.StructField("shape", _INTS)])
+_DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("gram", _INTS), T.StructField("context", _LISTS), T.StructField("doc", _LISTS), T.StructField("start", _INTS), T.StructField("shape", _INTS)])
 _FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", _LISTS), T.StructField("place", _LISTS), T.StructField("gram", _LISTS), T.StructField("crowded", T.BooleanType())])
 
 
@@ -171,9 +172,9 @@ def _deal(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 continue
             doc_, start_, shape_ = _lists(cuts, ids[keep], _ints(start[keep]), _ints(shape[keep]))
             if again:
-                gram_ = context_ = pa.nulls(len(cuts) - 1, pa.list_(pa.int32()))
+                gram_, context_ = (pa.nulls(len(cuts) - 1, pa.list_(k)) for k in (pa.int32(), pa.int64()))
             else:
-                gram_, context_ = _lists(cuts, _ints(gram[keep] >> np.uint64(32)), _ints(context[keep]))
+                gram_, context_ = _lists(cuts, _ints(gram[keep] >> np.uint64(32)), context[keep].view(np.int64))
             names = pa.array(-1 - bucket[cuts[:-1]] if again else bucket[cuts[:-1]])
             yield pa.RecordBatch.from_arrays([names, gram_, context_, doc_, start_, shape_], _DEALT.names)
 
@@ -185,7 +186,7 @@ def _settle(dealt: DataFrame) -> DataFrame:
 
     def flush(bucket: int, parts: list) -> Iterator[pa.RecordBatch]:
         gram, context, doc, start, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
-        gram, context, shape = (x.view(np.uint32).astype(np.uint64) for x in (gram, context, shape))
+        gram, shape = (x.view(np.uint32).astype(np.uint64) for x in (gram, shape))
         order, least = _first_of_context(gram, context, shape, doc)
         again = order[~least]
         yield from _by_doc(doc[again], start[again], shape[again])
@@ -222,7 +223,7 @@ def _settle(dealt: DataFrame) -> DataFrame:
             yield from flush(now, parts)
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, F.expr("if(bucket < 0, -1 - bucket, bucket)")).sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    return dealt.repartition(n, F.expr("if(bucket < 0, xxhash64(doc), bucket)")).sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 _CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("place", T.LongType()), T.StructField("bytes", T.BinaryType())])
@@ -233,29 +234,31 @@ def _contexts(packed: DataFrame, key: str, text: str, places: DataFrame) -> Data
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, bytes]] = []
-        for d, raw, places_, grams in zip(batch.column("doc").to_pylist(), unpacked(batch.column(text)), batch.column("place"), batch.column("gram"), strict=True):
+        for d, raw, places_, grams in zip(batch.column("doc").to_pylist(), unpacked(batch.column("packed")), batch.column("place"), batch.column("gram"), strict=True):
             for p, g in zip(places_.as_py(), grams.as_py(), strict=True):
                 rows.append((g, d, p, raw[p >> 12 : (p >> 12) + (p & 63) + SPAN]))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _CONTEXT.names)
 
-    joined = packed.join(places, packed[key] == places["doc"]).select("doc", text, "place", "gram")
+    texts = packed.select(F.col(key).alias("doc"), F.col(text).alias("packed"))
+    joined = texts.join(places, "doc").select("doc", "packed", "place", "gram")
     return joined.mapInArrow(per_batch(make, 500), _CONTEXT)
 
 
 class Suffixes:
-    """Suffixes of one byte buffer, compared by hashes of their prefixes."""
+    """Bounded suffixes of one byte buffer (suffix i: size[i] bytes from at[i]), compared by hashes of their prefixes."""
 
-    def __init__(self, data: np.ndarray):
-        self.data = data
+    def __init__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.data, self.at, self.size = data, at, size
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many bytes, up to SPAN, the suffixes at a and b share: binary search over hashes of prefixes."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), SPAN)
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes i and j share: binary search over hashes of prefixes."""
+        a, b = self.at[i], self.at[j]
+        lo, hi = np.zeros(len(a), np.int64), np.minimum(self.size[i], self.size[j])
         while True:
             open_ = lo < hi
             if not open_.any():
@@ -265,18 +268,19 @@ class Suffixes:
             lo = np.where(open_ & same, mid, lo)
             hi = np.where(open_ & ~same, mid - 1, hi)
 
-    def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the SPAN bytes at a are less than those at b."""
-        n = self.common(a, b)
-        m = np.minimum(n, SPAN - 1)
-        return (n < SPAN) & (self.data[a + m] < self.data[b + m])
+    def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether suffix i is less than suffix j; one that the other goes on from is less."""
+        n = self.common(i, j)
+        last = len(self.data) - 1
+        ended_i, ended_j = n == self.size[i], n == self.size[j]
+        return ~ended_j & (ended_i | (self.data[np.minimum(self.at[i] + n, last)] < self.data[np.minimum(self.at[j] + n, last)]))
 
-    def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """An order of the suffixes by group and, within one, by their first SPAN bytes: a mergesort in which all pairs of
+    def sort(self, group: np.ndarray) -> np.ndarray:
+        """An order of the suffixes by group and, within one, by their bytes: a mergesort in which all pairs of
         neighbouring runs merge at once, each element finding its rank in the other run by binary search."""
         order = np.argsort(group, kind="stable")
         g = group[order]
-        begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        begin = _cuts(g)[:-1]
         size = np.diff(np.concatenate((begin, [len(g)])))
         first, count = np.repeat(begin, size), np.repeat(size, size)
         within = np.arange(len(g)) - first
@@ -288,65 +292,92 @@ class Suffixes:
             o_hi = np.minimum(o_lo + width, count)
             act = np.flatnonzero(o_hi > o_lo)
             base, lo, hi = first[act] + o_lo[act], np.zeros(len(act), np.int64), (o_hi - o_lo)[act]
-            me, later = at[order[act]], (run[act] & 1).astype(bool)
+            me, later = order[act], (run[act] & 1).astype(bool)
             while True:
                 open_ = np.flatnonzero(lo < hi)
                 if not len(open_):
                     break
                 mid = (lo[open_] + hi[open_]) >> 1
-                it = at[order[base[open_] + mid]]
+                it = order[base[open_] + mid]
                 # elements of the later run come after equal ones of the earlier run
-                less = np.where(later[open_], ~self.before(me[open_], it), self.before(it, me[open_]))
+                is_later = later[open_]
+                less = self.before(np.where(is_later, me[open_], it), np.where(is_later, it, me[open_])) ^ is_later
                 lo[open_] = np.where(less, mid + 1, lo[open_])
                 hi[open_] = np.where(less, hi[open_], mid)
             target = np.arange(len(g))
             target[act] = first[act] + np.minimum(run[act], other[act]) * width + (within[act] - run[act] * width) + lo
-            merged = np.empty_like(order)
+            merged = order.copy()
             merged[target] = order
             order = merged
             width *= 2
         return order
 
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the SPAN bytes at a and b are equal, byte by byte."""
-        out = np.ones(len(a), bool)
-        for i in range(SPAN):
-            out &= self.data[a + i] == self.data[b + i]
-        return out
-
-
-def repeated(gram: np.ndarray, doc: np.ndarray, place: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and starts of the strings that a smaller document has too, among whole anchor groups."""
+    def sorted(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order, and how many bytes each suffix in it shares with the one before it (-1 at the start of a group). Every
+        pair of neighbours is checked byte by byte; should a hash collision have misled the sort, bytes alone decide."""
+        order = self.sort(group)
+        shared = self._neighbours(order, group, self.common)
+        if (np.bincount(order, minlength=len(order)) != 1).any() or not self._checked(order, group, shared):
+            most = int(self.size.max(initial=0))
+            column = np.arange(most)
+            wide = np.where(column < self.size[:, None], self.data[np.minimum(self.at[:, None] + column, len(self.data) - 1)].astype(np.int16), np.int16(-1))
+            order = np.lexsort((*wide.T[::-1], group))
+            shared = self._neighbours(order, group, lambda i, j: np.cumprod((wide[i] == wide[j]) & (wide[i] >= 0), axis=1).sum(axis=1))
+        return order, shared
+
+    @staticmethod
+    def _neighbours(order: np.ndarray, group: np.ndarray, common) -> np.ndarray:
+        shared = np.full(len(order), -1)
+        near = np.flatnonzero(group[order[1:]] == group[order[:-1]]) + 1
+        shared[near] = common(order[near - 1], order[near])
+        return shared
+
+    def _checked(self, order: np.ndarray, group: np.ndarray, shared: np.ndarray) -> bool:
+        """Whether neighbours share as many bytes as the hashes say, and stand in the order of the next byte."""
+        near = np.flatnonzero(shared >= 0)
+        i, j, n = order[near - 1], order[near], shared[near]
+        for step in range(int(n.max(initial=0))):
+            on = step < n
+            if (self.data[self.at[i[on]] + step] != self.data[self.at[j[on]] + step]).any():
+                return False
+        on = n < np.minimum(self.size[i], self.size[j])
+        if (self.data[self.at[i[on]] + n[on]] >= self.data[self.at[j[on]] + n[on]]).any():
+            return False
+        return bool((self.size[i[~on]] <= self.size[j[~on]]).all())
+
+
+def repeated(gram: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and starts of the strings that a smaller document has too, among whole anchor groups. data holds the bytes
+    of the contexts end to end.
+
+    A string that starts s bytes before the anchor is equal in two contexts if they share SPAN - s bytes from the anchor on
+    and s bytes before it. So each context is sorted twice: by its suffix from the anchor on, and by the bytes before the
+    anchor, read backwards. In either order, contexts that share n bytes stand side by side."""
+    by_doc = np.argsort(doc, kind="stable")
+    gram, doc, place, base = gram[by_doc], doc[by_doc], place[by_doc], offsets[:-1][by_doc]
     left, more = (place >> 6) & 63, place & 63
-    base = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))[:-1]
-    count = more + 1
-    which = np.repeat(np.arange(len(gram)), count)
-    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    _, group = np.unique(gram[which].view(np.uint64) ^ mix64((left[which] - step + 1).astype(np.uint64)), return_inverse=True)
-    keep = np.bincount(group)[group] > 1
-    which, step, group = which[keep], step[keep], group[keep]
-    if not len(which):
-        return doc[:0], place[:0]
-    s = Suffixes(np.frombuffer(b"".join(contexts), np.uint8))
-    at = base[which] + step
-    order = s.sort(at, group)
-    a, g = at[order], group[order]
-    same = np.zeros(len(a), bool)
-    near = np.flatnonzero(g[1:] == g[:-1]) + 1
-    hit = near[s.common(a[near - 1], a[near]) == SPAN]
-    same[hit] = s.equal(a[hit - 1], a[hit])
-    if not same[hit].all():  # a hash collision may have mixed the order: sort by the bytes themselves
-        text = np.array([s.data[x : x + SPAN].tobytes() for x in at], dtype=f"S{SPAN}").view(f"V{SPAN}")
-        _, string = np.unique(text, return_inverse=True)
-        order = np.lexsort((string, group))
-        a, g = at[order], group[order]
-        same[1:] = (g[1:] == g[:-1]) & (string[order][1:] == string[order][:-1])
-        same[0] = False
-    begin = np.flatnonzero(~same)
-    d = doc[which][order]
-    least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.concatenate((begin, [len(d)]))))
-    found = order[d > least]
-    return doc[which][found], (place[which] >> 12)[found] + step[found]
+    _, group = np.unique(gram, return_inverse=True)
+    right = Suffixes(data, base + left, more + SPAN - left)
+    last = len(data)
+    back = Suffixes(np.ascontiguousarray(data[::-1]), last - (base + left), left)
+    order_r, shared_r = right.sorted(group)
+    order_b, shared_b = back.sorted(group)
+    where_r, where_b = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    where_r[order_r], where_b[order_b] = np.arange(len(doc)), np.arange(len(doc))
+    docs, starts = [doc[:0]], [place[:0]]
+    for s in range(SPAN - K + 1):
+        has = np.flatnonzero((s <= left) & (left - s <= more))
+        if len(has) < 2:
+            continue
+        # contexts of one class at these depths have the same string; the lists are in the order of documents
+        key = np.cumsum(shared_r < SPAN - s)[where_r[has]] * np.int64(len(doc) + 1) + np.cumsum(shared_b < s)[where_b[has]]
+        order = np.argsort(key, kind="stable")
+        cuts = _cuts(key[order])
+        least = np.repeat(doc[has[order[cuts[:-1]]]], np.diff(cuts))
+        found = has[order[doc[has[order]] > least]]
+        docs.append(doc[found])
+        starts.append((place[found] >> 12) + left[found] - s)
+    return np.concatenate(docs), np.concatenate(starts)
 
 
 def _compare(contexts: DataFrame) -> DataFrame:
@@ -355,7 +386,7 @@ def _compare(contexts: DataFrame) -> DataFrame:
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        d, s = repeated(*(t.column(n).to_numpy() for n in ("gram", "doc", "place")), t.column("bytes").to_pylist())
+        d, s = repeated(*(t.column(n).to_numpy() for n in ("gram", "doc", "place")), *text_bytes(t.column("bytes")))
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s.astype(np.int64) << 12, pa.int64())], ["doc", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,12 +439,13 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
-    spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.flatten(F.collect_list("places")).alias("_places"))
+    doc_, places_ = unused(df, "doc", "places")
+    spans = spans.groupBy(F.col("doc").alias(doc_)).agg(F.flatten(F.collect_list("places")).alias(places_))
     schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         starts, ends, sizes = [], [], [0]
-        for places in batch.column("_places"):
+        for places in batch.column(places_):
             p = np.sort(np.asarray(places.values)) if places.values is not None else np.empty(0, np.int64)
             s = p >> 12
             reach = np.maximum.accumulate(s + (p & 63) + SPAN)
@@ -423,12 +455,12 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
             sizes.append(int(new.sum()))
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (starts, ends)], ["start", "end"])
         made = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), flat)
-        keep = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (name, "_places")}
+        keep = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (name, places_)}
         whole = pa.array(unpacked(keep[text]), pa.binary()).cast(pa.string())
         keep[text] = pc.if_else(keep[text].is_valid(), whole, pa.scalar(None, pa.string()))
         yield pa.RecordBatch.from_arrays([*keep.values(), made], [*keep, name])
 
-    joined = packed.join(spans, packed[key] == spans["_doc"], "left").drop("_doc")
+    joined = packed.join(spans, packed[key] == spans[doc_], "left").drop(doc_)
     return joined.mapInArrow(per_batch(make, 500), schema)
 
 

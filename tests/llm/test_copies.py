@@ -166,18 +166,62 @@ def test_repeats(spark, crowd, monkeypatch):
     assert suffix.find_repeats(df.limit(0)).count() == 0
 
 
-def test_suffix_sort_and_collisions(monkeypatch):
+def plain_contexts(gram, doc, place, contexts):
+    seen, found = {}, set()
+    for i in np.argsort(doc, kind="stable"):
+        for step in range((place[i] & 63) + 1):
+            key = (gram[i], (place[i] >> 6 & 63) - step, contexts[i][step : step + 50])
+            if seen.setdefault(key, doc[i]) < doc[i]:
+                found.add((int(doc[i]), int(place[i] >> 12) + step))
+    return found
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_sorts_and_collisions(monkeypatch, collide):
     rng = random.Random(2)
-    contexts = ["".join(rng.choices("ab", k=60)).encode() for _ in range(40)]
-    s = suffix.Suffixes(np.frombuffer(b"".join(contexts), np.uint8))
-    at = np.arange(40) * 60
-    order = s.sort(at, np.zeros(40, np.int64))
-    assert [contexts[i][:50] for i in order] == sorted(c[:50] for c in contexts)
-    # all strings look equal to the hash: the byte check must still tell them apart
-    monkeypatch.setattr(suffix.Suffixes, "common", lambda self, a, b: np.full(len(a), suffix.SPAN))
-    gram, doc, place = np.zeros(4, np.int64), np.array([1, 2, 3, 4]), np.zeros(4, np.int64)
-    d, start = suffix.repeated(gram, doc, place, [b"x" * 50, b"y" * 50, b"x" * 50, b"z" * 50])
-    assert d.tolist() == [3] and start.tolist() == [0]
+    contexts, place, gram, doc = [], [], [], []
+    for i in range(400):  # the k-gram of each stands at its place; sides come from few choices
+        left, more = rng.randint(0, 34), 0
+        right = rng.randint(34 - left, 34)
+        more = left + right - 34
+        side = ["".join(rng.choices("ab", k=34, weights=(9, 1))) for _ in range(2)]
+        g = rng.randrange(3)
+        contexts.append((side[0][34 - left :] + f"gram{g}" + "x" * 11 + side[1][:right]).encode())
+        place.append(i << 12 | left << 6 | min(more, left))
+        contexts[-1] = contexts[-1][: min(more, left) + 50]
+        gram.append(g)
+        doc.append(rng.randrange(150))
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
+    if collide:  # a hash that takes three bytes for any others: the byte checks must still tell them apart
+        plain = suffix.Suffixes.common
+
+        def wrong(self, i, j):
+            n = plain(self, i, j)
+            return np.minimum(n + 3, np.minimum(self.size[i], self.size[j]))
+
+        monkeypatch.setattr(suffix.Suffixes, "common", wrong)
+    gram, doc, place = np.array(gram), np.array(doc), np.array(place)
+    d, start = suffix.repeated(gram, doc, place, data, offsets)
+    want = plain_contexts(gram, doc, place, contexts)
+    assert set(zip(d.tolist(), start.tolist(), strict=True)) == want and len(want) > 50
+
+
+def test_suffix_order():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 30))).encode() for _ in range(200)]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
+    order, shared = suffix.Suffixes(np.frombuffer(b"".join(texts), np.uint8), at, np.array([len(t) for t in texts])).sorted(np.zeros(200, np.int64))
+    assert [texts[i] for i in order] == sorted(texts) and shared[0] == -1
+
+
+def test_repeats_accept_columns_of_any_name(spark):
+    passage = "a passage of more than fifty bytes that stands in several documents, twice"
+    rows = [(i, f"{i} {passage} {i}", 1, 2, 3, 4, 5) for i in range(5)] * 2  # each row twice
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc int, place int, gram int, _doc int, _places int")
+    got = suffix.find_repeats(df)
+    assert got.columns == [*df.columns, "repeats"]
+    assert all(len(r.repeats) == (r.doc_id > 0) and (r.doc, r._places) == (1, 5) for r in got.collect())
 
 
 def test_empty_batches():
