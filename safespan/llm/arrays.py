@@ -55,6 +55,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Lookup:
+    """Values by 64-bit keys, in an open table searched for many keys at once; -1 where a key is unknown. The key of all
+    ones is not to be used."""
+
+    FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.count = 0
+        self._room(len(keys), values.dtype)
+        self.put(keys, values)
+
+    def _room(self, n: int, kind: np.dtype) -> None:
+        bits = max(4, int(2 * n).bit_length())
+        self.shift, self.size = np.uint64(64 - bits), 1 << bits
+        self.keys = np.full(self.size, self.FREE)
+        self.values = np.zeros(self.size, kind)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys that are new and differ from each other."""
+        if 2 * (self.count + len(keys)) > self.size:
+            held = self.keys != self.FREE
+            keys, values = np.concatenate((self.keys[held], keys)), np.concatenate((self.values[held], values))
+            self.count = 0
+            self._room(2 * len(keys), values.dtype)
+        self.count += len(keys)
+        left, at = np.arange(len(keys)), self._at(keys)
+        while len(left):
+            free = self.keys[at] == self.FREE
+            slots, who = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[who]
+            self.keys[slots], self.values[slots] = keys[left[won]], values[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, at = left[rest], (at[rest] + 1) & (self.size - 1)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        got = self.keys[at]
+        hit = got == keys
+        out = np.where(hit, self.values[at], self.values.dtype.type(-1))
+        open_ = np.flatnonzero(~hit & (got != self.FREE))
+        while len(open_):
+            at_ = (at[open_] + 1) & (self.size - 1)
+            at[open_] = at_
+            got = self.keys[at_]
+            hit = got == keys[open_]
+            out[open_[hit]] = self.values[at_[hit]]
+            open_ = open_[~hit & (got != self.FREE)]
+        return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts end to end, and the n + 1 offsets of the texts in them. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

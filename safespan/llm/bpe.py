@@ -1,10 +1,13 @@
 """Byte-pair encoding of word-end vocabularies: backtracking encoder, offset-table decoder.
 
 The encoder takes, at each position of a word, the longest vocabulary entry that an Aho-Corasick automaton finds there,
-and accepts it only if it is compatible with the entry before it; else it takes a shorter one or steps back. Two entries
-are compatible if the merge rules, run on the two side by side, never merge across their border. A sequence whose
+and accepts it only if it is compatible with the entry before it; else it takes the next shorter one or steps back. Two
+entries are compatible if the merge rules, run on the two side by side, never merge across their border. A sequence whose
 neighbours are all compatible is the one the merge rules give, and each position is tried once, so the work is linear.
 
+The automaton reads words from their ends, over reversed entries, so that what ends at a place in reading begins there in
+the word. All new words of a batch are worked through at once, in arrays with one row a word.
+
 Defined cases: null and empty texts have no ids; texts of any length are encoded whole; special strings inside texts
 give their special ids; repeated rows are encoded alike; an empty table gives an empty table; other columns are kept.
 """
@@ -13,24 +16,24 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from safespan.llm.arrays import per_batch, text_bytes
+from safespan.llm.arrays import Lookup, per_batch, text_bytes
 
 #: Bytes that a worker's memory of chunks, and that of words, may take; beyond half of it the older half is forgotten,
 #: which changes no result.
-REMEMBERED = 64_000_000
+REMEMBERED = 128_000_000
 #: Bytes of an entry besides its key and value, and the number of remembered pairs of tokens.
-ENTRY, PAIRS = 220, 400_000
+ENTRY, PAIRS = 250, 1_000_000
+#: Code points of the texts worked through at once, and cells of the arrays for their words.
+PART, CELLS = 1 << 22, 1 << 19
 NEVER = 1 << 60
 
 
@@ -84,6 +87,7 @@ class Vocabulary:
         for kind in (r"\p{L}", r"\p{N}"):
             old = old.replace(kind, f"[{kind}--[{late}]]")
         self.split_late = regex.compile(old, regex.V1)
+        self.by_line = {x: regex.compile(f"(?:{x.pattern})|\n", x.flags & regex.V1) for x in (self.split, self.split_late)}
         self.space = regex.compile(f"[{WHITE}]+")
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -95,9 +99,30 @@ class Vocabulary:
             odd = any(c in parts[i] for c in "\x1c\x1d\x1e\x1f")  # space to str.split() alone
             yield parts[i - 1] if i else "", self.space.split(parts[i]) if odd else parts[i].split()
 
+    def parts_of(self, text: str) -> Iterator[str]:
+        """A very long text in parts that end at white space."""
+        at = 0
+        while at < len(text):
+            cut = self.space.search(text, at + PART)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def lines(self, chunks: list[str]) -> list[list[str]]:
+        """The words of each chunk, all found in one pass."""
+        joined = normal("\n".join(chunks))
+        split = self.split if latin(joined) or not self.late.search(joined) else self.split_late
+        out: list[list[str]] = [[]]
+        for w in self.by_line[split].findall(joined):
+            if w == "\n":
+                out.append([])
+            else:
+                out[-1].append(w)
+        return out
+
     def words(self, chunk: str) -> list[str]:
         chunk = normal(chunk)
-        return (self.split if chunk.isascii() or not self.late.search(chunk) else self.split_late).findall(chunk)
+        return (self.split if latin(chunk) or not self.late.search(chunk) else self.split_late).findall(chunk)
 
     def word_symbols(self, word: str) -> str:
         raw = word.encode("utf-8")
@@ -131,7 +156,16 @@ def normal(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFC", text)
-    return (text.translate(_SMALL) if _ODD.search(text) else text).lower()
+    return (text if latin(text) or not _ODD.search(text) else text.translate(_SMALL)).lower()
+
+
+def latin(text: str) -> bool:
+    """Whether all code points are below 256, found out quickly."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Memory(dict):
@@ -156,35 +190,85 @@ class Memory(dict):
         return made
 
 
+class Automaton:
+    """Aho-Corasick over reversed entries: the longest entry that begins at each place."""
+
+    def __init__(self, entries: dict[str, int]):
+        goto: dict[int, int] = {}
+        best, fail, parent = [-1], [0], [(0, 0)]
+        for entry, token in entries.items():
+            node = 0
+            for c in reversed(entry):
+                key = node << 9 | ord(c)
+                if key not in goto:
+                    goto[key] = len(best)
+                    best.append(-1)
+                    fail.append(0)
+                    parent.append((node, ord(c)))
+                node = goto[key]
+            best[node] = token
+        level = [n for n, (p, _) in enumerate(parent) if n and not p]
+        below: dict[int, list[int]] = {}
+        for n, (p, _) in enumerate(parent):
+            if n:
+                below.setdefault(p, []).append(n)
+        while level:
+            for n in level:
+                p, c = parent[n]
+                if p:
+                    f = fail[p]
+                    while f and f << 9 | c not in goto:
+                        f = fail[f]
+                    fail[n] = goto.get(f << 9 | c, 0)
+                if best[n] < 0:
+                    best[n] = best[fail[n]]
+            level = [m for n in level for m in below.get(n, ())]
+        self.goto = Lookup(np.array(list(goto), np.uint64), np.array(list(goto.values()), np.int32))
+        self.fail, self.best = np.array(fail, np.int32), np.array(best, np.int32)
+
+    def longest(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each row of symbols (size of them) the longest entry at each place, or -1."""
+        out = np.full(symbols.shape, -1, np.int32)
+        state = np.zeros(len(symbols), np.int64)
+        for at in range(symbols.shape[1] - 1, -1, -1):
+            on = np.flatnonzero(size > at)
+            s, c = state[on], symbols[on, at]
+            after = self.goto.find((s << 9 | c).astype(np.uint64))
+            lost = np.flatnonzero(after < 0)
+            while len(lost):
+                ended = s[lost] == 0
+                after[lost[ended]] = 0
+                lost = lost[~ended]
+                s[lost] = self.fail[s[lost]]
+                after[lost] = self.goto.find((s[lost] << 9 | c[lost]).astype(np.uint64))
+                lost = lost[after[lost] < 0]
+            state[on] = after
+            out[on, at] = self.best[after]
+        return out
+
+
 class Encoder:
-    """Texts, chunks and words to ids, packed as little-endian 32-bit integers; what was found is remembered."""
+    """Texts to ids, packed as little-endian 32-bit integers; chunks and words found before are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.automaton = ahocorasick.Automaton()
-        self.chunks = Memory(self.chunk)
-        self.words = Memory(self.word)
-        self.compatible: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.most, self.bytes, self.word_bytes = REMEMBERED, 0, 0
+        self.compatible = Lookup(np.empty(0, np.uint64), np.empty(0, np.int8))
         self.whole: dict[int, bool] = {}
         self.left_edge: dict[int, list[tuple[int, int, int]]] = {}
         self.right_edge: dict[int, list[tuple[int, int, int]]] = {}
         standing = {s: i for i, s in vocabulary.token_symbols.items() if self.stands(i)}  # others never occur
         most = max(vocabulary.token_symbols, default=-1) + 1
-        self.size = [0] * most
+        self.size = np.zeros(most, np.int64)
         #: For each token the longest other one that it begins with, or -1.
-        self.shorter = [-1] * most
+        self.shorter = np.full(most, -1, np.int32)
         for s, i in standing.items():
-            self.automaton.add_word(s, (len(s) - 1, i))
             self.size[i] = len(s)
             self.shorter[i] = next((standing[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in standing), -1)
-        self.automaton.make_automaton()
-
-    def chunk(self, chunk: str) -> bytes:
-        words = self.v.words(chunk)
-        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
-
-    def word(self, word: str) -> bytes:
-        return array("I", self.encode(self.v.word_symbols(word))).tobytes()
+        self.automaton = Automaton(standing)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The tokens that stand at that edge while the token is being merged: (token, rank made, rank ended)."""
@@ -201,24 +285,19 @@ class Encoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merge rules leave the border between a and b alone."""
-        key = a << 20 | b
-        found = self.compatible.get(key)
-        if found is None:
-            found, xs, ys, i, j = True, self.edge(a, 1), self.edge(b, 0), 0, 0
-            while i < len(xs) and j < len(ys):
-                (x, x_made, x_ended), (y, y_made, y_ended) = xs[i], ys[j]
-                merge = self.v.merges.get((x, y))
-                if merge is not None:
-                    at = max(merge[0], x_made, y_made)
-                    if at < x_ended and at <= y_ended:
-                        found = False
-                        break
-                if x_ended <= y_ended:
-                    i += 1
-                else:
-                    j += 1
-            self.compatible[key] = found
-        return found
+        xs, ys, i, j = self.edge(a, 1), self.edge(b, 0), 0, 0
+        while i < len(xs) and j < len(ys):
+            (x, x_made, x_ended), (y, y_made, y_ended) = xs[i], ys[j]
+            merge = self.v.merges.get((x, y))
+            if merge is not None:
+                at = max(merge[0], x_made, y_made)
+                if at < x_ended and at <= y_ended:
+                    return False
+            if x_ended <= y_ended:
+                i += 1
+            else:
+                j += 1
+        return True
 
     def stands(self, token: int) -> bool:
         """Whether the merge rules make this token out of its own symbols."""
@@ -249,48 +328,127 @@ class Encoder:
             else:
                 j += 1
 
-    def encode(self, word: str) -> list[int]:
-        n, size, shorter, known = len(word), self.size, self.shorter, self.compatible
-        longest = [-1] * n  # of the tokens that begin at each place, the last found is the longest
-        for end, (back, token) in self.automaton.iter(word):
-            longest[end - back] = token
-        tokens: list[int] = []
-        dead: set[int] = set()
-        pos, token, before = 0, longest[0], -1
-        while True:
-            if token < 0:  # nothing fits here: step back
-                dead.add(pos)
-                if not tokens:
+    def fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs (a, b) are compatible, from the table; new pairs are worked out and added."""
+        keys = (a.astype(np.int64) << 20 | b).astype(np.uint64)
+        out = self.compatible.find(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            pairs, which = np.unique(keys[new], return_inverse=True)
+            made = np.array([self.fits(p >> 20, p & 0xFFFFF) for p in pairs.tolist()], np.int8)
+            if self.compatible.count + len(pairs) > PAIRS:
+                self.compatible = Lookup(np.empty(0, np.uint64), np.empty(0, np.int8))
+            self.compatible.put(pairs, made)
+            out[new] = made[which]
+        return out > 0
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of words of bytes."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        i = 0
+        while i < len(order):  # words of like length, as many as keep the arrays small
+            rows = max(1, CELLS // max(1, int(lengths[order[min(i + 1000, len(order) - 1)]])))
+            part = order[i : i + rows]
+            for j, ids in zip(part.tolist(), self._encode([words[j] for j in part], lengths[part]), strict=True):
+                out[j] = ids
+            i += rows
+        return out
+
+    def _encode(self, words: list[bytes], n: np.ndarray) -> list[bytes]:
+        rows, width = np.arange(len(words)), int(n.max())
+        symbols = np.zeros((len(words), width), np.int64)
+        symbols[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        if self.v.end:
+            symbols[rows, n - 1] += 256
+        longest = self.automaton.longest(symbols, n)
+        tokens = np.zeros((len(words), width), np.int32)
+        dead = np.zeros((len(words), width + 1), bool)
+        at, placed, token = np.zeros_like(n), np.zeros_like(n), longest[:, 0].copy()
+        while len(rows):
+            stuck = token[rows] < 0
+            if stuck.any():  # nothing fits here: step back
+                b = rows[stuck]
+                dead[b, at[b]] = True
+                if not placed[b].all():
                     raise ValueError("a word has symbols outside the vocabulary")
-                token = tokens.pop()
-                pos -= size[token]
-                before = tokens[-1] if tokens else -1
-                token = shorter[token]
-                continue
-            fits = pos + size[token] not in dead
-            if fits and before >= 0:
-                fits = known.get(before << 20 | token)
-                if fits is None:
-                    fits = self.fits(before, token)
-            if not fits:
-                token = shorter[token]
+                placed[b] -= 1
+                x = tokens[b, placed[b]]
+                at[b] -= self.size[x]
+                token[b] = self.shorter[x]
+            g = rows[~stuck]
+            t, end = token[g], at[g] + self.size[token[g]]
+            fits = ~dead[g, end]
+            after = np.flatnonzero(fits & (placed[g] > 0))
+            fits[after] = self.fitting(tokens[g[after], placed[g[after]] - 1], t[after])
+            w, end = g[fits], end[fits]
+            tokens[w, placed[w]] = t[fits]
+            placed[w] += 1
+            at[w] = end
+            more = w[end < n[w]]
+            token[more] = longest[more, at[more]]
+            token[g[~fits]] = self.shorter[t[~fits]]
+            if len(more) < len(w):
+                rows = rows[at[rows] < n[rows]]
+        flat = tokens[np.arange(width) < placed[:, None]].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(placed)).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _remember(self, chunks: set[str]) -> None:
+        """Makes sure that `known` has all the chunks."""
+        if 2 * self.bytes > self.most:
+            self.older, self.known, self.bytes = self.known, {}, 0
+        if 2 * self.word_bytes > self.most:
+            self.words, self.word_bytes = {}, 0
+        known, older, words = self.known, self.older, self.words
+        lacking = [c for c in chunks if c not in known]
+        new = []
+        for c in lacking:
+            ids = older.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                known[c] = ids
+        if new:
+            lines = self.v.lines(new)
+            unknown = list({w for line in lines for w in line if w not in words})
+            words.update(zip(unknown, self.encode([w.encode() for w in unknown]), strict=True))
+            self.word_bytes += sum(map(len, unknown)) + ENTRY * len(unknown)
+            for c, line in zip(new, lines, strict=True):
+                known[c] = words[line[0]] if len(line) == 1 else b"".join([words[w] for w in line])
+        self.bytes += sum(map(len, lacking)) + ENTRY * len(lacking)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of whole texts."""
+        out, i = [], 0
+        while i < len(texts):
+            if len(texts[i]) > PART:
+                out.append(b"".join([self._texts([p])[0] for p in self.v.parts_of(texts[i])]))
+                i += 1
                 continue
-            tokens.append(token)
-            pos += size[token]
-            if pos == n:
-                return tokens
-            before, token = token, longest[pos]
+            j, size = i, 0
+            while j < len(texts) and len(texts[j]) <= PART and size <= PART:
+                size += len(texts[j])
+                j += 1
+            out += self._texts(texts[i:j])
+            i = j
+        return out
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        cut = [list(self.v.chunks(t)) for t in texts]
+        chunks: set[str] = set()
+        for parts in cut:
+            for _, c in parts:
+                chunks.update(c)
+        chunks.discard("")
+        self._remember(chunks)
+        self.known[""] = b""
+        known, special = self.known, self.v.special
+        return [b"".join([x for s, c in parts for x in ((special[s].to_bytes(4, "little") if s else b""), *map(known.__getitem__, c))]) for parts in cut]
 
     def text(self, text: str) -> bytes:
-        """The packed ids of a whole text."""
-        if len(self.compatible) > PAIRS:
-            self.compatible.clear()
-        out, chunks_ = [], self.chunks
-        for special, chunks in self.v.chunks(text):
-            if special:
-                out.append(self.v.special[special].to_bytes(4, "little"))
-            out.extend([chunks_[c] for c in chunks if c])
-        return b"".join(out)
+        return self.texts([text])[0]
 
 
 class Decoder:
@@ -342,7 +500,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", packe
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        made = [e.text(x or "") for x in batch.column(text).to_pylist()]
+        made = e.texts([x or "" for x in batch.column(text).to_pylist()])
         if packed:
             column = pa.array(made, pa.binary())
         else:

@@ -5,19 +5,22 @@ further tables (continuation counts, discounts, context weights, probabilities)
 tables. A document's perplexity is held against a quantile of its language's trusted documents that were kept out of
 training.
 
-For scoring, probabilities and context weights go to the tasks in shards of at most SHARD rows, dealt by the last two
-bytes of the context, on which every lookup of a position depends; so each shard answers its positions completely, and
-the sums of a document's shards add up. What orders 1 and 2 need has 65,536 rows at most and goes with every shard.
+For scoring, probabilities and context weights go to the tasks in shards of about SHARD rows. A shard has all rows of
+some two-byte contexts, on which every lookup of a position depends, so each shard answers its positions completely and
+the sums of a text's shards add up. Contexts are dealt to shards by their counted rows, the largest first. Up to TOGETHER
+shards are scored in one reading of the texts; the sums of several readings are added by id and text, whatever the number
+of equal rows. What orders 1 and 2 need has 65,536 rows at most and goes with every shard.
 
 Defined cases: null and empty texts have perplexity 1 and are kept; short texts are judged by a mean that is drawn to
 their language's median (PRIOR bytes of it), as a few bytes say little; languages without trusted texts (and null) use
-the limit of all trusted texts, and without any trusted text all are kept; repeated rows score alike; ids are taken as
-unique where a model has several shards; an empty table gives an empty table.
+the limit of all trusted texts, and without any trusted text all are kept; repeated rows score alike and stay
+apart, whatever the number of shards; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from safespan.llm.arrays import LOWER, per_batch, runs, text_bytes
+from safespan.llm.arrays import LOWER, Lookup, hash_spans, per_batch, runs, text_bytes, unused
 from safespan.session import materialize
 
 ORDER = 5
 SHARD = 3_000_000
+TOGETHER = 4
 PRIOR = 60
 QUANTILE = 0.99
 SLACK = 1.05
@@ -98,56 +102,19 @@ def model(counts: DataFrame) -> tuple[DataFrame, list[float]]:
     return materialize(rows, "model"), pairs.tolist()
 
 
-class Lookup:
-    """Values by 64-bit keys, in an open table searched for many keys at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.size = np.uint64(64 - bits), 1 << bits
-        self.keys = np.full(self.size + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.values = np.zeros(self.size + 1, np.float32)
-        left, at = np.arange(len(keys)), self._at(keys)
-        while len(left):
-            free = self.keys[at] == np.uint64(0xFFFFFFFFFFFFFFFF)
-            slots, who = np.unique(at[free], return_index=True)
-            won = np.flatnonzero(free)[who]
-            self.keys[slots], self.values[slots] = keys[left[won]], values[left[won]]
-            rest = np.ones(len(left), bool)
-            rest[won] = False
-            left, at = left[rest], (at[rest] + 1) % self.size
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The values; -1 where a key is unknown."""
-        at = self._at(keys)
-        got = self.keys[at]
-        out = np.where(got == keys, self.values[at], np.float32(-1))
-        open_ = np.flatnonzero((got != keys) & (got != np.uint64(0xFFFFFFFFFFFFFFFF)))
-        while len(open_):
-            at_ = (at[open_] + 1) % self.size
-            at[open_] = at_
-            got = self.keys[at_]
-            hit = got == keys[open_]
-            out[open_[hit]] = self.values[at_[hit]]
-            open_ = open_[~hit & (got != np.uint64(0xFFFFFFFFFFFFFFFF))]
-        return out
-
-
 class Scorer:
-    def __init__(self, kind: np.ndarray, gram: np.ndarray, value: np.ndarray, pairs: list[float], shard: int, shards: int):
-        self.tables = {k: Lookup(gram[kind == k].view(np.uint64), value[kind == k]) for m in range(3, ORDER + 1) for k in (m, -m)}
+    """Scores the positions whose context lies in one shard. shard_of: the shard of each two-byte context."""
+
+    def __init__(self, kind: np.ndarray, gram: np.ndarray, value: np.ndarray, pairs: list[float], shard: int, shard_of: np.ndarray):
+        self.tables = {k: Lookup(gram[kind == k].view(np.uint64), value[kind == k].astype(np.float32)) for m in range(3, ORDER + 1) for k in (m, -m)}
         self.pairs = np.array(pairs)
-        self.shard, self.shards = shard, shards
+        self.shard, self.shard_of = shard, shard_of
 
     def loss(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each text the sum of -ln p over its bytes whose context lies in this shard."""
         g = grams(data, offsets)
-        rest = np.arange(len(g))
         out = np.zeros(len(g))
-        if self.shards > 1:
-            rest = rest[(((g >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(self.shards)) == self.shard]
+        rest = np.flatnonzero(self.shard_of[((g >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)] == self.shard)
         weight = np.ones(len(rest))
         for m in range(ORDER, 2, -1):
             key = g[rest] & np.uint64((1 << 8 * m) - 1)
@@ -162,36 +129,54 @@ class Scorer:
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-_scorer: list = [None, None]
+_scorers: list = [None, None]
+
+
+def dealt(rows: DataFrame, near: F.Column) -> np.ndarray:
+    """The shard of each two-byte context: at most 65,536 counts, dealt to the emptiest shard, the largest first."""
+    counts = {r[0]: r[1] for r in rows.groupBy(near).count().collect()}
+    shards = max(1, -(-sum(counts.values()) // SHARD))
+    shard_of = (np.arange(65536) % shards).astype(np.int32)  # unseen contexts need no rows
+    heap = [(0, i) for i in range(shards)]
+    for context, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        size, i = heappop(heap)
+        shard_of[context] = i
+        heappush(heap, (size + n, i))
+    return shard_of
 
 
 def losses(df: DataFrame, rows: DataFrame, pairs: list[float], key: str, text: str, keep: list[str]) -> DataFrame:
     """The kept columns with nll (the sum of -ln p over all bytes) and n_bytes."""
-    total = rows.count()
-    shards = max(1, -(-total // SHARD))
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("nll", T.DoubleType()), T.StructField("n_bytes", T.LongType())])
-    context, parts = df.sparkSession.sparkContext, []
-    for shard in range(shards):
-        near = F.when(F.col("kind") > 0, F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(0xFFFF)
-        got = (rows.where(near % shards == shard) if shards > 1 else rows).toArrow()
-        columns = [got.column(n).to_numpy() for n in ("kind", "gram", "value")]
-        shared = context.broadcast((columns[0].astype(np.int8), columns[1], columns[2].astype(np.float32)))  # about SHARD rows
-
-        def make(batch: pa.RecordBatch, shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
-            if _scorer[0] is not shared.value:
-                _scorer[:] = [shared.value, Scorer(*shared.value, pairs, shard, shards)]
+    near = F.when(F.col("kind") > 0, F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(0xFFFF)
+    shard_of = dealt(rows, near)
+    shards, context, parts = int(shard_of.max()) + 1, df.sparkSession.sparkContext, []
+    marks = unused(df, "text_a", "text_b")
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("nll", T.DoubleType()), T.StructField("n_bytes", T.LongType())] + [T.StructField(m, T.LongType()) for m in marks])
+    for first in range(0, shards, TOGETHER):
+        shared = {}
+        for shard in range(first, min(first + TOGETHER, shards)):
+            held = [int(c) for c in np.flatnonzero(shard_of == shard)]
+            got = (rows.where(near.isin(held)) if shards > 1 else rows).toArrow()
+            columns = [got.column(n).to_numpy() for n in ("kind", "gram", "value")]
+            shared[shard] = context.broadcast((columns[0].astype(np.int8), columns[1], columns[2].astype(np.float32)))  # about SHARD rows
+
+        def make(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            if _scorers[0] is not next(iter(shared.values())).value:
+                _scorers[:] = [next(iter(shared.values())).value, [Scorer(*x.value, pairs, i, shard_of) for i, x in shared.items()]]
             data, offsets = text_bytes(batch.column(text))
-            sums = [_scorer[1].loss(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in runs(offsets, 1 << 19)]
-            columns = [*(batch.column(c) for c in keep), pa.array(np.concatenate([np.empty(0), *sums])), pa.array(np.diff(offsets))]
+            sums = [sum(s.loss(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for s in _scorers[1]) for i, j in runs(offsets, 1 << 19)]
+            whole = [hash_spans(data, offsets[:-1], offsets[1:]), hash_spans(data[::-1], (len(data) - offsets[1:])[::-1], (len(data) - offsets[:-1])[::-1])[::-1]]
+            columns = [*(batch.column(c) for c in keep), pa.array(np.concatenate([np.empty(0), *sums])), pa.array(np.diff(offsets)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in whole)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
         parts.append(materialize(df.select(*dict.fromkeys([*keep, text])).mapInArrow(per_batch(make), schema), "losses"))
-    if shards == 1:
-        return parts[0]
+    if len(parts) == 1:
+        return parts[0].drop(*marks)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy(*keep, "n_bytes").agg(F.sum("nll").alias("nll"))
+    out = out.groupBy(*keep, "n_bytes", *marks).agg(F.sum("nll").alias("nll"), (F.count("*") / len(parts)).cast("int").alias("_copies"))
+    return out.select(*keep, (F.col("nll") / F.col("_copies")).alias("nll"), "n_bytes", F.explode(F.sequence(F.lit(1), "_copies"))).drop("col")
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:

@@ -138,7 +138,7 @@ def test_kneser_ney_is_a_distribution(spark):
     df = spark.createDataFrame([(text,), ("another text then",), (None,), ("",)], "text string")
     rows, pairs = kneser.model(kneser.count_grams(df))
     got = rows.toArrow()
-    s = kneser.Scorer(*(got.column(n).to_numpy() for n in ("kind", "gram", "value")), pairs, 0, 1)
+    s = kneser.Scorer(*(got.column(n).to_numpy() for n in ("kind", "gram", "value")), pairs, 0, np.zeros(65536, np.int32))
     for history in (b"the ", b"thre", b"zzzz", b"qq t"):
         total = 0.0
         for c in set(range(256)) - set(range(65, 91)):  # capitals count as small letters
@@ -149,13 +149,67 @@ def test_kneser_ney_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=0.02) or total + capitals == pytest.approx(1, abs=0.02)
 
 
-def test_shards_add_up(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    trusted = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
-    whole = {r.doc_id: r.perplexity for r in kneser.judge(docs, trusted).collect()}
-    monkeypatch.setattr(kneser, "SHARD", 20_000)
-    parts = {r.doc_id: r.perplexity for r in kneser.judge(docs, trusted).collect()}
-    assert whole.keys() == parts.keys() and np.allclose([whole[k] for k in whole], [parts[k] for k in whole], rtol=1e-3)
+def slow_kneser_ney(texts, order):
+    """Perplexities under interpolated modified Kneser-Ney, from counts of padded strings; the training texts' model."""
+    raw = [bytes(order - 1) + bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()) for t in texts]
+    tables = {order: {}}
+    for t in raw:
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1 : i + 1]
+            tables[order][g] = tables[order].get(g, 0) + 1
+    for m in range(order - 1, 0, -1):
+        tables[m] = {}
+        for g in tables[m + 1]:
+            tables[m][g[1:]] = tables[m].get(g[1:], 0) + 1
+    off = {}
+    for m, t in tables.items():
+        n = [0] + [sum(c == i for c in t.values()) for i in range(1, 5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [i - (i + 1) * y * n[i + 1] / max(n[i], 1) for i in (1, 2, 3)]
+        off[m] = [x if 0 < x < i else 0.5 * i for i, x in zip((1, 2, 3), d, strict=True)]
+    sums = {}
+    for m, t in tables.items():
+        for g, c in t.items():
+            s = sums.setdefault((m, g[:-1]), [0, 0.0])
+            s[0] += c
+            s[1] += off[m][min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        m, c = len(g), tables[len(g)].get(g, 0)
+        if (m, g[:-1]) not in sums:
+            return p(g[1:])
+        total, offs = sums[m, g[:-1]]
+        return ((c - off[m][min(c, 3) - 1] if c else 0) + offs * p(g[1:])) / total
+
+    def perplexity(text):
+        t = bytes(order - 1) + bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+        logs = [np.log(p(t[i - order + 1 : i + 1])) for i in range(order - 1, len(t))]
+        return float(np.exp(-np.mean(logs))) if logs else 1.0
+
+    return perplexity
+
+
+@pytest.mark.parametrize("shard", [3_000_000, 150])
+def test_against_a_slow_kneser_ney(spark, shard, monkeypatch):
+    """Also with several shards and readings of the texts, repeated rows, nulls, a long text and clashing names."""
+    monkeypatch.setattr(kneser, "SHARD", shard)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("the theory of a thing thin Thread threads é and".split(), k=rng.randint(1, 30))) for _ in range(30)]
+    rows = [(i, t, "en", 1) for i, t in enumerate(texts)] + [(100, None, "en", 1), (101, "", None, 1), (102, "qq the zz", "xx", 1), (103, "long thing " * 30_000, "en", 1)]
+    rows += rows[:4] + rows[:1] + [(5, "one more text of the same id", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, text_a int")
+    trusted = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    learned = [t for i, t in enumerate(texts) if i < 20 and zlib.crc32(str(i).encode()) % 5] + [t for i, t, *_ in rows[34:] if i < 20 and zlib.crc32(str(i).encode()) % 5]
+    slow = slow_kneser_ney(learned, kneser.ORDER)
+    got = kneser.judge(docs, trusted).collect()
+    assert sorted(r.doc_id for r in got) == sorted(x[0] for x in rows)
+    want = sorted((i, slow(t) if i != 103 else None) for i, t, *_ in rows if i != 5)
+    have = sorted((r.doc_id, r.perplexity) for r in got if r.doc_id != 5)
+    assert all(a == b and (y is None or abs(x - y) < 1e-5 * y + 1e-6) for (a, x), (b, y) in zip(have, want, strict=True))
+    assert sorted(r.perplexity for r in got if r.doc_id == 5) == pytest.approx(sorted(slow(t) for i, t, *_ in rows if i == 5), rel=1e-5)
+    assert kneser.judge(docs.limit(0), trusted).count() == 0
 
 
 def test_quality(spark, sf):

@@ -30,13 +30,22 @@ def test_same_ids_counts_and_texts_as_the_library(library):
 
 def test_forgetting_changes_nothing(library):
     e, c = bpe.Encoder(bpe.Vocabulary(PATH)), tokencount.Counter(bpe.Vocabulary(PATH))
-    for memory in (e.chunks, e.words, c.chunks, c.words):
-        memory.most = 2000  # four entries or so in either half
+    e.most = c.chunks.most = c.words.most = 2500  # four entries or so in either half
     for i in range(30):
         t = f"word{i} and another one {i % 3} the theory"
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(e.text(t), "<u4").tolist() == ids and c.text(t) == len(ids)
-        assert all(len(m) <= 6 and len(m.older) <= 6 for m in (e.chunks, e.words, c.chunks, c.words))
+        assert all(len(m) < 20 for m in (e.known, e.older, e.words, c.chunks, c.chunks.older, c.words, c.words.older))
+
+
+def test_long_words_and_texts_in_parts(monkeypatch, library):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdefgh", k=n)) for n in (3000, 400, 1, 0)] + [" ".join("".join(rng.choices("aeinrst", k=rng.randint(1, 12))) for _ in range(3000))]
+    texts += [texts[-1].replace("a ", "a<|endoftext|> "), "x" * 500 + " " + "yz" * 300]
+    monkeypatch.setattr(bpe, "PART", 1000)
+    monkeypatch.setattr(bpe, "CELLS", 200)
+    e = bpe.Encoder(bpe.Vocabulary(PATH))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.texts(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_every_code_point_beside_a_letter(library):
