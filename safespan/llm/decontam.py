@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from safespan.llm.arrays import per_batch
 
@@ -63,7 +64,7 @@ def nearest(item: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], every: int = EVERY, least: int = LEAST):
+    def __init__(self, items: list[tuple[object, str]], every: int = EVERY, least: int = LEAST):
         self.items = [(k, lowered(t)) for k, t in items if t]
         self.budget = [len(t) // every if len(t) >= least else 0 for _, t in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
@@ -77,7 +78,7 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
-    def matches(self, text: str | None, first: bool = False) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str | None, first: bool = False) -> list[tuple[object, int, int, int]]:
         """(item key, start, end, distance) of the items found in the text, non-overlapping for each item; with `first`
         at most one match."""
         if not text or not self.items:
@@ -111,7 +112,7 @@ class Matcher:
                 done = lo + stop
                 if first:
                     return out
-        return sorted(out)
+        return sorted(out, key=lambda x: x[1:])
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -142,7 +143,8 @@ def _matcher(shared) -> Matcher:
 def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each occurrence of an item in a document: both keys, match_start, match_end (code points) and distance."""
     context = docs.sparkSession.sparkContext
-    schema = T.StructType([docs.schema[key], T.StructField(item_key, T.LongType())] + [T.StructField(n, T.LongType()) for n in ("match_start", "match_end", "distance")])
+    schema = T.StructType([docs.schema[key], T.StructField(item_key, items.schema[item_key].dataType)] + [T.StructField(n, T.LongType()) for n in ("match_start", "match_end", "distance")])
+    kind = to_arrow_type(items.schema[item_key].dataType)
     out = None
     for rows in _blocks(items, item_key, item_text):
         shared = context.broadcast(rows)  # at most about BLOCK characters
@@ -150,8 +152,9 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         def make(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
             m = _matcher(shared)
             found = [(i, *x) for i, t in enumerate(batch.column(text).to_pylist()) for x in m.matches(t)]
-            columns = [pa.array([x[c] for x in found], pa.int64()) for c in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(columns[0]), *columns[1:]], schema.names)
+            keys = pa.array([x[1] for x in found], kind)
+            columns = [pa.array([x[c] for x in found], pa.int64()) for c in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(columns[0]), keys, *columns[1:]], schema.names)
 
         part = docs.select(key, text).mapInArrow(per_batch(make), schema)
         out = part if out is None else out.unionByName(part)

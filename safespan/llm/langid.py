@@ -7,8 +7,8 @@ of its size), as with very short texts, both are weighed again by a slower encod
 bytes, and the two sizes are added. Where the runner-up is still within `margin`, the answer is rejected as too close to
 call.
 
-Fitting takes at most SAMPLE texts a language, the ones with the least hashes, and at most PIECE code points of each,
-from its middle; only these bounded samples reach the driver. Prediction compresses whole texts.
+Fitting takes at most SAMPLE labelled texts a language, the ones with the least hashes among those of at most LONGEST code
+points, whole; only these bounded samples reach the driver. Prediction compresses whole texts of any length.
 
 Defined cases: texts that are null or have no letter get `und`, score 0 and are rejected; ties go to the first language
 in alphabetical order and are rejected; repeated rows get equal answers; with no labelled texts all get `und`; an empty
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from safespan.llm.arrays import per_batch
 
-SAMPLE = 600
-PIECE = 800
+SAMPLE = 250
+LONGEST = 20_000
 PART = 100_000
 LEVEL = 3
 CLOSE = 0.03
@@ -36,9 +36,9 @@ MARGIN = 0.002
 NONE = "und"
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, piece: int = PIECE) -> dict[str, bytes]:
-    """The dictionary content of each language: the sampled pieces in lower case, least hash last (nearest to the text)."""
-    rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> dict[str, bytes]:
+    """The dictionary content of each language: the sampled texts in lower case, least hash last (nearest to the text)."""
+    rows = df.where(F.col(lang).isNotNull() & F.length(text).between(1, longest)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -46,8 +46,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAM
     # a first cut by hash leaves about four times the sample in each language, whatever its size
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * sample / n))])
     few = rows.where(F.pmod(F.col("hash"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    cut = F.expr(f"substring(text, greatest(1, (length(text) - {piece}) div 2), {piece})")
-    best = few.groupBy("lang", "hash").agg(F.first(cut).alias("text"))
+    best = few.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     order = "row_number() over (partition by lang order by hash, text)"
     chosen = best.withColumn("place", F.expr(order)).where(F.col("place") <= sample).collect()
     made: dict[str, list] = {}
@@ -98,7 +97,7 @@ def identify(df: DataFrame, model: dict[str, bytes], text: str = "text", margin:
     new = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType()), ("rejected", T.BooleanType())]
     names = [n for n, _ in new]
     schema = T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(*x) for x in new])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE * PIECE characters a language
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE * LONGEST characters a language
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [classify(x, shared.value) for x in batch.column(text).to_pylist()]

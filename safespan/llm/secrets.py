@@ -42,7 +42,7 @@ ASSIGN = re.compile(
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-USER = re.compile("(?:" + "|".join(map(_either_case, ("username", "user", "login", "client_id", "account"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""")
+USER = re.compile("(?:" + "|".join(map(_either_case, ("username", "user", "login", "client_id", "account"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""")
 USER_HINTS = ("user", "login", "client_id", "account")
 MIXED = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|s3)://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])")

@@ -5,9 +5,12 @@ a bias, the sum of the terms' weights, and the sum over pairs of terms of the in
 insult beside the mention of a group can count for more than both alone, which additive weights can't express.
 
 Fitting takes at most SAMPLE labelled rows, those with the least hashes of their keys, and runs stochastic gradient steps
-on their bounded term lists on the driver; only terms that occur in MIN_ROWS sampled rows or more and whose presence
-depends on the label (a G-test statistic of MIN_GAIN or more) get weights, so that the many chance terms of long texts
-don't add up. Scoring covers every row and whole texts.
+on their term lists on the driver: SAMPLE bounds the rows, and a row's list is as long as its text has distinct terms.
+Terms that occur in MIN_ROWS sampled rows or more get weights and factors if their presence depends on the label (a G-test
+statistic of MIN_GAIN or more), or if that of a pair of terms does: among the rows with either of the two, the presence
+of the other depends on the label (PAIR_GAIN or more both ways), as where only both together are toxic, or only one of
+them alone. Other terms get none, so that the many chance terms of long texts don't add up. Tasks search the pairs, each
+for a range of terms. Scoring covers every row and whole texts.
 
 Defined cases: null and empty texts and texts without letters score by the bias alone; repeated rows score alike; without
 labelled rows every score is 0.5, and with labels of one class that class's bias is learned; an empty table gives an
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,7 @@ SAMPLE = 12_000
 FLAG = 0.3
 MIN_ROWS = 4
 MIN_GAIN = 14.0
+PAIR_GAIN = 30.0
 APART = np.ones(256, dtype=bool)
 APART[97:123] = False
 APART[128:] = False  # letters beyond ASCII
@@ -68,31 +72,85 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def gains(lists: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The G-test statistic of each place against the label; 0 where it was seen in fewer than MIN_ROWS rows."""
-    out = np.zeros(DIMS)
-    empty = [np.empty(0, np.int32)]
-    seen = np.bincount(np.concatenate(empty + lists), minlength=DIMS).astype(float)
-    ones = np.bincount(np.concatenate(empty + [x for x, y in zip(lists, labels, strict=True) if y]), minlength=DIMS).astype(float)
-    n, n1 = len(lists), float(labels.sum())
-    at = np.flatnonzero(seen >= MIN_ROWS)
-    cells = ((ones[at], seen[at], n1), (seen[at] - ones[at], seen[at], n - n1), (n1 - ones[at], n - seen[at], n1), (n - n1 - seen[at] + ones[at], n - seen[at], n - n1))
-    for got, row, column in cells:
+def dependence(ones: np.ndarray, seen: np.ndarray, n1: np.ndarray | float, n: np.ndarray | float) -> np.ndarray:
+    """The G-test statistic of a term seen in `seen` of n rows, `ones` of them among the n1 rows of label 1."""
+    out = np.zeros(np.shape(seen))
+    for got, row, column in ((ones, seen, n1), (seen - ones, seen, n - n1), (n1 - ones, n - seen, n1), (n - n1 - seen + ones, n - seen, n - n1)):
         with np.errstate(divide="ignore", invalid="ignore"):
-            out[at] += 2 * np.where(got > 0, got * np.log(got * n / (row * column)), 0.0)
+            out += 2 * np.where(got > 0, got * np.log(got * n / (row * column)), 0.0)
     return out
 
 
-def train(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int = 7) -> Machine:
-    """Logistic loss with AdaGrad steps, one row at a time."""
+def counted(lists: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows each place occurs, and in how many of label 1."""
+    empty = [np.empty(0, np.int32)]
+    seen = np.bincount(np.concatenate(empty + lists), minlength=DIMS).astype(float)
+    ones = np.bincount(np.concatenate(empty + [x for x, y in zip(lists, labels, strict=True) if y]), minlength=DIMS).astype(float)
+    return seen, ones
+
+
+class Pairs:
+    """Finds terms that matter in pairs. Rows of equal terms and label count once here: copies are no evidence."""
+
+    def __init__(self, lists: list[np.ndarray], labels: np.ndarray):
+        once = {(x.tobytes(), y): i for i, (x, y) in enumerate(zip(lists, labels.tolist(), strict=True))}
+        lists, self.labels = [lists[i] for i in once.values()], labels[list(once.values())]
+        self.places = np.flatnonzero(counted(lists, self.labels)[0] >= MIN_ROWS)
+        number = np.full(DIMS, -1, np.int32)
+        number[self.places] = np.arange(len(self.places))
+        self.rows = [x[x >= 0] for x in (number[p] for p in lists)]
+        flat = np.concatenate([np.empty(0, np.int32), *self.rows])
+        row = np.repeat(np.arange(len(self.rows)), [len(x) for x in self.rows])
+        by = np.argsort(flat, kind="stable")
+        self.holders, self.at = row[by], np.searchsorted(flat[by], np.arange(len(self.places) + 1))
+        self.seen = np.diff(self.at).astype(float)
+        self.ones = np.bincount(flat, self.labels[row], minlength=len(self.places))
+
+    def partners(self, a: int) -> np.ndarray:
+        """The places of a term and of its partners after it, if it has any."""
+        holders, n = self.holders[self.at[a] : self.at[a + 1]], len(self.places)
+        if not len(holders):
+            return self.places[:0]
+        met = np.concatenate([self.rows[i] for i in holders])
+        both = np.bincount(met, minlength=n).astype(float)
+        ones = np.bincount(met, np.repeat(self.labels[holders], [len(self.rows[i]) for i in holders]), minlength=n)
+        b = np.flatnonzero(both >= MIN_ROWS)
+        b = b[b > a]
+        gain = dependence(ones[b], both[b], self.ones[a], self.seen[a])
+        b, gain = b[gain >= PAIR_GAIN], gain[gain >= PAIR_GAIN]
+        other = dependence(ones[b], both[b], self.ones[b], self.seen[b])
+        # a term beside one that never occurs without it says nothing more than that one
+        b = b[(other >= PAIR_GAIN) & (both[b] < self.seen[b]) & (both[b] < self.seen[a])]
+        return self.places[np.concatenate(([a], b))] if len(b) else self.places[:0]
+
+
+def paired(spark: SparkSession, lists: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Places of the terms that matter in pairs; the terms are dealt to tasks."""
+    pairs = Pairs(lists, labels)
+    shared = spark.sparkContext.broadcast(pairs)  # the term lists of at most SAMPLE rows
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.partners(a) for a in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.int64), *found])))], ["place"])
+
+    n = len(pairs.places)
+    got = spark.range(0, n, 1, min(64, max(1, n // 64))).mapInArrow(make, "place long").distinct().toArrow()  # at most n places
+    return np.sort(got.column("place").to_numpy())
+
+
+def train(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int = 7, partners: np.ndarray | None = None) -> Machine:
+    """Logistic loss with AdaGrad steps, one row at a time. partners: places of terms that matter in pairs."""
     slot = np.zeros(DIMS, np.int32)
     if not len(lists):
         return Machine(0.0, slot, np.zeros(1), np.zeros((1, FACTORS)))
-    known = np.flatnonzero(gains(lists, labels) >= MIN_GAIN)
+    seen, ones = counted(lists, labels)
+    alone = np.flatnonzero((seen >= MIN_ROWS) & (dependence(ones, seen, float(labels.sum()), float(len(lists))) >= MIN_GAIN))
+    known = alone if partners is None else np.union1d(alone, partners)
     slot[known] = np.arange(1, len(known) + 1)
     rng = np.random.default_rng(seed)
     weight, gw = np.zeros(len(known) + 1), np.full(len(known) + 1, 1e-2)
-    factor, gv = rng.normal(0, 0.01, (len(known) + 1, FACTORS)), np.full((len(known) + 1, FACTORS), 1e-2)
+    factor, gv = rng.normal(0, 0.1, (len(known) + 1, FACTORS)), np.full((len(known) + 1, FACTORS), 1e-2)
     factor[0] = 0
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     bias, gb = float(np.log(rate / (1 - rate))), 1e-2
@@ -133,7 +191,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
 
     got = rows.mapInArrow(per_batch(make), schema).toArrow().sort_by([("hash", "ascending"), ("label", "ascending")]).slice(0, sample)
     lists = [np.asarray(x.values, np.int32) if x.values is not None else np.empty(0, np.int32) for x in got.column("places")]
-    return train(lists, np.asarray(got.column("label").to_pylist(), float))
+    labels = np.asarray(got.column("label").to_pylist(), float)
+    return train(lists, labels, partners=paired(labelled.sparkSession, lists, labels))
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:

@@ -11,15 +11,16 @@ with fewer than w hashes they form one window; equal texts have equal fingerprin
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from safespan.llm.arrays import BASE, mix64, per_batch
+from safespan.llm.arrays import BASE, mix64, per_batch, unused
 from safespan.llm.bpe import _with
 
 K, W = 8, 8
@@ -134,36 +135,35 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
 
     The rows are dealt over ranges of the key, with bounds from an approximate quantile sketch; each range also gets the
     first row of the range below as a ghost, and looks ahead within itself. So the texts are shuffled once, and no range
-    holds more than its share of the keys.
+    holds more than its share of the keys. Keys are numbers. The bounds are shared with the tasks: four for each shuffle
+    partition.
     """
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)]
     bounds, top = df.agg(F.percentile_approx(key, shares, 20 * n), F.max(key)).first()
     bounds = sorted({b for b in bounds or [] if b < top})
-    at: Column = F.lit(0)
-    if bounds:  # the number of bounds below the key
-        at = F.coalesce(_rank(F.col(key), bounds), F.lit(0))
-    def place(where: Column, ghost: bool) -> Column:
-        return F.struct(where.alias("range"), F.lit(ghost).alias("ghost"))
-
-    own = place(at, False)
-    if top is None:  # no keys: all rows are in one range
-        places = F.array(own, place(F.lit(0), True))
-    else:
-        places = F.when(F.col(key) == F.lit(top), F.array(own, place(F.lit(0), True)))
-        places = places.when(F.col(key).isin(bounds), F.array(own, place(at + 1, True))).otherwise(F.array(own))
-    order = [F.col("_at.ghost"), F.col(key).desc_nulls_last(), F.col(text).asc_nulls_first()]
-    dealt = df.withColumn("_at", F.explode(places))
-    ahead = F.lead(text).over(Window.partitionBy("_at.range").orderBy(*order))
-    return dealt.withColumn(name, ahead).where(~F.col("_at.ghost")).drop("_at")
-
-
-def _rank(key: Column, bounds: list) -> Column:
-    """How many of the ascending bounds lie below key, by binary search written as nested conditions."""
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(bounds))
+    shared = df.sparkSession.sparkContext.broadcast((bounds, set(bounds), top))
+    range_, ghost = unused(df, "range", "ghost")
+
+    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bounds, ends, top = shared.value
+        rows, at, ghosts = [], [], []
+        for i, k in enumerate(batch.column(key).to_pylist()):
+            below = bisect_left(bounds, k) if k is not None else 0
+            places = [(below, False)]
+            if top is None or k == top:  # the last row is followed by the first
+                places.append((0, True))
+            elif k in ends:
+                places.append((below + 1, True))
+            for p, g in places:
+                rows.append(i)
+                at.append(p)
+                ghosts.append(g)
+        made = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*made.columns, pa.array(at, pa.int32()), pa.array(ghosts, pa.bool_())], [*df.columns, range_, ghost])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(range_, T.IntegerType()), T.StructField(ghost, T.BooleanType())])
+    dealt = df.mapInArrow(per_batch(deal), schema)
+    order = [F.col(ghost), F.col(key).desc_nulls_last(), F.col(text).asc_nulls_first()]
+    ahead = F.lead(text).over(Window.partitionBy(range_).orderBy(*order))
+    return dealt.withColumn(name, ahead).where(~F.col(ghost)).select(*[c for c in df.columns if c != name], name)
