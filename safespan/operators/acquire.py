@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from safespan.operators.design import hash_unit
+from safespan.operators.design import hash_unit, sobol_design
 from safespan.operators.sequence import boundary_shift, stability_history, stability_streak
-from safespan.scenario import Scenario
+from safespan.scenario import FOCUS_POINTS, Scenario
 
 _ROW = ("cand_id", "dx0", "ego_speed", "npc_speed", "mean", "std")
 
@@ -78,4 +78,57 @@ def refill_batch(scored: DataFrame, outstanding: int, target: int = 15) -> DataF
 
 
 def boundary_stability(states: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
-    return stability_streak(boundary_shift(stability_history(states, scenario.history)), scenario.shift, scenario.streak)
+    return stability_streak(boundary_shift(stability_history(states, scenario.history, scenario.hysteresis)), scenario.shift, scenario.streak)
+
+
+def decide(decisions: DataFrame, scored: DataFrame, mode: str = "explore", points: tuple = FOCUS_POINTS, scenario: Scenario = Scenario(), dice: Column | None = None, luck: Column | None = None) -> DataFrame:
+    """The whole decision for each row of decisions (idx, draw_id, violations, trained, phase), phase being that of
+    phase_timeline under the mode: idx, parameters, reason and system_command.
+
+    In focus mode the first decisions repeat the focus points and STEP1 searches their neighbourhood (a random candidate of
+    the draw); else STEP1 takes the design's point. Without violations, a model or candidates the design's point stands in.
+    STEP2 explores or follows the boundary, STEP3 cleans up the safe area or stops; both stop at the last index. scored
+    (draw_id, candidates, mean, std) are the candidates of each draw. dice (below 0.3: explore) and luck (the candidate of
+    the least is the random one) are drawn from ids unless given."""
+    dice = hash_unit(F.col("idx"), 11) if dice is None else dice
+    focus, safe, names = mode == "focus", F.col("mean") <= 0.5, tuple(scenario.ranges)
+    picks = scored.groupBy("draw_id").agg(
+        _best(F.col("std")).alias("u"), _best(-F.abs(F.col("mean") - 0.5)).alias("b"), _best(F.col("std"), safe).alias("s"),
+        F.max(F.when(safe, F.col("std"))).alias("safe_std"), F.min_by(_row(), F.struct(hash_unit(F.col("cand_id"), 12) if luck is None else luck, "cand_id")).alias("r"),
+    )
+    rows = sobol_design(decisions.select("idx", "draw_id", "violations", "trained", "phase", dice.alias("_dice")), scenario=scenario)
+    rows = rows.join(picks, "draw_id", "left")
+    design_point = F.struct(*names)
+
+    def point(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(*[F.col(f"{name}.{c}").alias(c) for c in names]))
+
+    repeats, n = scenario.focus_repeats, len(points)
+    nth = F.floor(F.col("idx") / repeats).cast("int")
+    middle = [(low + high) / 2 for low, high in scenario.ranges.values()]
+    exact = F.get(F.array(*[F.struct(*[F.lit(float(m if v is None else v)).alias(c) for c, v, m in zip(names, p, middle, strict=True)]) for p in points]), nth)
+    exact_reason = F.concat(F.lit("[FOCUS] Exact Point "), nth + 1, F.lit(f"/{n} (Repeat "), F.col("idx") % repeats + 1, F.lit(f"/{repeats})"))
+    is_exact = (F.col("idx") < n * repeats) if focus else F.lit(False)
+    first = F.col("phase") == "STEP1"
+    no_violation = (F.col("violations") == 0) & F.lit(mode == "margin")
+    no_model = ~F.col("trained") | F.col("u").isNull()
+    third, explore = F.col("phase") == "STEP3", F.col("_dice") < 0.3
+    found = F.concat(F.lit("(V:"), "violations", F.lit(")"))
+    mark = "[FOCUS] " if focus else ""
+    neighbour = point("r") if focus else design_point
+    cases = (
+        (is_exact, exact, exact_reason),
+        (first, F.coalesce(neighbour, design_point), F.concat(F.lit("STEP1: Focus Neighborhood Search " if focus else "STEP1: Global Search "), found)),
+        (no_violation, design_point, F.lit("STEP3 Fallback: Global Search (No Violations)")),
+        (no_model, design_point, F.lit("Fallback (Error)")),
+        (third & F.col("s").isNotNull(), point("s"), F.lit(f"{mark}STEP3: Safe Area Cleanup")),
+        (third, point("u"), F.lit(f"{mark}STEP3: Backup Search")),
+        (explore, point("u"), F.lit(f"{mark}STEP2: Exploration (Max std)")),
+        (F.lit(True), point("b"), F.lit(f"{mark}STEP2: Boundary 0.5")),
+    )
+    pick, reason = (F.coalesce(*[F.when(c[0], c[i]) for c in cases]) for i in (1, 2))
+    modelled = ~(is_exact | first | no_violation | no_model)
+    stop = F.when(modelled & third & (F.col("safe_std") < scenario.uncertainty), "Safe Area Verification Complete").when(modelled & (F.col("idx") >= scenario.max_samples), "Max Samples Reached")
+    out = rows.select("idx", pick.alias("p"), reason.alias("why"), stop.alias("stop"))
+    values = [F.when(F.col("stop").isNull(), F.col(f"p.{c}")).alias(c) for c in names]
+    return out.select("idx", *values, F.coalesce("stop", "why").alias("reason"), F.when(F.col("stop").isNotNull(), "stop").alias("system_command"))

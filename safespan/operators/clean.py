@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from safespan.operators.ingest import repair
 from safespan.scenario import ERROR, Scenario
+from safespan.session import materialize
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -43,8 +44,9 @@ def repair_train(df: DataFrame, ttc: tuple[str, ...]) -> DataFrame:
 
 
 def class_guard(df: DataFrame, target: str) -> DataFrame:
-    """One row: rows, classes and whether there is enough to train on."""
-    stats = df.agg(F.count("*").alias("n_rows"), F.count_distinct(target).alias("n_classes"))
+    """One row: rows, classes (of labels 0 and 1) and whether there is enough to train on."""
+    classes = [F.coalesce(F.bool_or(F.col(target) == x), F.lit(False)).cast("long") for x in (0, 1)]
+    stats = df.agg(F.count("*").alias("n_rows"), (classes[0] + classes[1]).alias("n_classes"))
     return stats.withColumn("trainable", (F.col("n_rows") >= 2) & (F.col("n_classes") >= 2))
 
 
@@ -52,6 +54,7 @@ def training_set(df: DataFrame, target: str, scenario: Scenario = Scenario()) ->
     """loop_num, features and target of the rows a model may learn from; none if they can't be trained on."""
     clean = repair_train(drop_stuck(drop_errors(df)), scenario.ttc)
     clean = keep_binary(drop_missing(clean, target, scenario.features), target).select("loop_num", *scenario.features, F.col(target).alias("y"))
+    clean = materialize(clean, "training")  # read twice below
     guard = class_guard(clean, "y").where("trainable").select(F.lit(1).alias("ok"))
     return clean.join(F.broadcast(guard), F.lit(True)).drop("ok")
 

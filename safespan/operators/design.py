@@ -11,7 +11,7 @@ from safespan.scenario import Scenario
 
 #: Degree, coefficients and first direction numbers of the second and third dimension (Joe and Kuo 2008); fixed values.
 SOBOL = ((1, 0, (1,)), (2, 1, (1, 3)))
-BITS = 30
+BITS = 52
 
 
 def directions(dimensions: int = 3) -> list[list[int]]:
@@ -28,9 +28,9 @@ def directions(dimensions: int = 3) -> list[list[int]]:
     return out
 
 
-def sobol_unit(index: Column, numbers: list[int], shift: int, bits: int = 24) -> Column:
-    """The index-th number in [0, 1): direction numbers of the set bits of the index's Gray code, XORed together and with
-    a digital shift."""
+def sobol_unit(index: Column, numbers: list[int], shift: int, bits: int = BITS) -> Column:
+    """The index-th number in [0, 1) for indices below 2**bits: direction numbers of the set bits of the index's Gray code,
+    XORed together and with a digital shift."""
     gray = index.bitwiseXOR(F.shiftright(index, 1))
     out = F.lit(shift).cast("bigint")
     for i in range(bits):
@@ -39,11 +39,11 @@ def sobol_unit(index: Column, numbers: list[int], shift: int, bits: int = 24) ->
 
 
 def shifts(seed: int, dimensions: int = 3) -> list[int]:
-    """A digital shift for each dimension."""
+    """A digital shift of BITS bits for each dimension."""
     x, out = seed, []
     for _ in range(dimensions):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        out.append(x >> 1)
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append(x >> (64 - BITS))
     return out
 
 

@@ -1,9 +1,11 @@
 """Gaussian-process classification of runs with inducing points (the DTC approximation of Quinonero-Candela and Rasmussen
 2005), fitted by sums over partitions.
 
-Every task turns its rows into partial sums of K_uf K_fu, K_uf y, y'y and n for each length scale of a grid; the sums meet
-in Spark by length scale and matrix row, and only M x M algebra (M inducing points, a parameter) runs on the driver. With
-all training points as inducing points, mean and deviation are those of the exact process.
+Amplitude and length scale are those of the greatest marginal likelihood of the exact process over a sample of at most
+SAMPLE rows, searched on a grid over their ranges and then finer around the best. With them every task turns its rows into
+partial sums of K_uf K_fu, K_uf y, y'y and n; the sums are added matrix row by matrix row in Spark, and only M x M numbers
+(M inducing points, a parameter) reach the driver. With all training points as inducing points, mean and deviation are
+those of the exact process.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LENGTHS = (0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.5, 5.0, 10.0)
-AMPLITUDES = (0.01, 0.1, 0.3, 1.0, 3.0, 10.0)
+from safespan.session import materialize
+
+#: Ranges of the hyperparameters: 0.01 to 100 and 0.001 to 1000.
+LENGTHS = (0.01, 0.03, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.5, 5.0, 10.0, 30.0, 100.0)
+AMPLITUDES = (0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0, 1000.0)
 NOISE = 0.01
-INDUCING = 256
+INDUCING = 512
+SAMPLE = 400
 
 
 def scaler_fit(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -53,61 +59,88 @@ def kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
     return np.exp(-0.5 * np.maximum(d, 0) / length**2)
 
 
-def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS) -> Model | None:
+def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS, sample: int = SAMPLE) -> Model | None:
     """None without rows. Inducing points are the rows of the least feature hashes, at most `inducing` of them."""
-    row = scaler_fit(df, features).first()
+    rows = materialize(df.select(*features, F.col(target).cast("double").alias("_target")), "training")
+    row = scaler_fit(rows, features).first()
     if row[f"{features[0]}_mean"] is None:
         return None
     mean, std = (np.array([row[f"{c}_{k}"] for c in features]) for k in ("mean", "std"))
-    points = df.select(*features).distinct().orderBy(F.xxhash64(*features)).limit(inducing).collect()
-    z = (np.array([[p[c] for c in features] for p in points], float) - mean) / std
-    schema = "length double, part long, sums array<double>"
+    points = rows.select(*features).distinct().orderBy(F.xxhash64(*features), *features).limit(inducing).collect()
+    few = rows.orderBy(F.xxhash64(*features, "_target"), *features).limit(sample).collect()
+    z, x = ((np.array([[p[c] for c in features] for p in part], float) - mean) / std for part in (points, few))
+    amplitude, length = _hyperparameters(x, np.array([r["_target"] for r in few]), lengths)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(z)
-        sums = {s: np.zeros((m + 1, m + 1)) for s in lengths}
+        sums = np.zeros((m + 1, max(m + 1, 2)))
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in features]).astype(float)
-            y = batch.column(target).to_numpy(zero_copy_only=False).astype(float)
+            y = batch.column("_target").to_numpy(zero_copy_only=False)
             for lo in range(0, len(x), 4096):
-                part, t = (x[lo : lo + 4096] - mean) / std, y[lo : lo + 4096]
-                for s in lengths:
-                    k = kernel(z, part, s)
-                    sums[s][:m, :m] += k @ k.T
-                    sums[s][:m, m] += k @ t
-                    sums[s][m, :2] += (t @ t, len(t))
-        rows = [(s, i, r.tolist()) for s, a in sums.items() for i, r in enumerate(a)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["length", "part", "sums"])
-
-    partial = df.select(*features, F.col(target).cast("double").alias(target)).mapInArrow(make, schema)
-    total = partial.select("length", "part", F.posexplode("sums").alias("at", "v")).groupBy("length", "part", "at").agg(F.sum("v").alias("v"))
-    got = total.toArrow()
-    m, best = len(z), None
-    columns = [got.column(c).to_numpy() for c in ("length", "part", "at", "v")]
+                t = y[lo : lo + 4096]
+                k = kernel(z, (x[lo : lo + 4096] - mean) / std, length)
+                sums[:m, :m] += k @ k.T
+                sums[:m, m] += k @ t
+                sums[m, :2] += (t @ t, len(t))
+        yield _sums(range(m + 1), sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, values in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+                v = np.asarray(values.values)
+                total[part] = total[part] + v if part in total else v
+        yield _sums(total, list(total.values()))
+
+    # a task holds the sums of some matrix rows only, whatever the number of partitions they come from
+    partial = rows.mapInArrow(make, "part long, sums array<double>").repartition(32, "part").mapInArrow(add, "part long, sums array<double>")
+    got = partial.toArrow()  # M + 1 rows
+    m = len(z)
+    a = np.zeros((m + 1, max(m + 1, 2)))
+    a[got.column("part").to_numpy()] = np.array(got.column("sums").to_pylist())
+    kuu = kernel(z, z, length) + 1e-9 * np.eye(m)
+    evidence, weights, spread = _solve(amplitude, kuu, a[:m, :m], a[:m, m], a[m, 0], a[m, 1])
+    return Model(features, mean, std, z, amplitude, length, weights, spread, evidence)
+
+
+def _sums(parts, values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tolist() for v in values], pa.list_(pa.float64()))], ["part", "sums"])
+
+
+def _hyperparameters(x: np.ndarray, y: np.ndarray, lengths: tuple[float, ...]) -> tuple[float, float]:
+    """Amplitude and length of the greatest marginal likelihood of the exact process over the rows."""
+    best = (-np.inf, 1.0, 1.0)
+
+    def look(length: float, amplitudes: np.ndarray) -> None:
+        nonlocal best
+        values, vectors = np.linalg.eigh(kernel(x, x, length))
+        values, part = np.maximum(values, 0), (vectors.T @ y) ** 2
+        for c in amplitudes:
+            full = c * values + NOISE
+            found = -0.5 * float((part / full).sum() + np.log(full).sum())
+            if found > best[0]:
+                best = (found, float(c), float(length))
+
     for s in lengths:
-        a = np.zeros((m + 1, m + 1))
-        own = columns[0] == s
-        a[columns[1][own], columns[2][own]] = columns[3][own]
-        g, b, (yy, n) = a[:m, :m], a[:m, m], (a[m, :2] if m > 1 else (a[m, 0], a[m, 1]))
-        kuu = kernel(z, z, s) + 1e-9 * np.eye(m)
-        for c in AMPLITUDES:
-            model = _solve(c, s, kuu, g, b, yy, n)
-            if best is None or model[0] > best[0]:
-                best = model
-    evidence, c, s, weights, spread = best
-    return Model(features, mean, std, z, c, s, weights, spread, evidence)
-
-
-def _solve(c: float, s: float, kuu: np.ndarray, g: np.ndarray, b: np.ndarray, yy: float, n: float) -> tuple:
-    """Log marginal likelihood, amplitude, length, weights of the mean, and the matrix of the variance reduction."""
+        look(s, np.array(AMPLITUDES))
+    finest = len(lengths) == len(LENGTHS)
+    for step in (2.0, 1.4, 1.15) if finest else (2.0, 1.4):
+        _, c, s = best
+        for near in (s / step, s, s * step) if finest else (s,):
+            look(float(np.clip(near, LENGTHS[0], LENGTHS[-1])), np.clip(c * step ** np.array([-1.0, -0.5, 0, 0.5, 1.0]), AMPLITUDES[0], AMPLITUDES[-1]))
+    return best[1], best[2]
+
+
+def _solve(c: float, kuu: np.ndarray, g: np.ndarray, b: np.ndarray, yy: float, n: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log marginal likelihood, weights of the mean, and the matrix of the variance reduction."""
     a = kuu * c + g * (c * c / NOISE)
     l = np.linalg.cholesky(a + 1e-10 * np.trace(a) / len(a) * np.eye(len(a)))
     lu = np.linalg.cholesky(kuu * c)
     half = np.linalg.solve(l, b * c)
     fit_ = yy / NOISE - (half @ half) / NOISE**2
     logdet = 2 * np.log(np.diag(l)).sum() - 2 * np.log(np.diag(lu)).sum() + n * np.log(NOISE)
-    inverse = np.linalg.inv(a)
-    return -0.5 * (fit_ + logdet + n * np.log(2 * np.pi)), c, s, np.linalg.solve(a, b * c) / NOISE, np.linalg.inv(kuu * c) - inverse
+    return -0.5 * (fit_ + logdet + n * np.log(2 * np.pi)), np.linalg.solve(a, b * c) / NOISE, np.linalg.inv(kuu * c) - np.linalg.inv(a)
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from safespan.operators.ranges import PART, dealt
 from safespan.scenario import ERROR
 
 
@@ -15,9 +16,9 @@ def last_params(params: DataFrame) -> DataFrame:
 
 
 def merge_results(params: DataFrame, results: DataFrame) -> DataFrame:
-    """Parameters with their first result, joined by run; parameter values win on shared names."""
+    """Parameters with their first result (of several at one time the one with the least labels), joined by run; parameter values win on shared names."""
     labels = [c for c in results.columns if c not in params.columns]
-    first = results.groupBy("loop_num").agg(F.min_by(F.struct(*labels), "ts").alias("_r"))
+    first = results.groupBy("loop_num").agg(F.min_by(F.struct(*labels), F.struct("ts", *labels)).alias("_r"))
     return last_params(params).join(first, "loop_num").select(*[c for c in params.columns if c != "seq"], "_r.*")
 
 
@@ -32,9 +33,10 @@ def stale_params(params: DataFrame, results: DataFrame, now: Column, seconds: in
 
 
 def timeout_flush(params: DataFrame, results: DataFrame, labels: list[str]) -> DataFrame:
-    """Every run's last parameters with its labels, -1 where no result came."""
-    out = last_params(params).join(results.select("loop_num", *labels, F.lit(True).alias("_came")).dropDuplicates(["loop_num"]), "loop_num", "left")
-    late = F.col("_came").isNull()
+    """Every run's last parameters with the labels of its first result, -1 where no result came."""
+    first = results.groupBy("loop_num").agg(F.min_by(F.struct(*labels), F.struct("ts", *labels)).alias("_r"))
+    out = last_params(params).join(first, "loop_num", "left").select("*", "_r.*").withColumn("_came", F.col("_r").isNotNull()).drop("_r")
+    late = ~F.col("_came")
     reason = F.when(late, F.concat("reason", F.lit(" [ERROR: TIMEOUT]"))).otherwise(F.col("reason"))
     return out.withColumns({c: F.when(late, ERROR).otherwise(F.col(c)) for c in labels} | {"reason": reason}).drop("_came", "seq")
 
@@ -57,14 +59,9 @@ def new_ids(scanned: DataFrame, processed: DataFrame) -> DataFrame:
 def dispatch_ids(tasks: DataFrame, start: int, order: str = "enqueue_seq", partitions: int | None = None) -> DataFrame:
     """tasks with global_loop_num = start + place in the queue. The rows are dealt by range of the order, numbered within
     each range, and moved up by the sizes of the ranges before: no task sees the whole queue."""
-    n = partitions or int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = tasks.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000) if n > 1 else F.array()).first()[0] or []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + (F.col(order) > F.lit(b)).cast("int")
-    dealt = tasks.withColumn("_part", part)
-    sizes = dealt.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each range
-    numbered = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    out = numbered.join(F.broadcast(before), "_part")
-    return out.withColumn("global_loop_num", F.lit(start) + F.col("_before") + F.col("_place")).drop("_part", "_before", "_place")
+    ranges = dealt(tasks, order, partitions)
+    sizes = ranges.groupBy(PART).count()
+    before = sizes.select(PART, (F.sum("count").over(Window.orderBy(PART)) - F.col("count")).alias("_before"))  # a row for each range
+    numbered = ranges.withColumn("_place", F.row_number().over(Window.partitionBy(PART).orderBy(order)))
+    out = numbered.join(F.broadcast(before), PART)
+    return out.withColumn("global_loop_num", F.lit(start) + F.col("_before") + F.col("_place")).drop(PART, "_before", "_place")

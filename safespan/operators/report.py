@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from safespan.functions.theory import stopping
 from safespan.operators.clean import execution_class, metrics, severity, severity_label, worker_label, worker_normal
+from safespan.operators.ranges import PART, dealt
 from safespan.scenario import Scenario
 
 
@@ -93,8 +94,11 @@ def status_line(latest: DataFrame) -> DataFrame:
     return latest.agg(F.array_join(parts, " | ").alias("summary"))
 
 
-def campaign_progress(finished: DataFrame, queued: DataFrame, target: int) -> DataFrame:
+def campaign_progress(finished: DataFrame, queued: DataFrame, target: int, start: DataFrame | None = None) -> DataFrame:
+    """Completed and waiting runs. A resumed campaign counts on from the resume point, `start` (one row, resume_at)."""
     done = finished.agg(F.count("*").alias("n_completed"))
+    if start is not None:
+        done = done.join(F.broadcast(start), F.lit(True)).select((F.col("n_completed") + F.col("resume_at")).alias("n_completed"))
     waiting = queued.agg(F.count("*").alias("n_queued"))
     return done.join(F.broadcast(waiting), F.lit(True)).withColumn("target_reached", F.col("n_completed") >= target)
 
@@ -110,16 +114,11 @@ def final_report(df: DataFrame, priorities: tuple[str, ...], reason: str) -> Dat
 def running_totals(df: DataFrame, key: str = "loop_num", outcome: str = "outcome") -> DataFrame:
     """Totals after each run, in order of key. Ranges of the key are summed first, so that each window covers one range and
     starts from the totals of the ranges before."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000) if n > 1 else F.array()).first()[0] or []))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(key) > F.lit(b)).cast("int")
     names = ("Safe", "Unsafe", "Error")
-    dealt = df.select(key, *[(F.col(outcome) == o).cast("long").alias(o) for o in names], part.alias("_part"))
-    sums = dealt.groupBy("_part").agg(*[F.sum(o).alias(o) for o in names])
-    w = Window.orderBy("_part")  # a row for each range
-    before = sums.select("_part", *[(F.sum(o).over(w) - F.col(o)).alias(f"_{o}") for o in names])
-    run = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(before), "_part")
+    ranges = dealt(df.select(key, *[(F.col(outcome) == o).cast("long").alias(o) for o in names]), key)
+    sums = ranges.groupBy(PART).agg(*[F.sum(o).alias(o) for o in names])
+    w = Window.orderBy(PART)  # a row for each range
+    before = sums.select(PART, *[(F.sum(o).over(w) - F.col(o)).alias(f"_{o}") for o in names])
+    run = Window.partitionBy(PART).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranges.join(F.broadcast(before), PART)
     return out.select(key, *[(F.sum(o).over(run) + F.col(f"_{o}")).alias(f"n_{o.lower()}") for o in names])

@@ -18,10 +18,10 @@ def hysteresis_state(mean: Column, low: float = 0.40, high: float = 0.60) -> Col
     return F.when(mean < low, 0).when(mean > high, 1).otherwise(-1)
 
 
-def stability_history(states: DataFrame, length: int = 50) -> DataFrame:
+def stability_history(states: DataFrame, length: int = 50, hysteresis: tuple[float, float] = (0.40, 0.60)) -> DataFrame:
     """(iter, point_id, mean) with the state and that of length - 1 iterations before; null before there are that many."""
     w = Window.partitionBy("point_id").orderBy("iter")
-    return states.withColumn("state", hysteresis_state(F.col("mean"))).withColumn("old_state", F.lag("state", length - 1).over(w))
+    return states.withColumn("state", hysteresis_state(F.col("mean"), *hysteresis)).withColumn("old_state", F.lag("state", length - 1).over(w))
 
 
 def boundary_shift(history: DataFrame) -> DataFrame:
@@ -39,10 +39,13 @@ def stability_streak(shifts: DataFrame, limit: float = 0.01, needed: int = 3) ->
     return marked.withColumn("streak", streak.cast("int")).withColumn("stable", F.col("streak") >= needed).select("iter", "shift_rate", "streak", "stable")
 
 
-def phase_timeline(decisions: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
+def phase_timeline(decisions: DataFrame, scenario: Scenario = Scenario(), mode: str = "explore") -> DataFrame:
     """(idx, violations, trained, stable) with the phase each decision is taken in. STEP1 while idx is below the limit or
     nothing was violated; STEP2 once a model exists, else a Sobol fallback; STEP3 from the decision where stability holds
-    in STEP2 or STEP2 has had its share."""
+    in STEP2 or STEP2 has had its share. In margin mode all is STEP3 from the start, with a fallback as long as nothing was
+    violated or no model exists."""
+    if mode == "margin":
+        return decisions.select("idx", F.when((F.col("violations") == 0) | ~F.col("trained"), "FALLBACK").otherwise("STEP3").alias("phase"))
     starts = (F.col("idx") >= scenario.first_phase) & (F.col("violations") > 0) & F.col("trained")
     start = decisions.agg(F.min(F.when(starts, F.col("idx"))).alias("start"))
     second = decisions.join(F.broadcast(start), F.col("idx") >= F.col("start"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from safespan.functions import theory
 from safespan.operators import acquire, clean, design, gp, ingest, merge, report, sequence
-from safespan.plans.sql import DA, DH, LABELS, PLOTTED, S, TA, TH, TTC, repair_sql, severity_sql, sql, zone_sql
+from safespan.plans.sql import DA, DH, LABELS, PLOTTED, S, TA, TH, TTC, repair_sql, severity_sql, sobol_sql, sql, zone_sql
 from safespan.scenario import FIXED, FOCUS_POINTS, FORMULAS, PROFILES, focus_points, formulas, profiles
 from safespan.session import shared_dir
 from safespan.sources import files
@@ -102,12 +102,16 @@ def trace_file_count(s, d):
 
 @query("SELECT loop_num, " + ", ".join(LABELS) + " FROM runs")
 def label_table(s, d):
-    return files.label_table(load(s, d, "runs"))
+    path = _folder(s, "labels")
+    files.append_labels(load(s, d, "runs"), path)
+    return files.read_labels(s, path)
 
 
 @query("SELECT loop_num, round(dx0, 4) AS dx0, round(ego_speed, 4) AS ego_speed, round(npc_speed, 4) AS npc_speed, reason FROM runs")
 def param_table(s, d):
-    return files.param_table(load(s, d, "runs"))
+    path = _folder(s, "params")
+    files.append_params(load(s, d, "runs"), path)
+    return files.read_params(s, path)
 
 
 _HEAD = {'c_collision': FORMULAS[0][1], TARGET: FORMULAS[7][1], "c_pos_diff_4_0": FORMULAS[9][1]}
@@ -121,9 +125,25 @@ def _verdicts(s, d):
     return ingest.verdicts(load(s, d, "checker_log"), list(_HEAD.items()))
 
 
-@query(f"SELECT e.loop_num, e.header, c.output_log, c.error_log FROM (SELECT loop_num, 'c_ttc_0_5' AS header FROM ({_VERDICTS}) WHERE c_ttc_0_5 = -1 UNION ALL SELECT loop_num, 'c_pos_diff_4_0' FROM ({_VERDICTS}) WHERE c_pos_diff_4_0 = -1) e JOIN checker_log c USING (loop_num)")
+@query(f"SELECT e.loop_num, e.header, c.output_log, c.error_log, 'uturn_eval_sim' || e.loop_num || '.json' AS file, TIMESTAMP '1999-01-01 00:00:00' AS logged_at FROM (SELECT loop_num, 'c_ttc_0_5' AS header FROM ({_VERDICTS}) WHERE c_ttc_0_5 = -1 UNION ALL SELECT loop_num, 'c_pos_diff_4_0' FROM ({_VERDICTS}) WHERE c_pos_diff_4_0 = -1) e JOIN checker_log c USING (loop_num)")
 def error_detail(s, d):
-    return files.error_detail(_verdicts(s, d), load(s, d, "checker_log"))
+    return files.error_detail(_verdicts(s, d), load(s, d, "checker_log"), F.lit("1999-01-01 00:00:00"))
+
+
+@query(f"""SELECT unnest(string_split('[1999-01-01 00:00:00] uturn_eval_sim' || e.loop_num || '.json | ' || e.header || chr(10) || 'STDOUT: ' || c.output_log || chr(10) || 'STDERR: ' || c.error_log || chr(10) || '{'-' * 30}', chr(10))) AS line
+FROM (SELECT loop_num, 'c_ttc_0_5' AS header FROM ({_VERDICTS}) WHERE c_ttc_0_5 = -1 UNION ALL SELECT loop_num, 'c_pos_diff_4_0' FROM ({_VERDICTS}) WHERE c_pos_diff_4_0 = -1) e JOIN checker_log c USING (loop_num)""")
+def error_log(s, d):
+    path = _folder(s, "errors")
+    files.append_errors(error_detail(s, d), path)
+    return files.read_lines(s, path)
+
+
+@query("SELECT event_id AS loop_num FROM events WHERE event_id % 5 <> 0")
+def processed_append(s, d):
+    path, events = _folder(s, "history"), s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("loop_num"))
+    for rest in (1, 2, 3, 4):  # a history grows by appending
+        files.append_processed(events.where(F.col("loop_num") % 5 == rest), path)
+    return files.processed_history(files.read_lines(s, path))
 
 
 @query("SELECT event_id AS loop_num FROM events WHERE event_id % 3 <> 0")
@@ -265,9 +285,9 @@ def run_outcome_restored(s, d):
     return load(s, d, "runs").select("loop_num", ingest.outcome_restored(LABELS).alias("outcome"))
 
 
-@query("SELECT enqueue_seq, reason || ' [ERROR: TIMEOUT]' AS reason, " + ", ".join(f"-1 AS {c}" for c in LABELS) + " FROM tasks WHERE enqueue_seq % 7 = 0")
+@query("SELECT enqueue_seq, reason || ' [ERROR: TIMEOUT]' AS reason, " + ", ".join(f"-1 AS {c}" for c in LABELS) + " FROM tasks")
 def timeout_rows(s, d):
-    return ingest.timeout_rows(load(s, d, "tasks").where("enqueue_seq % 7 = 0"), LABELS).select("enqueue_seq", "reason", *LABELS)
+    return ingest.timeout_rows(load(s, d, "tasks"), LABELS).select("enqueue_seq", "reason", *LABELS)
 
 
 @query("SELECT loop_num, " + ", ".join(f"-1 AS {c}" for c in LABELS) + " FROM states_of WHERE state = 'corrupt'")
@@ -342,7 +362,7 @@ def safe_candidates(s, d):
 # joins
 
 
-@query("SELECT p.loop_num, p.dx0, p.ego_speed, p.npc_speed, p.worker_id, p.reason, p.ts, r.c_collision, r.c_ttc_0_5 FROM last_params p JOIN results r USING (loop_num)")
+@query("SELECT p.loop_num, p.dx0, p.ego_speed, p.npc_speed, p.worker_id, p.reason, p.ts, r.c_collision, r.c_ttc_0_5 FROM last_params p JOIN first_results r USING (loop_num)")
 def merge_results(s, d):
     return merge.merge_results(load(s, d, "params"), load(s, d, "results"))
 
@@ -360,7 +380,7 @@ def stale_params(s, d):
     return merge.stale_params(load(s, d, "params"), load(s, d, "results"), F.lit(_NOW).cast("timestamp"), S.params_seconds).select("loop_num", "dx0", "ts", "age")
 
 
-@query("SELECT p.loop_num, p.dx0, p.ego_speed, p.npc_speed, p.worker_id, p.ts, CASE WHEN r.loop_num IS NULL THEN p.reason || ' [ERROR: TIMEOUT]' ELSE p.reason END AS reason, CASE WHEN r.loop_num IS NULL THEN -1 ELSE r.c_collision END AS c_collision, CASE WHEN r.loop_num IS NULL THEN -1 ELSE r.c_ttc_0_5 END AS c_ttc_0_5 FROM last_params p LEFT JOIN results r ON r.loop_num = p.loop_num")
+@query("SELECT p.loop_num, p.dx0, p.ego_speed, p.npc_speed, p.worker_id, p.ts, CASE WHEN r.loop_num IS NULL THEN p.reason || ' [ERROR: TIMEOUT]' ELSE p.reason END AS reason, CASE WHEN r.loop_num IS NULL THEN -1 ELSE r.c_collision END AS c_collision, CASE WHEN r.loop_num IS NULL THEN -1 ELSE r.c_ttc_0_5 END AS c_ttc_0_5 FROM last_params p LEFT JOIN first_results r ON r.loop_num = p.loop_num")
 def timeout_flush(s, d):
     return merge.timeout_flush(load(s, d, "params"), load(s, d, "results"), ["c_collision", TARGET])
 
@@ -480,9 +500,9 @@ def worker_status_line(s, d):
     return report.status_line(worker_latest_status(s, d))
 
 
-@query("SELECT (SELECT count(*) FROM results) AS n_completed, (SELECT count(*) FROM tasks) AS n_queued, (SELECT count(*) FROM results) >= 3000 AS target_reached")
+@query("SELECT n_completed, n_queued, n_completed >= 3000 AS target_reached FROM (SELECT (SELECT count(*) FROM results) + (SELECT max(loop_num) FROM runs) AS n_completed, (SELECT count(*) FROM tasks) AS n_queued)")
 def campaign_progress(s, d):
-    return report.campaign_progress(load(s, d, "results"), load(s, d, "tasks"), S.target_runs)
+    return report.campaign_progress(load(s, d, "results"), load(s, d, "tasks"), S.target_runs, report.resume_point(load(s, d, "runs")))
 
 
 @query("SELECT DISTINCT regexp_replace(worker_id, '\\.0$', '') AS worker FROM runs WHERE worker_id IS NOT NULL")
@@ -550,12 +570,38 @@ def focus_plan(s, d):
 _DECISIONS = "SELECT o_orderkey AS idx, greatest(0, o_orderkey - 130) AS violations, o_orderkey >= 160 AS trained, o_custkey % 500 = 3 AS stable FROM {orders}"
 
 
-@query(f"""SELECT idx, CASE WHEN done THEN 'STEP3' WHEN started THEN 'STEP2' WHEN idx < 100 OR violations = 0 THEN 'STEP1' ELSE 'FALLBACK' END AS phase FROM (
+_PHASES = f"""SELECT idx, CASE WHEN done THEN 'STEP3' WHEN started THEN 'STEP2' WHEN idx < 100 OR violations = 0 THEN 'STEP1' ELSE 'FALLBACK' END AS phase FROM (
   SELECT *, max(CAST(started AND (stable OR in2 > 500) AS INTEGER)) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) = 1 AS done FROM (
     SELECT *, sum(CAST(started AS INTEGER)) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS in2 FROM (
-      SELECT *, max(CAST(idx >= 100 AND violations > 0 AND trained AS INTEGER)) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) = 1 AS started FROM ({_DECISIONS.format(orders='orders')}))))""")
+      SELECT *, max(CAST(idx >= 100 AND violations > 0 AND trained AS INTEGER)) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) = 1 AS started FROM ({_DECISIONS.format(orders='orders')}))))"""
+_MARGIN = f"SELECT idx, CASE WHEN violations = 0 OR NOT trained THEN 'FALLBACK' ELSE 'STEP3' END AS phase FROM ({_DECISIONS.format(orders='orders')})"
+
+
+def _decisions(s, d):
+    return s.sql(_DECISIONS, orders=s.read.parquet(f"{d}/orders.parquet"))
+
+
+@query(_PHASES)
 def phase_timeline(s, d):
-    return sequence.phase_timeline(s.sql(_DECISIONS, orders=s.read.parquet(f"{d}/orders.parquet")))
+    return sequence.phase_timeline(_decisions(s, d))
+
+
+@query(_MARGIN)
+def phase_timeline_margin(s, d):
+    return sequence.phase_timeline(_decisions(s, d), mode="margin")
+
+
+_CALM = S.__class__(hysteresis=(0.25, 0.75), history=20, shift=0.02, streak=2)
+
+
+@query("""SELECT iter, round(shift_rate, 6) AS shift_rate, CAST(sum(CAST(calm AS INTEGER)) OVER (PARTITION BY island ORDER BY iter) AS INTEGER) AS streak, sum(CAST(calm AS INTEGER)) OVER (PARTITION BY island ORDER BY iter) >= 2 AS stable FROM (
+  SELECT *, shift_rate < 0.02e0 AS calm, sum(CASE WHEN shift_rate < 0.02e0 THEN 0 ELSE 1 END) OVER (ORDER BY iter) AS island FROM (
+    SELECT iter, count(*) FILTER (WHERE state + old_state = 1 AND state * old_state = 0)::DOUBLE / count(*) AS shift_rate FROM (
+      SELECT *, lag(state, 19) OVER (PARTITION BY point_id ORDER BY iter) AS old_state FROM (SELECT *, CASE WHEN mean < 0.25e0 THEN 0 WHEN mean > 0.75e0 THEN 1 ELSE -1 END AS state FROM boundary_states))
+    WHERE old_state IS NOT NULL GROUP BY iter))""")
+def boundary_stability_settings(s, d):
+    """The same under other settings of the scenario."""
+    return acquire.boundary_stability(load(s, d, "boundary_states"), _CALM).withColumn("shift_rate", F.round("shift_rate", 6))
 
 
 @query("SELECT loop_num, " + ", ".join(f"CAST(count(*) FILTER (WHERE outcome = '{o}') OVER (ORDER BY loop_num ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_{o.lower()}" for o in ("Safe", "Unsafe", "Error")) + " FROM live")
@@ -607,6 +653,49 @@ def next_batch(s, d):
     return acquire.next_batch(load(s, d, "scored"), "STEP2", 2990, dice=dice)
 
 
+def _sobol_point(i: int) -> str:
+    return sobol_sql(i, "idx")
+
+
+def _decided(mode: str) -> str:
+    """Every branch of a decision, written out; draws go by idx % 15 and the dice by idx % 3."""
+    phases = _MARGIN if mode == "margin" else _PHASES
+    mark = "[FOCUS] " if mode == "focus" else ""
+    exact = f"idx < {len(FOCUS_POINTS) * S.focus_repeats}" if mode == "focus" else "false"
+    kind = f"""CASE WHEN {exact} THEN 'exact' WHEN phase = 'STEP1' THEN 'first' WHEN violations = 0 AND {str(mode == 'margin').lower()} THEN 'calm' WHEN NOT trained OR u_id IS NULL THEN 'error'
+      WHEN phase = 'STEP3' AND safe_std < 0.05e0 THEN 'done' WHEN idx >= 3000 THEN 'most' WHEN phase = 'STEP3' AND s_id IS NOT NULL THEN 'safe' WHEN phase = 'STEP3' THEN 'backup'
+      WHEN idx % 3 = 0 THEN 'explore' ELSE 'boundary' END"""
+    values = []
+    for i, c in enumerate(S.features):
+        nth = "CASE idx // 20 " + " ".join(f"WHEN {k} THEN {p[i]}e0" for k, p in enumerate(FOCUS_POINTS)) + " END"
+        first = f"coalesce(r_{c}, {_sobol_point(i)})" if mode == "focus" else _sobol_point(i)
+        values.append(f"CASE kind WHEN 'exact' THEN {nth} WHEN 'first' THEN {first} WHEN 'calm' THEN {_sobol_point(i)} WHEN 'error' THEN {_sobol_point(i)} WHEN 'safe' THEN s_{c} WHEN 'backup' THEN u_{c} WHEN 'explore' THEN u_{c} WHEN 'boundary' THEN b_{c} END AS {c}")
+    step1 = "Focus Neighborhood Search" if mode == "focus" else "Global Search"
+    reason = f"""CASE kind WHEN 'exact' THEN '[FOCUS] Exact Point ' || (idx // 20 + 1) || '/6 (Repeat ' || (idx % 20 + 1) || '/20)' WHEN 'first' THEN 'STEP1: {step1} (V:' || violations || ')'
+      WHEN 'calm' THEN 'STEP3 Fallback: Global Search (No Violations)' WHEN 'error' THEN 'Fallback (Error)' WHEN 'done' THEN 'Safe Area Verification Complete' WHEN 'most' THEN 'Max Samples Reached'
+      WHEN 'safe' THEN '{mark}STEP3: Safe Area Cleanup' WHEN 'backup' THEN '{mark}STEP3: Backup Search' WHEN 'explore' THEN '{mark}STEP2: Exploration (Max std)' ELSE '{mark}STEP2: Boundary 0.5' END"""
+    picks = []
+    for k, order, where in (("u", "std DESC, cand_id", "true"), ("b", "abs(mean - 0.5e0), cand_id", "true"), ("s", "std DESC, cand_id", "mean <= 0.5e0"), ("r", "cand_id % 1009, cand_id", "true")):
+        picks.append(f"LEFT JOIN (SELECT draw_id, cand_id AS {k}_id, " + ", ".join(f"{c} AS {k}_{c}" for c in S.features) + f" FROM scored WHERE {where} QUALIFY row_number() OVER (PARTITION BY draw_id ORDER BY {order}) = 1) {k} USING (draw_id)")
+    tables = f"(SELECT *, idx % 15 AS draw_id FROM ({_DECISIONS.format(orders='orders')})) d JOIN ({phases}) p USING (idx) {' '.join(picks)} LEFT JOIN (SELECT draw_id, max(std) FILTER (WHERE mean <= 0.5e0) AS safe_std FROM scored GROUP BY draw_id) m USING (draw_id)"
+    return f"SELECT idx, {', '.join(values)}, {reason} AS reason, CASE WHEN kind IN ('done', 'most') THEN 'stop' END AS system_command FROM (SELECT *, {kind} AS kind FROM {tables})"
+
+
+def _decide(mode: str):
+    def run(s, d):
+        decisions = _decisions(s, d)
+        phases = sequence.phase_timeline(decisions, mode=mode)
+        rows = decisions.join(phases, "idx").withColumn("draw_id", F.col("idx") % 15)
+        dice = F.when(F.col("idx") % 3 == 0, 0.0).otherwise(1.0)
+        return acquire.decide(rows, load(s, d, "scored"), mode, dice=dice, luck=F.col("cand_id") % 1009)
+
+    return run
+
+
+for _mode in ("explore", "focus", "margin"):
+    query(_decided(_mode), f"decide_{_mode}")(_decide(_mode))
+
+
 # set operations
 
 
@@ -623,17 +712,9 @@ def new_ids(s, d):
 # designs and model
 
 
-def _sobol(n: int) -> str:
-    out = str(design.shifts(42)[n])
-    for i in range(24):
-        out = f"xor({out}, CASE WHEN (g >> {i}) & 1 = 1 THEN {design.directions()[n][i]} ELSE 0 END)"
-    low, high = list(S.ranges.values())[n]
-    return f"round({low}e0 + {out} / {float(1 << 30)}e0 * {high - low}e0, 6)"
-
-
-@query("SELECT idx, " + ", ".join(f"{_sobol(i)} AS {c}" for i, c in enumerate(S.features)) + " FROM (SELECT o_orderkey AS idx, xor(o_orderkey, o_orderkey >> 1) AS g FROM orders)")
+@query("SELECT idx, " + ", ".join(f"{sobol_sql(i, 'idx')} AS {c}" for i, c in enumerate(S.features)) + " FROM (SELECT (CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey * 1000003 END) AS idx FROM orders)")
 def sobol_design(s, d):
-    return design.sobol_design(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("idx")))
+    return design.sobol_design(s.read.parquet(f"{d}/orders.parquet").selectExpr("if(o_orderkey % 2 = 0, o_orderkey, o_orderkey * 1000003) idx"))
 
 
 @query()
@@ -648,7 +729,10 @@ def focus_candidates(s, d):
 
 
 def _model(s, d):
-    return gp.fit(clean.training_set(dataset(s, d), TARGET), S.features)
+    """The model of the first label by priority that shows both outcomes; None without one."""
+    runs = dataset(s, d)
+    target = report.best_target(runs, S.priorities).first()[0]
+    return gp.fit(clean.training_set(runs, target), S.features) if target else None
 
 
 @query()

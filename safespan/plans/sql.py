@@ -36,6 +36,32 @@ def severity_sql() -> str:
     return "CASE " + " ".join(f"WHEN {c} = 1 THEN {s}" for c, s in zip(PLOTTED, range(5, 0, -1), strict=True)) + " ELSE 0 END"
 
 
+def sobol_sql(n: int, index: str, bits: int = 52) -> str:
+    """Coordinate n (0, 1 or 2) of the index-th point, rounded and in its range. Direction integers by the recurrence of Joe
+    and Kuo, m_k = 2 a_1 m_(k-1) ^ 4 a_2 m_(k-2) ^ ... ^ 2^s m_(k-s) ^ m_(k-s), and v_k = m_k / 2^k."""
+    if n == 0:
+        m = [1] * bits
+    elif n == 1:  # polynomial of degree 1, m_1 = 1
+        m = [1]
+        while len(m) < bits:
+            m.append(2 * m[-1] ^ m[-1])
+    else:  # degree 2 with a_1 = 1, m_1 = 1, m_2 = 3
+        m = [1, 3]
+        while len(m) < bits:
+            m.append(2 * m[-1] ^ 4 * m[-2] ^ m[-2])
+    shift, state = 0, 42
+    for _ in range(n + 1):
+        state = (6364136223846793005 * state + 1442695040888963407) & ((1 << 64) - 1)
+        shift = state >> (64 - bits)
+    gray = f"xor({index}, {index} >> 1)"
+    parts = [f"CASE WHEN ({gray} >> {k}) & 1 = 1 THEN {x << (bits - 1 - k)} ELSE 0 END" for k, x in enumerate(m)]
+    out = f"CAST({shift} AS BIGINT)"
+    for p in parts:
+        out = f"xor({out}, {p})"
+    low, high = list(S.ranges.values())[n]
+    return f"round({low}e0 + {out} / {float(1 << bits)!r} * {high - low}e0, 6)"
+
+
 def values(rows, names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)}) AS t({names})"
 
@@ -63,6 +89,7 @@ CTES: dict[str, str] = {k: re.sub(r"\{(\w+)\}", r"\1", v) for k, v in VIEWS.item
     "states_of": "SELECT *, CASE WHEN trim(content) = 'TIMEOUT' THEN 'timeout' WHEN json_valid(content) THEN 'valid' ELSE 'corrupt' END AS state FROM scanned",
     "processed": "SELECT event_id AS loop_num FROM events WHERE event_id % 4 = 0 UNION SELECT event_id FROM events WHERE event_id % 6 = 0",
     "last_params": "SELECT * FROM params QUALIFY row_number() OVER (PARTITION BY loop_num ORDER BY ts DESC, seq DESC) = 1",
+    "first_results": "SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY loop_num ORDER BY ts, c_collision, c_ttc_0_5) = 1",
     "history": "SELECT *, CASE WHEN mean < 0.4e0 THEN 0 WHEN mean > 0.6e0 THEN 1 ELSE -1 END AS state FROM boundary_states",
     "lagged": "SELECT *, lag(state, 49) OVER (PARTITION BY point_id ORDER BY iter) AS old_state FROM history",
     "shifts": "SELECT iter, count(*) FILTER (WHERE state + old_state = 1 AND state * old_state = 0)::DOUBLE / count(*) AS shift_rate FROM lagged WHERE old_state IS NOT NULL GROUP BY iter",

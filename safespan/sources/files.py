@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,46 @@ def append_dataset(df: DataFrame, path: str, scenario: Scenario = Scenario()) ->
     df.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)]).write.mode("append").option("header", True).csv(path)
 
 
+def _append_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def append_labels(df: DataFrame, path: str, scenario: Scenario = Scenario()) -> None:
+    """Append run numbers and labels, under file names."""
+    _append_csv(df.select("loop_num", *[F.col(c).alias(dotted(c)) for c in scenario.labels]), path)
+
+
+def read_labels(spark: SparkSession, path: str, scenario: Scenario = Scenario()) -> DataFrame:
+    schema = T.StructType([T.StructField("loop_num", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in scenario.labels])
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def append_params(df: DataFrame, path: str, scenario: Scenario = Scenario()) -> None:
+    """Append run numbers, parameters at four decimals and the reason, in this order."""
+    _append_csv(param_table(df, scenario).withColumns({c: F.format_string("%.4f", c) for c in scenario.features}), path)
+
+
+def read_params(spark: SparkSession, path: str, scenario: Scenario = Scenario()) -> DataFrame:
+    schema = T.StructType([T.StructField("loop_num", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in scenario.features] + [T.StructField("reason", T.StringType())])
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def append_processed(ids: DataFrame, path: str) -> None:
+    """Append run numbers to a history, one on a line."""
+    ids.select(F.col("loop_num").cast("string").alias("value")).write.mode("append").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def append_errors(errors: DataFrame, path: str) -> None:
+    """Append entries of error_detail as text: time, file, header and both logs, with a rule below."""
+    stamp = F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss")
+    entry = F.concat(F.lit("["), stamp, F.lit("] "), "file", F.lit(" | "), "header", F.lit("\nSTDOUT: "), "output_log", F.lit("\nSTDERR: "), "error_log", F.lit("\n" + "-" * 30))
+    errors.select(entry.alias("value")).write.mode("append").text(path)
+
+
 def label_table(df: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
     return df.select("loop_num", *scenario.labels)
 
@@ -48,9 +88,11 @@ def param_table(df: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
     return df.select("loop_num", *[F.round(c, 4).alias(c) for c in scenario.features], "reason")
 
 
-def error_detail(verdicts: DataFrame, logs: DataFrame) -> DataFrame:
-    """One row for each missing verdict, with the run's logs."""
-    return verdicts.where("verdict = -1").select("loop_num", F.col("label").alias("header")).join(logs, "loop_num")
+def error_detail(verdicts: DataFrame, logs: DataFrame, at: Column | None = None, name: str = "uturn") -> DataFrame:
+    """One row for each missing verdict, with the run's logs, its trace file and the time (now, unless given)."""
+    missing = verdicts.where("verdict = -1").select("loop_num", F.col("label").alias("header")).join(logs, "loop_num")
+    file = F.concat(F.lit(f"{name}_eval_sim"), "loop_num", F.lit(".json"))
+    return missing.withColumns({"file": file, "logged_at": (F.current_timestamp() if at is None else at).cast("timestamp_ntz")})
 
 
 def write_snapshot(df: DataFrame, path: str, stamp: str) -> None:

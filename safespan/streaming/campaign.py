@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from safespan.operators import gp
+from safespan.operators.acquire import boundary_stability, decide
+from safespan.operators.clean import training_set
+from safespan.operators.design import focus_candidates, uniform_candidates
 from safespan.operators.ingest import content_state, scan_traces
+from safespan.operators.report import best_target
+from safespan.operators.sequence import phase_timeline
+from safespan.scenario import FOCUS_POINTS, Scenario
 from safespan.session import materialize, shared_dir
-from safespan.sources.files import append_dataset
+from safespan.sources.files import append_dataset, read_dataset
 
 
 def watch(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -39,14 +47,16 @@ _OUT = "loop_num long, status string, dx0 double, ego_speed double, npc_speed do
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def merge_stream(params: DataFrame, results: DataFrame, seconds: int = 600, delay: str = "0 seconds", status: str = "expired", labels: int | None = None, buckets: int = 64) -> DataFrame:
+def merge_stream(params: DataFrame, results: DataFrame, seconds: int = 600, delay: str = "0 seconds", status: str = "expired", labels: int | None = None, buckets: int | None = None) -> DataFrame:
     """Parameters and results of each run, joined while the parameters are at most `seconds` old.
 
     A newer parameter row replaces the one in wait; the first result takes it (`merged`); a result without parameters is
     an `orphan`; parameters that get too old leave as `status`, with `labels` as their labels. Runs are dealt over
-    `buckets` state rows, each a map of the runs in wait, so that a batch costs one call for each bucket and not for each
-    run; an event-time timer clears what got too old.
+    `buckets` state rows (four for each shuffle partition of the session, unless given; a restarted stream must keep the
+    number), each a map of the runs in wait, so that a batch costs one call for each bucket and not for each run; an
+    event-time timer clears what got too old.
     """
+    buckets = buckets or 4 * int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none, at = F.lit(None), F.col("ts").cast("double").alias("at")
     p = params.select("loop_num", "ts", at, F.lit(0).alias("kind"), "seq", "dx0", "ego_speed", "npc_speed", none.cast("int").alias("c_collision"), none.cast("int").alias("c_ttc_0_5"))
     r = results.select("loop_num", "ts", at, F.lit(1).alias("kind"), F.lit(0).alias("seq"), *[none.cast("double").alias(c) for c in ("dx0", "ego_speed", "npc_speed")], "c_collision", "c_ttc_0_5")
@@ -108,11 +118,46 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return last[-1] if last else spark.createDataFrame([], stream.schema)
 
 
-def campaign_loop(results: DataFrame, path: str, propose: Callable[[DataFrame], None], checkpoint: str):
-    """Append each batch of merged results to the dataset, then hand the dataset to `propose`, which fits and picks anew."""
-
-    def step(batch: DataFrame, _: int) -> None:
-        append_dataset(batch, path)
-        propose(batch)
-
-    return results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+@dataclass
+class Loop:
+    """One round of a running campaign for each batch of finished runs: the batch is appended to the dataset, the target
+    with both outcomes is chosen, the model fitted anew, its states at the reference points kept, and the next decisions
+    are made. path holds the dataset, the states and the decisions, so a round needs nothing but the folder."""
+
+    path: str
+    batch_size: int = 15
+    candidates: int = 10_000
+    references: int = 2_000
+    mode: str = "explore"
+    scenario: Scenario = Scenario()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark, s = batch.sparkSession, self.scenario
+        append_dataset(batch, f"{self.path}/dataset")
+        data = materialize(read_dataset(spark, f"{self.path}/dataset"), "dataset")
+        start, target = data.agg(F.coalesce(F.max("loop_num"), F.lit(0))).first()[0], best_target(data, s.priorities).first()[0]
+        violations = data.where(F.col(target) == 1).count() if target else 0
+        model = gp.fit(training_set(data, target, s), s.features) if target else None
+        ids = spark.range(self.batch_size * self.candidates).select((F.col("id") % self.batch_size).alias("draw_id"), F.col("id").alias("cand_id"))
+        drawn = focus_candidates(ids, list(FOCUS_POINTS), self.batch_size * self.candidates, seed=number) if self.mode == "focus" else uniform_candidates(ids, seed=number)
+        stable = False
+        if model is None:
+            scored = drawn.limit(0).withColumns({"mean": F.lit(None).cast("double"), "std": F.lit(None).cast("double")})
+        else:
+            scored = gp.predict(drawn, model)
+            points = uniform_candidates(spark.range(self.references).withColumnRenamed("id", "cand_id"), seed=0)
+            observed = gp.predict(points, model).select(F.lit(number).cast("long").alias("iter"), F.col("cand_id").alias("point_id"), "mean")
+            observed.write.mode("append").parquet(f"{self.path}/states")
+            last = boundary_stability(spark.read.parquet(f"{self.path}/states"), s).orderBy(F.desc("iter")).limit(1).collect()
+            stable = bool(last and last[0].iter == number and last[0].stable)
+        decisions = spark.range(self.batch_size).select((F.col("id") + start).alias("idx"), F.col("id").alias("draw_id"), F.lit(violations).cast("long").alias("violations"), F.lit(model is not None).alias("trained"), F.lit(stable).alias("stable"))
+        decisions.write.mode("append").parquet(f"{self.path}/made")  # phases follow from all decisions so far
+        phases = phase_timeline(spark.read.parquet(f"{self.path}/made"), s, self.mode).groupBy("idx").agg(F.max("phase").alias("phase"))
+        next_ = decide(decisions.join(phases, "idx"), scored, self.mode, scenario=s)
+        next_.withColumns({"batch": F.lit(number).cast("long"), "target": F.lit(target), "n_runs": F.lit(data.count()), "violations": F.lit(violations).cast("long")}).write.mode("append").parquet(f"{self.path}/decisions")
+
+
+def campaign_loop(results: DataFrame, loop: Loop) -> DataFrame:
+    """The decisions of a loop over all batches that there are."""
+    results.writeStream.foreachBatch(loop).option("checkpointLocation", f"{loop.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return results.sparkSession.read.parquet(f"{loop.path}/decisions")

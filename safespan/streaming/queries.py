@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from safespan.functions.theory import enrich
 from safespan.operators.ingest import content_state, outcome_live, scan_traces
 from safespan.plans.sql import LABELS, sql
+from safespan.scenario import Scenario
+from safespan.session import shared_dir
 from safespan.sources.tables import VIEWS
 from safespan.streaming import campaign
 
@@ -80,3 +84,16 @@ def stream_totals(s, d):
 @query("SELECT worker_id, status FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY ts DESC, event_id DESC) AS n FROM worker_status) WHERE n = 1")
 def stream_status(s, d):
     return campaign.drain(campaign.latest_status(stream(s, d, "worker_status")), "complete")
+
+
+def stream_loop(s, d):
+    """Decisions of a campaign that appends, fits and picks after each batch of finished runs. Runs are numbered anew, by
+    order and line, so that numbers can go on from the last."""
+    runs = enrich(stream(s, d, "runs"))
+    runs = runs.withColumns({c: F.when(~F.col("late"), F.col(c)) for c in runs.columns if c.startswith("theory_")}).drop("late")
+    runs = runs.withColumn("loop_num", F.expr("loop_num div 10000000000 * 8 + loop_num % 10"))
+    path = f"{shared_dir(s).rstrip('/')}/loop-{uuid.uuid4().hex}"
+    return campaign.campaign_loop(runs, campaign.Loop(path, scenario=Scenario(max_samples=1 << 40)))
+
+
+QUERIES["stream_loop"] = stream_loop  # random candidates: tested by its properties
