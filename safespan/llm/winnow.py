@@ -143,7 +143,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
     bounds, top = df.agg(F.percentile_approx(key, shares, 20 * n), F.max(key)).first()
     bounds = sorted({b for b in bounds or [] if b < top})
     shared = df.sparkSession.sparkContext.broadcast((bounds, set(bounds), top))
-    range_, ghost = unused(df, "range", "ghost")
+    names, (range_, ghost) = df.columns, unused(df, "range", "ghost")
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bounds, ends, top = shared.value
@@ -160,7 +160,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
                 at.append(p)
                 ghosts.append(g)
         made = batch.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*made.columns, pa.array(at, pa.int32()), pa.array(ghosts, pa.bool_())], [*df.columns, range_, ghost])
+        yield pa.RecordBatch.from_arrays([*made.columns, pa.array(at, pa.int32()), pa.array(ghosts, pa.bool_())], [*names, range_, ghost])
 
     schema = T.StructType([*df.schema.fields, T.StructField(range_, T.IntegerType()), T.StructField(ghost, T.BooleanType())])
     dealt = df.mapInArrow(per_batch(deal), schema)

@@ -191,7 +191,7 @@ def slow_kneser_ney(texts, order):
     return perplexity
 
 
-@pytest.mark.parametrize("shard", [3_000_000, 150])
+@pytest.mark.parametrize("shard", [3_000_000, 400])
 def test_against_a_slow_kneser_ney(spark, shard, monkeypatch):
     """Also with several shards and readings of the texts, repeated rows, nulls, a long text and clashing names."""
     monkeypatch.setattr(kneser, "SHARD", shard)
