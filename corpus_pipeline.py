@@ -18,9 +18,14 @@ WORD_BPE = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a clear language; null texts and texts without letters have none."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where("not rejected").select(docs.columns)
+    """Documents with a clear language, which becomes their lang; null texts and texts without letters have none. Each half
+    of the documents is judged by what was learned from the other half."""
+    half = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2
+    parts = []
+    for i in (0, 1):
+        found = langid.identify(docs.where(half == i), langid.fit(docs.where(half != i))).where("not rejected")
+        parts.append(found.withColumn("lang", F.col("lang_pred")).select(docs.columns))
+    return parts[0].unionByName(parts[1])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +39,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with found secrets masked and n_chars brought up to date."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All documents, with found secrets masked and n_chars, where there is one, brought up to date."""
+    out = secrets.redact(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and their number."""
     path = public_tokenizers.path(WORD_BPE)
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    ids = bpe.encode(docs.select(*kept, "text"), path)
+    return ids.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
