@@ -162,3 +162,49 @@ def test_empty_tables_pass(spark):
     runs = labels(spark).limit(0).withColumns({"loop_num": F.lit(1), "worker_id": F.lit("21"), "outcome": F.lit("Safe")})
     assert one(report.resume_point(runs)).resume_at == 0
     assert report.running_totals(runs).count() == 0 and report.worker_violation_rate(runs).count() == 0
+
+
+def test_design_goes_on_beyond_old_periods(spark):
+    near, far = (design.sobol_design(spark.createDataFrame([(5 + k,), (6 + k,)], "idx long")).collect() for k in (0, 1 << 25))
+    assert all(a[c] != b[c] for a, b in zip(near, far, strict=True) for c in S.ranges)
+
+
+def test_design_has_the_published_points():
+    """The first points of three dimensions without a shift, as published."""
+    want = [(0, 0, 0), (0.5, 0.5, 0.5), (0.75, 0.25, 0.25), (0.25, 0.75, 0.75), (0.375, 0.375, 0.625), (0.875, 0.875, 0.125), (0.625, 0.125, 0.875), (0.125, 0.625, 0.375)]
+    for i, point in enumerate(want):
+        gray = i ^ (i >> 1)
+        for numbers, x in zip(design.directions(), point, strict=True):
+            out = 0
+            for k in range(design.BITS):
+                out ^= numbers[k] if gray >> k & 1 else 0
+            assert out / (1 << design.BITS) == x
+
+
+def test_first_of_several_results_counts(spark):
+    p = spark.createDataFrame([(1, 1.0, 1)], "loop_num long, dx0 double, seq int").withColumns({"ts": F.timestamp_seconds(F.lit(0)), "reason": F.lit("r")})
+    r = spark.createDataFrame([(1, 1, 20), (1, 0, 10), (1, 1, 30)], "loop_num long, c_collision int, at int").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    assert one(merge.timeout_flush(p, r, ["c_collision"])).c_collision == 0 and one(merge.merge_results(p, r)).c_collision == 0
+
+
+def test_an_intermediate_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from safespan.session import shared_dir
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_expiry_within_the_join(spark, tmp_path):
+    """A result within the limit joins, also exactly at it; one beyond it is an orphan, and the parameters expire."""
+    from safespan.streaming import campaign
+
+    p = spark.createDataFrame([(1, 1, 1000), (2, 1, 1000), (3, 1, 1000), (4, 1, 1000), (4, 2, 1300)], "loop_num long, seq int, at long")
+    p.select("loop_num", "seq", F.timestamp_seconds("at").alias("ts"), *[F.lit(1.0).alias(c) for c in S.features]).coalesce(1).write.parquet(f"{tmp_path}/p")
+    r = spark.createDataFrame([(1, 1500), (2, 1600), (3, 1601), (4, 1700), (9, 5000)], "loop_num long, at long")
+    r.select("loop_num", F.timestamp_seconds("at").alias("ts"), F.lit(0).alias("c_collision"), F.lit(1).alias("c_ttc_0_5")).coalesce(1).write.parquet(f"{tmp_path}/r")
+    streams = [campaign.watch(spark, f"{tmp_path}/{x}", spark.read.parquet(f"{tmp_path}/{x}").schema) for x in "pr"]
+    got = sorted((x.loop_num, x.status) for x in campaign.drain(campaign.merge_stream(*streams, seconds=600, buckets=3)).collect())
+    assert got == [(1, "merged"), (2, "merged"), (3, "expired"), (3, "orphan"), (4, "merged"), (9, "orphan")]
