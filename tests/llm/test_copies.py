@@ -79,7 +79,25 @@ def test_op1_against_plain_texts(spark, sf):
     for i, (d, t) in enumerate(docs):
         after, half = docs[(i + 1) % len(docs)][1], len(t) // 2
         assert got[d].n_chars == len(t)
-        assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+        edited = t[: len(t) - half] + after[:half]
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        if i % 10 == 0:  # the slow version takes its time
+            own, other, next_ = (slow_winnow(x, winnow.K, winnow.W) for x in (t, edited, after))
+            assert got[d].fingerprint == " ".join(f"{h:x}@{p}" for h, p in own) and got[d].edited_fingerprint == " ".join(f"{h:x}@{p}" for h, p in other)
+            a, b, c = ({h for h, _ in x} for x in (own, other, next_))
+            for likeness, x in ((got[d].near_edited, b), (got[d].near_next, c)):
+                assert likeness == pytest.approx(len(a & x) / len(a | x) if a | x else 1.0)
+
+
+def test_fingerprints_keep_columns_and_repeated_rows(spark):
+    rows = [(3, "one text", "k")] * 2 + [(2, None, "k"), (1, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _at string")
+    got = winnow.with_next(df).collect()
+    assert sorted((r.doc_id, r._at, r.next_text or "") for r in got) == [(1, "k", "one text"), (2, "k", ""), (3, "k", ""), (3, "k", "one text")]
+    made = winnow.fingerprint(df.withColumnRenamed("_at", "fingerprint"))
+    assert {r.doc_id: [(x.hash, x.at) for x in r.fingerprint] for r in made.collect()} == {3: [(h, p) for h, p in slow_winnow("one text", winnow.K, winnow.W)], 2: [], 1: []}
+    pairs = df.withColumnRenamed("_at", "other").limit(0)
+    assert winnow.compare(pairs, "text", {"other": ("near", None)}).count() == 0
 
 
 def plain_components(rows, k, percent):
@@ -119,6 +137,32 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_group_that_shares_losses(spark):
+    """Members that are below the threshold to most others and above it to few: links by shared losses and extras."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    spots = [rng.sample(range(2, 148), 5) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for p in rng.choice(spots) if i % 3 else rng.sample(range(2, 148), rng.randint(1, 7)):
+            w[p] = f"new{rng.randint(0, 3)}"
+        rows.append((5000 - 7 * i, " ".join(w)))
+    rows.append((1, "word " + " ".join(f"l{i}" for i in range(40_000))))  # a very long text, twice
+    rows.append((2, rows[-1][1] + " end"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == plain_components(rows, 4, 80)
+    assert len({c for _, c in got.values()}) > 10
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()} == {(i, 1) for i in (1, 2, 3, 4)}
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(df).collect()) == [(1, a), (1, b)]
+
+
 def test_circulant_estimates_likeness():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 2000).astype(np.uint64)

@@ -229,7 +229,7 @@ def test_toxicity(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     held = [(labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels]
     assert np.mean([p for y, p in held if y == 0]) < 0.05
-    assert np.mean([p for y, p in held if y == 1]) > 0.5
+    assert np.mean([p for y, p in held if y == 1]) >= 0.6  # 14 rows; the README has the figures of larger tables
 
 
 def test_pairs_of_terms_count():
@@ -245,8 +245,126 @@ def test_pairs_of_terms_count():
     assert both > 0.8 and one < 0.3 and none < 0.3
 
 
+@pytest.mark.parametrize("kind", ["either alone", "both", "only a"])
+def test_terms_that_matter_in_pairs_only(spark, kind):
+    """Also among noise, and where neither term depends on the label by itself."""
+    rng = np.random.default_rng(1)
+    names = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = []
+    for i in range(1500):
+        a, b = (bool(x) for x in rng.random(2) < 0.5)
+        label = {"either alone": a != b, "both": a and b, "only a": a}[kind]
+        rows.append((i, " ".join([*rng.choice(names, 20), *["insult"] * a, *["group"] * b]), int(label)))
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    test = spark.createDataFrame([(i, t + " other") for i, t in enumerate(["insult group", "insult", "group", ""])], "doc_id long, text string")
+    got = [x.score > 0.5 for x in toxicity.score(test, m).orderBy("doc_id").collect()]
+    assert got == {"either alone": [False, True, True, False], "both": [True, False, False, False], "only a": [True, True, False, False]}[kind]
+
+
+def test_partners_against_all_pairs():
+    """The pair search against a plain loop over all pairs."""
+    rng = np.random.default_rng(2)
+    lists = [np.unique(rng.integers(0, 12, rng.integers(1, 8)).astype(np.int32)) for _ in range(300)]
+    labels = np.array([float((2 in x) != (5 in x) or rng.random() < 0.05) for x in lists])
+    pairs = toxicity.Pairs(lists, labels)
+    once = {(x.tobytes(), y): (set(x.tolist()), y) for x, y in zip(lists, labels, strict=True)}.values()
+
+    def gain(a, b):
+        held = [(b in x, y) for x, y in once if a in x]
+        n, n1 = len(held), sum(y for _, y in held)
+        out = 0.0
+        for has in (False, True):
+            for y in (0.0, 1.0):
+                got, row, column = sum(h == has and z == y for h, z in held), sum(h == has for h, _ in held), n1 if y else n - n1
+                out += 2 * got * np.log(got * n / (row * column)) if got else 0.0
+        return out
+
+    places = pairs.places.tolist()
+    want = set()
+    for i, a in enumerate(places):
+        for b in places[i + 1 :]:
+            both = sum(a in x and b in x for x, _ in once)
+            if both >= toxicity.MIN_ROWS and min(gain(a, b), gain(b, a)) >= toxicity.PAIR_GAIN and both < min(sum(c in x for x, _ in once) for c in (a, b)):
+                want.add((a, b))
+    got = {(int(f[0]), int(b)) for f in (pairs.partners(i) for i in range(len(places))) for b in f[1:]}
+    assert got == want and (2, 5) in got
+
+
+def slow_score(m, places):
+    """A factorization machine by its definition: a sum over pairs."""
+    s = [m.slot[p] for p in places if m.slot[p] > 0]
+    x = m.bias + sum(m.weight[i] for i in s) + sum(float(m.factor[a] @ m.factor[b]) for i, a in enumerate(s) for b in s[i + 1 :])
+    return 1 / (1 + np.exp(-x))
+
+
+def test_toxicity_query_against_a_slow_machine(spark, sf):
+    from safespan.llm.queries import held_out
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    m = toxicity.fit(docs.where(~held_out(4, 2)).join(labels.where(~held_out(4, 2)), "doc_id"))
+    got = {r.doc_id: r.score for r in op10_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    lists = toxicity.term_lists(pa.array([r.text for r in rows]))
+    assert all(got[r.doc_id] == pytest.approx(slow_score(m, x.tolist()), rel=1e-6, abs=1e-9) for r, x in zip(rows, lists, strict=True))
+
+
+def test_items_of_any_key_repeats_nulls_and_clashes(spark):
+    text = "the quick brown fox jumps over the lazy dog by the river bank"
+    items = spark.createDataFrame([("a", text), ("b", text.upper()), ("c", None), ("d", ""), (None, "no such words are here at all, none")], "item_id string, text string")
+    rows = [(1, f"x {text} y", 7), (1, f"x {text} y", 7), (2, None, 7), (3, "", 7), (4, "z " * 200_000 + text, 7), (None, text, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance int")
+    got = sorted((r.doc_id or 0, r.item_id, r.match_start) for r in decontam.find_matches(docs, items).collect())
+    assert got == [(0, "a", 0), (0, "b", 0), (1, "a", 2), (1, "a", 2), (1, "b", 2), (1, "b", 2), (4, "a", 400_000), (4, "b", 400_000)]
+    left = decontam.decontaminate(docs, items)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3] and left.columns == docs.columns
+    assert decontam.find_matches(docs.limit(0), items).count() == 0 and decontam.decontaminate(docs, items.limit(0)).count() == 6
+
+
+def test_secrets_of_any_length_repeats_and_clashes(spark):
+    name, key = "n" * 500, "AKIA" + "ABCD1234EFGH"
+    rows = [(1, f"user={name} {key} token=abcdefgh1", 5)] * 2 + [(2, "w " * 100_000 + key, 5), (3, None, 5), (4, f"{key} {'a1' * 20} {key}", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secrets int")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secrets.find_secrets(df).collect()}
+    assert got[1] == [("user", 0, 505), ("access", 506, 522), ("assign", 523, 538)] and got[3] == []
+    assert got[2] == [("access", 200_000, 200_016)] and [k for k, *_ in got[4]] == ["access", "hex", "access"]
+    assert {r.text for r in secrets.redact(df.where("doc_id = 1")).collect()} == {"[SECRET] [SECRET] [SECRET]"}
+
+
+def test_language_ties_are_rejected(spark):
+    same = "lorem ipsum dolor sit amet " * 20
+    model = langid.fit(spark.createDataFrame([(same, "aa"), (same, "bb")], "text string, lang string"))
+    r = langid.identify(spark.createDataFrame([(1, "lorem ipsum dolor")], "doc_id long, text string"), model).first()
+    assert r.lang_pred == "aa" and r.rejected and r.margin == 0
+
+
+def test_languages_against_plain_sizes(spark, sf):
+    """The query against sizes computed one by one with the library."""
+    import zstandard
+
+    from safespan.llm.queries import held_out
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out(3, 1)))
+    got = {r.doc_id: r for r in op4_language(spark, sf).collect()}
+    made = {k: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in model.items()}
+    checked = 0
+    for r in docs.collect():
+        raw = (r.text or "").lower().encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        sizes = sorted((sum(len(c.compress(raw[i : i + langid.PART])) for i in range(0, len(raw), langid.PART)), k) for k, c in made.items())
+        if sizes[1][0] > (1 + langid.CLOSE) * sizes[0][0]:
+            assert got[r.doc_id].lang_pred == sizes[0][1]
+            checked += 1
+    assert checked > 0.9 * len(got)
+
+
 def test_toxicity_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "1 2 3"), (4, "Word word" * 30_000)], "doc_id long, text string")
     m = toxicity.fit(df.withColumn("toxic", F.lit(None).cast("int")))
     assert {r.score for r in toxicity.score(df.withColumn("score", F.lit("clash")), m).collect()} == {0.5}
+    assert toxicity.score(df.limit(0), m).count() == 0
+    assert len({r.score for r in toxicity.score(df.union(df), m).where("doc_id = 4").collect()}) == 1
     assert list(toxicity.term_lists(pa.array([None, "Idiot idiot"])))[1].size == 1
