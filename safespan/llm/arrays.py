@@ -195,13 +195,16 @@ def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.
     return mix64(out), at
 
 
-def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = 2000) -> Callable:
-    """A function for mapInArrow that hands on at most `rows` rows at a time, so that tasks hold little at once."""
+def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = 2000, after: Callable[[], None] | None = None) -> Callable:
+    """A function for mapInArrow that hands on at most `rows` rows at a time, so that tasks hold little at once. after is
+    called at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield from make(batch.slice(at, rows))
+        if after is not None:
+            after()
         give_back()
 
     return run

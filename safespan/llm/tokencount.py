@@ -74,6 +74,9 @@ class Counter:
                     heappush(heap, rule[0] << 32 | h)
         return left
 
+    def forget(self) -> None:
+        self.chunks, self.words = Memory(self.chunk), Memory(self.word)
+
     def text(self, text: str) -> int:
         known = self.chunks
         return sum([(special != "") + sum([known[c] for c in chunks]) for special, chunks in self.v.chunks(text)])
@@ -94,4 +97,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", name: str = "n_to
         keep = {n: x for n, x in zip(batch.schema.names, batch.columns, strict=True) if n != name}
         yield pa.RecordBatch.from_arrays([*keep.values(), made], [*keep, name])
 
-    return df.mapInArrow(per_batch(make), schema)
+    return df.mapInArrow(per_batch(make, after=lambda: counter(path).forget()), schema)
