@@ -6,6 +6,8 @@ from safespan.streaming import queries as streaming
 
 SMALL = "/root/testdata/sf0.001"
 LARGER = "theory_vs_observed training_set merge_results timeout_flush dispatch_ids running_totals phase_timeline decide_explore decide_focus decide_margin sobol_design boundary_stability".split()
+#: On the smallest tables one value lies between two roundings and one run number occurs twice; these two run on the larger ones.
+ODD = {"safe_candidates", "profile_cross"}
 RANDOM = {"uniform_candidates", "focus_candidates", "gp_fit", "gp_predict"}
 
 
@@ -19,12 +21,12 @@ def small():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(campaign.ORACLE))
+@pytest.mark.parametrize("name", sorted(set(campaign.ORACLE) - ODD))
 def test_same_as_sql(spark, small, name):
     assert same(campaign.QUERIES[name](spark, SMALL), small, campaign.ORACLE[name]) > 0
 
 
-@pytest.mark.parametrize("name", LARGER)
+@pytest.mark.parametrize("name", [*LARGER, *sorted(ODD)])
 def test_same_as_sql_on_more(spark, sf, duck, name):
     assert same(campaign.QUERIES[name](spark, sf), duck, campaign.ORACLE[name]) > 0
 
