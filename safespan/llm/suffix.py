@@ -223,7 +223,9 @@ def _settle(dealt: DataFrame) -> DataFrame:
             yield from flush(now, parts)
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, F.expr("if(bucket < 0, xxhash64(doc), bucket)")).sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    # buckets are equally many in each task; repeats found within a batch may go anywhere
+    to = F.expr(f"cast(pmod(if(bucket < 0, xxhash64(doc), bucket), {n}) as int)")
+    return dealt.repartitionById(n, to).sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 _CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("place", T.LongType()), T.StructField("bytes", T.BinaryType())])
