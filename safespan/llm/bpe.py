@@ -29,11 +29,11 @@ from safespan.llm.arrays import Lookup, per_batch, text_bytes
 
 #: Bytes that a worker's memory of chunks, and that of words, may take; beyond half of it the older half is forgotten,
 #: which changes no result.
-REMEMBERED = 96_000_000
+REMEMBERED = 48_000_000
 #: Bytes of an entry besides its key and value, and the number of remembered pairs of tokens.
 ENTRY, PAIRS = 250, 1_000_000
 #: Code points of the texts worked through at once, and cells of the arrays for their words.
-PART, CELLS = 1 << 22, 1 << 19
+PART, CELLS = 1 << 20, 1 << 18
 NEVER = 1 << 60
 
 
@@ -513,7 +513,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", packe
         keep = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != ids}
         yield pa.RecordBatch.from_arrays([*keep.values(), column], [*keep, ids])
 
-    return df.mapInArrow(per_batch(make, 700, lambda: encoder(path).forget()), schema)
+    return df.mapInArrow(per_batch(make, 500, lambda: encoder(path).forget()), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

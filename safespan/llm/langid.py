@@ -105,4 +105,5 @@ def identify(df: DataFrame, model: dict[str, bytes], text: str = "text", margin:
         made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[0] == NONE or f[2] <= margin for f in found], pa.bool_())]
         yield pa.RecordBatch.from_arrays([*keep.values(), *made], [*keep, *names])
 
-    return df.mapInArrow(per_batch(make), schema)
+    # idle workers stay, and the compressors of a model take some 150 MB
+    return df.mapInArrow(per_batch(make, after=lambda: _compressors.clear()), schema)
