@@ -11,7 +11,7 @@ from safespan.functions import theory
 from safespan.operators import acquire, clean, design, gp, ingest, merge, report, sequence
 from safespan.plans.sql import DA, DH, LABELS, PLOTTED, S, TA, TH, TTC, repair_sql, severity_sql, sobol_sql, sql, zone_sql
 from safespan.scenario import FIXED, FOCUS_POINTS, FORMULAS, PROFILES, focus_points, formulas, profiles
-from safespan.session import shared_dir
+from safespan.session import materialize, shared_dir
 from safespan.sources import files
 from safespan.sources.tables import load
 
@@ -31,8 +31,9 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def dataset(s: SparkSession, d: str) -> DataFrame:
-    """All runs with their theory columns; runs that timed out have none."""
-    full = theory.enrich(load(s, d, "runs"))
+    """All runs with their theory columns; runs that timed out have none. The runs are stored first, as a campaign's are:
+    expressions over a stored table stay small enough to be compiled."""
+    full = theory.enrich(materialize(load(s, d, "runs"), "runs"))
     return full.withColumns({c: F.when(~F.col("late"), F.col(c)) for c in full.columns if c.startswith("theory_")}).drop("late")
 
 
