@@ -203,6 +203,8 @@ def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield from make(batch.slice(at, rows))
+            del batch  # before the next one is read
+            give_back()
         if after is not None:
             after()
         give_back()

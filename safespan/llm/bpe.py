@@ -29,7 +29,7 @@ from safespan.llm.arrays import Lookup, per_batch, text_bytes
 
 #: Bytes that a worker's memory of chunks, and that of words, may take; beyond half of it the older half is forgotten,
 #: which changes no result.
-REMEMBERED = 48_000_000
+REMEMBERED = 32_000_000
 #: Bytes of an entry besides its key and value, and the number of remembered pairs of tokens.
 ENTRY, PAIRS = 250, 1_000_000
 #: Code points of the texts worked through at once, and cells of the arrays for their words.
@@ -419,10 +419,6 @@ class Encoder:
                 known[c] = words[line[0]] if len(line) == 1 else b"".join([words[w] for w in line])
         self.bytes += sum(map(len, lacking)) + ENTRY * len(lacking)
 
-    def forget(self) -> None:
-        """Drop what is remembered of chunks and words: idle workers stay, and what they hold counts."""
-        self.known, self.older, self.words, self.bytes, self.word_bytes = {}, {}, {}, 0, 0
-
     def texts(self, texts: list[str]) -> list[bytes]:
         """The packed ids of whole texts."""
         out, i = [], 0
@@ -513,7 +509,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", packe
         keep = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != ids}
         yield pa.RecordBatch.from_arrays([*keep.values(), column], [*keep, ids])
 
-    return df.mapInArrow(per_batch(make, 500, lambda: encoder(path).forget()), schema)
+    # idle workers stay, and what they hold counts
+    return df.mapInArrow(per_batch(make, 500, encoder.cache_clear), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
