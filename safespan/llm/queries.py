@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safespan.llm import bpe, decontam, kneser, langid, minhash, secrets, suffix, tokencount, toxicity, winnow
+from safespan.llm import bpe, decontam, kneser, langid, minhash, mixing, secrets, suffix, tokencount, toxicity, winnow
 from safespan.llm.arrays import pack, unpack
 
 WORD_BPE = "word_bpe_49k.json"
@@ -95,6 +95,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, documents, sources = mixing.mix(table(spark, sf_dir, "documents"))
+    found = sources.select("place", F.col("words").alias("source_size"), "target")
+    return mixing.taken(pieces, documents).join(found, "place").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_minhash": op2_minhash,
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_mixing": op11_mixing,
 }
 
 NEAR_DUPLICATES = r"""
