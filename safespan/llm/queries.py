@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safespan.llm import bpe, decontam, kneser, langid, minhash, mixing, secrets, suffix, tokencount, toxicity, winnow
+from safespan.llm import bpe, decontam, kneser, langid, minhash, mixing, resample, secrets, suffix, tokencount, toxicity, winnow
 from safespan.llm.arrays import pack, unpack
 
 WORD_BPE = "word_bpe_49k.json"
@@ -101,6 +101,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(pieces, documents).join(found, "place").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_minhash": op2_minhash,
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_mixing": op11_mixing,
+    "op12_resampling": op12_resampling,
 }
 
 NEAR_DUPLICATES = r"""
@@ -135,4 +141,28 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b
 FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-ORACLE: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES}
+RESAMPLING = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+w AS (
+  SELECT side, id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+f AS (SELECT side, row, unnest(ws || [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS feature FROM w),
+n AS (SELECT side, row, feature, count(*) AS n FROM f GROUP BY ALL),
+b AS (
+  SELECT feature, xor(list_reduce([4294967295] || [('0x' || h[2 * i + 1:2 * i + 2])::BIGINT for i in range(0, len(h) // 2)], lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM n)), t),
+k AS (SELECT range AS bucket FROM range(10000)),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::DOUBLE AS t FROM k LEFT JOIN (b JOIN n USING (feature)) USING (bucket) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM s),
+m AS (SELECT row, sum(n * gain)::DOUBLE AS gain FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 'd' GROUP BY row),
+x AS (
+  SELECT id AS doc_id, len(ws) AS n_words, greatest(2 * len(ws) - 1, 0)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE floor(gain / (2 * len(ws) - 1)) END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || sha256('7:' || id)[:8])::BIGINT + 0.5e0) / 4294967296e0)))::BIGINT AS noise
+  FROM w LEFT JOIN m USING (row) WHERE side = 'd'),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER (PARTITION BY n_words >= 20) AS total FROM x)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_words >= 20 AND rank <= total * 25 // 100 THEN rank END AS rank FROM r
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES, "op12_resampling": RESAMPLING}
