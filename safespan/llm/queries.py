@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safespan.llm import bpe, decontam, kneser, langid, minhash, mixing, resample, secrets, suffix, tokencount, toxicity, winnow
+from safespan.llm import bpe, collocations, decontam, kneser, langid, minhash, mixing, resample, secrets, suffix, tokencount, toxicity, winnow
 from safespan.llm.arrays import pack, unpack
 
 WORD_BPE = "word_bpe_49k.json"
@@ -106,6 +106,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_minhash": op2_minhash,
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_mixing": op11_mixing,
     "op12_resampling": op12_resampling,
+    "op13_collocations": op13_collocations,
 }
 
 NEAR_DUPLICATES = r"""
@@ -165,4 +170,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight +
 SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_words >= 20 AND rank <= total * 25 // 100 THEN rank END AS rank FROM r
 """
 
-ORACLE: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES, "op12_resampling": RESAMPLING}
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS ws FROM p),
+g AS (SELECT lang, k, unnest([ws[i:i + k - 1] for i in range(1, len(ws) - k + 2)]) AS ws FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+inside AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(n) AS longer FROM f, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 6)) AS j) WHERE i < j AND j <= k AND j - i + 1 < k GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase) WHERE k >= 2 AND (longer IS NULL OR 100 * longer < 100 * n)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.n AS a, x.n AS l, y.n AS r, t.n, cut, (1000::HUGEINT * c.n * t.n) // (x.n::HUGEINT * y.n) AS score
+  FROM c JOIN (SELECT unnest(range(1, 5)) AS cut) ON cut < k JOIN f x ON x.lang = c.lang AND x.ws = c.ws[:cut] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[cut + 1:] JOIN t ON t.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM best QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash": NEAR_DUPLICATES, "op12_resampling": RESAMPLING, "op13_collocations": COLLOCATIONS}
