@@ -38,8 +38,8 @@ from safespan.session import materialize
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose equal suffixes are counted together before they are sent.
 CHUNK = 6 << 20
-#: Suffixes of a bucket, and of one lead at most; leads beyond that are at most SHARE.
-BUCKET, SHARE = 1 << 17, 1_000_000
+#: Suffixes of a bucket, and of a lead from FEW on to BUCKET at most, unless more than SHARE leads have more.
+BUCKET, FEW, SHARE = 1 << 17, 1024, 1_000_000
 #: Bits of a table of frequent words or pairs.
 BITS = 26
 PIECE = np.zeros(256, dtype=bool)
@@ -273,7 +273,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     rows = materialize(suffixes(docs, bit_table(twos), longest), "suffixes")
     n = rows.count()
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET + 1)
-    limit = max(1024, n // SHARE, min(BUCKET, 2 * n // buckets))
+    limit = max(FEW, n // SHARE, min(BUCKET, 2 * n // buckets))
     for k in range(3, longest + 1):
         rows = rows.withColumn("lead", F.substring_index("phrase", " ", k))
         sizes = rows.groupBy("lang", "lead").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
