@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,8 @@ REMEMBERED = 32_000_000
 ENTRY, PAIRS = 250, 1_000_000
 #: Code points of the texts worked through at once, and cells of the arrays for their words.
 PART, CELLS = 1 << 20, 1 << 18
+#: Bytes from which on a word is long: placed one by one, as arrays with a row for each word pay off for many words only.
+LONG = 64
 NEVER = 1 << 60
 
 
@@ -257,6 +260,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.most, self.bytes, self.word_bytes = REMEMBERED, 0, 0
         self.compatible = Lookup(np.empty(0, np.uint64), np.empty(0, np.int8))
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.left_edge: dict[int, list[tuple[int, int, int]]] = {}
         self.right_edge: dict[int, list[tuple[int, int, int]]] = {}
@@ -269,6 +273,7 @@ class Encoder:
             self.size[i] = len(s)
             self.shorter[i] = next((standing[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in standing), -1)
         self.automaton = Automaton(standing)
+        self.longest_token = max(map(len, standing), default=1)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The tokens that stand at that edge while the token is being merged: (token, rank made, rank ended)."""
@@ -347,7 +352,10 @@ class Encoder:
         out: list[bytes] = [b""] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(lengths, kind="stable")
-        i = 0
+        short = int((lengths <= LONG).sum())
+        for j in order[short:].tolist():
+            out[j] = self._encode_long(words[j])
+        order, i = order[:short], 0
         while i < len(order):  # words of like length, as many as keep the arrays small
             rows = max(1, CELLS // max(1, int(lengths[order[min(i + 1000, len(order) - 1)]])))
             part = order[i : i + rows]
@@ -395,6 +403,50 @@ class Encoder:
         ends = (4 * np.cumsum(placed)).tolist()
         return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
+    def _encode_long(self, word: bytes) -> bytes:
+        """One long word. What stands at a place depends on the symbols of the longest token from there on, so the automaton
+        runs over many parts of the word at once; the tokens are then placed one by one."""
+        n, step = len(word), LONG
+        symbols = np.frombuffer(word, np.uint8).astype(np.int16)
+        if self.v.end:
+            symbols[-1] += 256
+        longest = np.empty(n, np.int32)
+        for lo in range(0, n, CELLS):
+            starts = np.arange(lo, min(lo + CELLS, n), step)
+            size = np.minimum(step + self.longest_token - 1, n - starts)
+            part = np.zeros((len(starts), int(size.max())), np.int64)
+            inside = np.arange(part.shape[1]) < size[:, None]
+            part[inside] = symbols[(starts[:, None] + np.arange(part.shape[1]))[inside]]
+            found = self.automaton.longest(part, size)[:, :step].ravel()
+            longest[lo : lo + CELLS] = found[: min(lo + CELLS, n) - lo]
+        sizes, shorter, pairs, dead = self.size, self.shorter, self.pairs, bytearray(n + 1)
+        tokens, at, token = array("i"), 0, int(longest[0])
+        while at < n:
+            if token < 0:  # nothing fits here: step back
+                dead[at] = 1
+                if not tokens:
+                    raise ValueError("a word has symbols outside the vocabulary")
+                token = tokens.pop()
+                at -= int(sizes[token])
+                token = int(shorter[token])
+                continue
+            end = at + int(sizes[token])
+            fits = not dead[end]
+            if fits and tokens:
+                key = tokens[-1] << 20 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) > PAIRS // 16:
+                        pairs.clear()
+                    fits = pairs[key] = self.fits(tokens[-1], token)
+            if fits:
+                tokens.append(token)
+                at = end
+                token = int(longest[at]) if at < n else -1
+            else:
+                token = int(shorter[token])
+        return np.frombuffer(tokens, np.int32).astype("<u4").tobytes()
+
     def _remember(self, chunks: set[str]) -> None:
         """Makes sure that `known` has all the chunks."""
         if 2 * self.bytes > self.most:

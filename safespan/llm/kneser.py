@@ -132,6 +132,16 @@ class Scorer:
 _scorers: list = [None, None]
 
 
+def _ready(shared: dict, pairs: list[float], shard_of: np.ndarray) -> list[Scorer]:
+    """The scorers of these shards, made once in a worker. Tasks reach them by this function's name: what a task's own
+    function names is copied into it."""
+    first = next(iter(shared.values())).value
+    if _scorers[0] is not first:
+        _scorers[:] = [None, None]  # the old ones go before new ones are made
+        _scorers[:] = [first, [Scorer(*x.value, pairs, i, shard_of) for i, x in shared.items()]]
+    return _scorers[1]
+
+
 def dealt(rows: DataFrame, near: F.Column) -> np.ndarray:
     """The shard of each two-byte context: at most 65,536 counts, dealt to the emptiest shard, the largest first."""
     counts = {r[0]: r[1] for r in rows.groupBy(near).count().collect()}
@@ -161,10 +171,9 @@ def losses(df: DataFrame, rows: DataFrame, pairs: list[float], key: str, text: s
             shared[shard] = context.broadcast((columns[0].astype(np.int8), columns[1], columns[2].astype(np.float32)))  # about SHARD rows
 
         def make(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            if _scorers[0] is not next(iter(shared.values())).value:
-                _scorers[:] = [next(iter(shared.values())).value, [Scorer(*x.value, pairs, i, shard_of) for i, x in shared.items()]]
+            scorers = _ready(shared, pairs, shard_of)
             data, offsets = text_bytes(batch.column(text))
-            sums = [sum(s.loss(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for s in _scorers[1]) for i, j in runs(offsets, 1 << 19)]
+            sums = [sum(s.loss(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for s in scorers) for i, j in runs(offsets, 1 << 19)]
             whole = [hash_spans(data, offsets[:-1], offsets[1:]), hash_spans(data[::-1], (len(data) - offsets[1:])[::-1], (len(data) - offsets[:-1])[::-1])[::-1]]
             columns = [*(batch.column(c) for c in keep), pa.array(np.concatenate([np.empty(0), *sums])), pa.array(np.diff(offsets)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in whole)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)

@@ -7,8 +7,10 @@ of its size), as with very short texts, both are weighed again by a slower encod
 bytes, and the two sizes are added. Where the runner-up is still within `margin`, the answer is rejected as too close to
 call.
 
-Fitting takes at most SAMPLE labelled texts a language, the ones with the least hashes among those of at most LONGEST code
-points, whole; only these bounded samples reach the driver. Prediction compresses whole texts of any length.
+Fitting takes at most SAMPLE different labelled texts a language: those with the least hashes among those of at most
+LONGEST code points, whole, and where they are too few also longer ones, of which it takes one part of LONGEST code
+points, picked by the text's hash. Only these bounded samples reach the driver. Prediction compresses whole texts of any
+length.
 
 Defined cases: texts that are null or have no letter get `und`, score 0 and are rejected; ties go to the first language
 in alphabetical order and are rejected; repeated rows get equal answers; with no labelled texts all get `und`; an empty
@@ -38,17 +40,22 @@ NONE = "und"
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> dict[str, bytes]:
     """The dictionary content of each language: the sampled texts in lower case, least hash last (nearest to the text)."""
-    rows = df.where(F.col(lang).isNotNull() & F.length(text).between(1, longest)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "long": F.length("text") > longest})
+    # texts that repeat count once; only hashes are shuffled for that
+    distinct = rows.groupBy("lang", "hash", "long").agg(F.lit(1).alias("one"))
+    counts = {(r["lang"], r["long"]): r["n"] for r in distinct.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     # a first cut by hash leaves about four times the sample in each language, whatever its size
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * sample / n))])
-    few = rows.where(F.pmod(F.col("hash"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    best = few.groupBy("lang", "hash").agg(F.min("text").alias("text"))
-    order = "row_number() over (partition by lang order by hash, text)"
-    chosen = best.withColumn("place", F.expr(order)).where(F.col("place") <= sample).collect()
+    shares = {k: min(1.0, 4 * sample / n) for k, n in counts.items() if not k[1] or counts.get((k[0], False), 0) < sample}
+    share = F.create_map(*[F.lit(x) for (k, long), v in shares.items() for x in (f"{int(long)}{k}", v)])
+    key = F.concat(F.col("long").cast("int").cast("string"), "lang")
+    few = rows.where(F.pmod(F.col("hash"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, key), F.lit(0.0)) * (1 << 20))
+    best = few.groupBy("lang", "hash", "long").agg(F.min("text").alias("text"))
+    order = "row_number() over (partition by lang order by long, hash, text)"
+    part = F.expr(f"substring(text, cast(1 + pmod(hash, ceil(length(text) / {longest})) * {longest} as int), {longest})")
+    chosen = best.withColumn("place", F.expr(order)).where(F.col("place") <= sample).withColumn("text", part).collect()
     made: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: -r["place"]):
         made.setdefault(r["lang"], []).append(r["text"].lower())
@@ -58,6 +65,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAM
 _compressors: dict[int, list] = {}
 
 
+def forget() -> None:
+    """Drop a worker's compressors. Handed over by name: a copy would clear a copy."""
+    _compressors.clear()
+
+
 def _ready(model: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
     key = hash(tuple(model.items()))
     if key not in _compressors:
@@ -106,4 +118,4 @@ def identify(df: DataFrame, model: dict[str, bytes], text: str = "text", margin:
         yield pa.RecordBatch.from_arrays([*keep.values(), *made], [*keep, *names])
 
     # idle workers stay, and the compressors of a model take some 150 MB
-    return df.mapInArrow(per_batch(make, after=lambda: _compressors.clear()), schema)
+    return df.mapInArrow(per_batch(make, after=forget), schema)

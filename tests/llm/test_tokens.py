@@ -84,3 +84,20 @@ def test_queries_against_the_library(spark, sf, library):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         assert counts[r.doc_id].n_tokens == len(ids) and counts[r.doc_id].over_limit == (len(ids) > 2048)
+
+
+def test_long_words_take_no_longer_than_short_ones(library):
+    """A word of a million letters, one of many ideographs, and words about the length from which they count as long."""
+    import time
+
+    rng = random.Random(11)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    ideographs = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(33_000))
+    words = ["".join(rng.choices("aeinrst", k=n)) for n in range(50, 80)] + ["é" * n for n in range(25, 40)] + ["a" * 100, "a" * 101]
+    e = bpe.Encoder(bpe.Vocabulary(PATH))
+    e.text("warm up")
+    for text, most in ((letters[:100_000], 1.5), (ideographs, 1.5), (letters, 15), (" ".join(words), 5)):
+        began = time.process_time()
+        got = e.text(text)
+        assert time.process_time() - began < most
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
