@@ -300,7 +300,8 @@ def _with_size(df: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the best phrases of each language."""
     counts = phrase_counts(docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")), least, longest)
-    total = counts.where("phrase is null").select("lang", F.col("n").alias("all"))
+    # stored apart, so that Spark sees how small it is and doesn't deal all phrases by language
+    total = materialize(counts.where("phrase is null").select("lang", F.col("n").alias("all")), "languages")
     known, phrases = counts.where("phrase is not null"), counts.where("k >= 2")
 
     # all phrases within a longer one, with its count
