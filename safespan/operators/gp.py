@@ -1,17 +1,21 @@
 """Gaussian-process classification of runs with inducing points (the DTC approximation of Quinonero-Candela and Rasmussen
-2005), fitted by sums over partitions.
+2005), fitted by sums over all rows.
 
-Amplitude and length scale are those of the greatest marginal likelihood of the exact process over a sample of at most
-SAMPLE rows, searched on a grid over their ranges and then finer around the best. With them every task turns its rows into
-partial sums of K_uf K_fu, K_uf y, y'y and n; the sums are added matrix row by matrix row in Spark, and only M x M numbers
-(M inducing points, a parameter) reach the driver. With all training points as inducing points, mean and deviation are
-those of the exact process.
+Under a frame (scale of the features, inducing points, length scales) everything that a fit needs of the rows are sums:
+for each length scale K_uf K_fu and K_uf y, and y'y and n. Equal points are put together first; each task then works out
+the distances of its points once for all length scales and adds up its part; the parts are added in Spark by length scale
+and matrix row, and only these sums, M x M numbers for each length scale (M inducing points, a parameter), reach the
+driver. Sums of new rows can be added to those of earlier ones (`added`), so that a model grows without a look at old rows.
+
+Amplitude and length scale are those of the greatest marginal likelihood over all rows, on the frame's grid of lengths and,
+in `fit`, on a finer one around the best. With all training points as inducing points, mean and deviation are those of the
+exact process.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from safespan.scenario import Scenario
 from safespan.session import materialize
 
 #: Ranges of the hyperparameters: 0.01 to 100 and 0.001 to 1000.
 LENGTHS = (0.01, 0.03, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.5, 5.0, 10.0, 30.0, 100.0)
-AMPLITUDES = (0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0, 1000.0)
+AMPLITUDES = (0.001, 1000.0)
 NOISE = 0.01
 INDUCING = 512
-SAMPLE = 400
+#: Directions of the inducing points' kernel below this share of the greatest are left out: rounding hides what rows say there.
+TINY = 1e-7
+SUMS = "length int, part long, sums array<double>"
 
 
 def scaler_fit(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -41,6 +48,17 @@ def standardize(df: DataFrame, fit: DataFrame, features: tuple[str, ...]) -> Dat
     return out.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in features}).drop(*fit.columns)
 
 
+@dataclass(frozen=True)
+class Frame:
+    """What sums are relative to: they can be added under one frame only."""
+
+    features: tuple[str, ...]
+    mean: np.ndarray
+    std: np.ndarray
+    inducing: np.ndarray
+    lengths: tuple[float, ...] = LENGTHS
+
+
 @dataclass
 class Model:
     features: tuple[str, ...]
@@ -54,93 +72,168 @@ class Model:
     evidence: float
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
 def kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-    return np.exp(-0.5 * np.maximum(d, 0) / length**2)
+    return np.exp(-0.5 * squares(a, b) / length**2)
 
 
-def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS, sample: int = SAMPLE) -> Model | None:
-    """None without rows. Inducing points are the rows of the least feature hashes, at most `inducing` of them."""
-    rows = materialize(df.select(*features, F.col(target).cast("double").alias("_target")), "training")
-    row = scaler_fit(rows, features).first()
-    if row[f"{features[0]}_mean"] is None:
-        return None
-    mean, std = (np.array([row[f"{c}_{k}"] for c in features]) for k in ("mean", "std"))
-    points = rows.select(*features).distinct().orderBy(F.xxhash64(*features), *features).limit(inducing).collect()
-    few = rows.orderBy(F.xxhash64(*features, "_target"), *features).limit(sample).collect()
-    z, x = ((np.array([[p[c] for c in features] for p in part], float) - mean) / std for part in (points, few))
-    amplitude, length = _hyperparameters(x, np.array([r["_target"] for r in few]), lengths)
+def design_frame(scenario: Scenario = Scenario(), inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS) -> Frame:
+    """A frame that depends on no rows, for models that grow: the scale of the parameter ranges, and the first points of a
+    low-discrepancy sequence over them (fractions of multiples of the powers of a root of x**(d + 1) = x + 1)."""
+    low, high = (np.array(x, float) for x in zip(*scenario.ranges.values(), strict=True))
+    root, d = 1.5, len(low)
+    for _ in range(60):
+        root = (1 + root) ** (1 / (d + 1))
+    unit = (0.5 + np.arange(1, inducing + 1)[:, None] * root ** -np.arange(1.0, d + 1)) % 1
+    mean, std = (low + high) / 2, (high - low) / np.sqrt(12)
+    return Frame(tuple(scenario.ranges), mean, std, (low + unit * (high - low) - mean) / std, lengths)
+
+
+def points(df: DataFrame, features: tuple[str, ...], target: str) -> DataFrame:
+    """The different points with their numbers of rows, sums of the target and of its square."""
+    y = F.col(target).cast("double")
+    return df.groupBy(*features).agg(F.count("*").alias("_n"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy"))
+
+
+def sums(counted: DataFrame, frame: Frame) -> DataFrame:
+    """The sums over `points` under a frame, as a row for each length scale and matrix row; y'y and n are in row M."""
+    features, m = frame.features, len(frame.inducing)
+    shared = counted.sparkSession.sparkContext.broadcast(frame)  # M points
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(z)
-        sums = np.zeros((m + 1, max(m + 1, 2)))
+        f = shared.value
+        total = np.zeros((len(f.lengths), m + 1, max(m + 1, 2)))
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in features]).astype(float)
-            y = batch.column("_target").to_numpy(zero_copy_only=False)
-            for lo in range(0, len(x), 4096):
-                t = y[lo : lo + 4096]
-                k = kernel(z, (x[lo : lo + 4096] - mean) / std, length)
-                sums[:m, :m] += k @ k.T
-                sums[:m, m] += k @ t
-                sums[m, :2] += (t @ t, len(t))
-        yield _sums(range(m + 1), sums)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+            x = (np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in features]).astype(float) - f.mean) / f.std
+            n, y, yy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_n", "_y", "_yy"))
+            for lo in range(0, len(x), 2048):
+                part = slice(lo, lo + 2048)
+                d = -0.5 * squares(f.inducing, x[part])
+                for i, length in enumerate(f.lengths):
+                    k = np.exp(d / length**2)
+                    total[i, :m, :m] += (k * n[part]) @ k.T
+                    total[i, :m, m] += k @ y[part]
+            total[:, m, :2] += (yy.sum(), n.sum())
+        for i in range(len(f.lengths)):
+            yield _rows(((i, part), total[i, part]) for part in range(m + 1))
+
+    context = counted.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _add(counted.repartition(tasks).mapInArrow(make, SUMS))  # stored points are few bytes, but much work
+
+
+def added(*parts: DataFrame) -> DataFrame:
+    """The sums of several sets of rows under one frame."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _add(out)
+
+
+def _add(parts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, values in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+            keys = zip(batch.column("length").to_pylist(), batch.column("part").to_pylist(), strict=True)
+            for key, values in zip(keys, batch.column("sums"), strict=True):
                 v = np.asarray(values.values)
-                total[part] = total[part] + v if part in total else v
-        yield _sums(total, list(total.values()))
-
-    # a task holds the sums of some matrix rows only, whatever the number of partitions they come from
-    partial = rows.mapInArrow(make, "part long, sums array<double>").repartition(32, "part").mapInArrow(add, "part long, sums array<double>")
-    got = partial.toArrow()  # M + 1 rows
-    m = len(z)
-    a = np.zeros((m + 1, max(m + 1, 2)))
-    a[got.column("part").to_numpy()] = np.array(got.column("sums").to_pylist())
-    kuu = kernel(z, z, length) + 1e-9 * np.eye(m)
-    evidence, weights, spread = _solve(amplitude, kuu, a[:m, :m], a[:m, m], a[m, 0], a[m, 1])
-    return Model(features, mean, std, z, amplitude, length, weights, spread, evidence)
-
-
-def _sums(parts, values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tolist() for v in values], pa.list_(pa.float64()))], ["part", "sums"])
-
-
-def _hyperparameters(x: np.ndarray, y: np.ndarray, lengths: tuple[float, ...]) -> tuple[float, float]:
-    """Amplitude and length of the greatest marginal likelihood of the exact process over the rows."""
-    best = (-np.inf, 1.0, 1.0)
-
-    def look(length: float, amplitudes: np.ndarray) -> None:
-        nonlocal best
-        values, vectors = np.linalg.eigh(kernel(x, x, length))
-        values, part = np.maximum(values, 0), (vectors.T @ y) ** 2
-        for c in amplitudes:
-            full = c * values + NOISE
-            found = -0.5 * float((part / full).sum() + np.log(full).sum())
-            if found > best[0]:
-                best = (found, float(c), float(length))
-
-    for s in lengths:
-        look(s, np.array(AMPLITUDES))
-    finest = len(lengths) == len(LENGTHS)
-    for step in (2.0, 1.4, 1.15) if finest else (2.0, 1.4):
-        _, c, s = best
-        for near in (s / step, s, s * step) if finest else (s,):
-            look(float(np.clip(near, LENGTHS[0], LENGTHS[-1])), np.clip(c * step ** np.array([-1.0, -0.5, 0, 0.5, 1.0]), AMPLITUDES[0], AMPLITUDES[-1]))
-    return best[1], best[2]
-
-
-def _solve(c: float, kuu: np.ndarray, g: np.ndarray, b: np.ndarray, yy: float, n: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log marginal likelihood, weights of the mean, and the matrix of the variance reduction."""
-    a = kuu * c + g * (c * c / NOISE)
-    l = np.linalg.cholesky(a + 1e-10 * np.trace(a) / len(a) * np.eye(len(a)))
-    lu = np.linalg.cholesky(kuu * c)
-    half = np.linalg.solve(l, b * c)
-    fit_ = yy / NOISE - (half @ half) / NOISE**2
-    logdet = 2 * np.log(np.diag(l)).sum() - 2 * np.log(np.diag(lu)).sum() + n * np.log(NOISE)
-    return -0.5 * (fit_ + logdet + n * np.log(2 * np.pi)), np.linalg.solve(a, b * c) / NOISE, np.linalg.inv(kuu * c) - np.linalg.inv(a)
+                total[key] = total[key] + v if key in total else v.copy()
+        yield _rows(total.items())
+
+    # a task holds the sums of some matrix rows only, whatever the number of parts they come from
+    return parts.repartition(32, "length", "part").mapInArrow(run, SUMS)
+
+
+def _rows(items) -> pa.RecordBatch:
+    keys, values = [], []
+    for k, v in items:
+        keys.append(k)
+        values.append(v)
+    width = len(values[0]) if values else 0
+    flat = pa.array(np.concatenate(values)) if values else pa.array([], pa.float64())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), flat)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), lists], ["length", "part", "sums"])
+
+
+def solve(found: DataFrame, frame: Frame) -> Model | None:
+    """The model of the greatest likelihood; None without rows. Tasks work out a length scale each, from the M + 1 rows of
+    its sums; the best one's matrices reach the driver."""
+    shared = found.sparkSession.sparkContext.broadcast(frame)
+
+    def one(table: pa.Table) -> pa.Table:
+        f = shared.value
+        m = len(f.inducing)
+        a = np.zeros((m + 1, max(m + 1, 2)))
+        flat = table.column("sums").combine_chunks()
+        a[table.column("part").to_numpy()] = np.asarray(flat.flatten()).reshape(len(flat), -1)
+        length = f.lengths[table.column("length")[0].as_py()]
+        own, axes = np.linalg.eigh(kernel(f.inducing, f.inducing, length))
+        kept = own > TINY * own[-1]
+        white = axes[:, kept] / np.sqrt(own[kept])
+        values, vectors = np.linalg.eigh(white.T @ a[:m, :m] @ white)
+        values, w = np.maximum(values, 0), vectors.T @ (white.T @ a[:m, m])
+        evidence, c = _amplitude(values, w, a[m, 0], a[m, 1])
+        back, shrunk = white @ vectors, 1 / (1 + c * values / NOISE)
+        weights, spread = back @ (shrunk * w) / NOISE, (back * (values / NOISE * shrunk)) @ back.T
+        columns = [[a[m, 1]], [evidence], [c], [length], [weights.tobytes()], [spread.tobytes()]]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.float64()] * 4 + [pa.binary()] * 2, strict=True)], ["n", "evidence", "amplitude", "length", "weights", "spread"])
+
+    models = found.groupBy("length").applyInArrow(one, "n double, evidence double, amplitude double, length double, weights binary, spread binary")
+    best = models.where("n > 0").orderBy(F.desc("evidence"), "length").limit(1).collect()
+    if not best:
+        return None
+    r, m = best[0], len(frame.inducing)
+    return Model(frame.features, frame.mean, frame.std, frame.inducing, r.amplitude, r.length, np.frombuffer(r.weights), np.frombuffer(r.spread).reshape(m, m), r.evidence)
+
+
+def _amplitude(values: np.ndarray, w: np.ndarray, yy: float, n: float) -> tuple[float, float]:
+    """The greatest log marginal likelihood over amplitudes, and the amplitude. In the eigenbasis of the whitened sums each
+    amplitude costs M operations."""
+
+    def evidence(c: np.ndarray) -> np.ndarray:
+        grown = 1 + c[:, None] * values / NOISE
+        fit_ = yy / NOISE - (c[:, None] * w * w / NOISE**2 / grown).sum(1)
+        return -0.5 * (fit_ + np.log(grown).sum(1) + n * np.log(2 * np.pi * NOISE))
+
+    low, high = np.log(AMPLITUDES[0]), np.log(AMPLITUDES[1])
+    for _ in range(5):
+        grid = np.linspace(low, high, 33)
+        found = evidence(np.exp(grid))
+        i = int(np.argmax(found))
+        low, high = grid[max(i - 1, 0)], grid[min(i + 1, 32)]
+    return float(found[i]), float(np.exp(grid[i]))
+
+
+def data_frame(counted: DataFrame, features: tuple[str, ...], inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS) -> Frame | None:
+    """The frame of rows put together by `points`: their mean and deviation, and the points of the least hashes, at most
+    `inducing` of them. None without rows."""
+    n = F.sum("_n")
+    first = [(F.sum(F.col(c) * F.col("_n")) / n).alias(f"{c}_mean") for c in features]
+    row = counted.agg(*first).first()
+    if row[f"{features[0]}_mean"] is None:
+        return None
+    mean = np.array([row[f"{c}_mean"] for c in features])
+    spread = counted.agg(*[F.sqrt(F.sum((F.col(c) - float(a)) ** 2 * F.col("_n")) / n).alias(c) for c, a in zip(features, mean, strict=True)]).first()
+    std = np.array([spread[c] or 1.0 for c in features])
+    chosen = counted.select(*features).orderBy(F.xxhash64(*features), *features).limit(inducing).collect()
+    return Frame(features, mean, std, (np.array([[p[c] for c in features] for p in chosen], float) - mean) / std, lengths)
+
+
+def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS) -> Model | None:
+    """The model of all rows, by the likelihood of all rows; None without rows. The best of the lengths is followed by a
+    second look at lengths around it."""
+    counted = materialize(points(df, features, target), "points")
+    frame = data_frame(counted, features, inducing, lengths)
+    if frame is None:
+        return None
+    first = solve(sums(counted, frame), frame)
+    finer = replace(frame, lengths=tuple(float(np.clip(first.length * s, LENGTHS[0], LENGTHS[-1])) for s in (0.7, 0.84, 1.19, 1.4)))
+    second = solve(sums(counted, finer), finer)
+    return second if second.evidence > first.evidence else first
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
