@@ -50,11 +50,15 @@ def class_guard(df: DataFrame, target: str) -> DataFrame:
     return stats.withColumn("trainable", (F.col("n_rows") >= 2) & (F.col("n_classes") >= 2))
 
 
-def training_set(df: DataFrame, target: str, scenario: Scenario = Scenario()) -> DataFrame:
-    """loop_num, features and target of the rows a model may learn from; none if they can't be trained on."""
+def trainable(df: DataFrame, target: str, scenario: Scenario = Scenario()) -> DataFrame:
+    """loop_num, features and target of the rows a model may learn from, however few."""
     clean = repair_train(drop_stuck(drop_errors(df)), scenario.ttc)
-    clean = keep_binary(drop_missing(clean, target, scenario.features), target).select("loop_num", *scenario.features, F.col(target).alias("y"))
-    clean = materialize(clean, "training")  # read twice below
+    return keep_binary(drop_missing(clean, target, scenario.features), target).select("loop_num", *scenario.features, F.col(target).alias("y"))
+
+
+def training_set(df: DataFrame, target: str, scenario: Scenario = Scenario()) -> DataFrame:
+    """The rows of `trainable`; none if they can't be trained on."""
+    clean = materialize(trainable(df, target, scenario), "training")  # read twice below
     guard = class_guard(clean, "y").where("trainable").select(F.lit(1).alias("ok"))
     return clean.join(F.broadcast(guard), F.lit(True)).drop("ok")
 

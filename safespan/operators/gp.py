@@ -70,6 +70,8 @@ class Model:
     weights: np.ndarray
     spread: np.ndarray
     evidence: float
+    #: How many of the outcomes 0 and 1 the rows have.
+    classes: int = 2
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,15 +181,15 @@ def solve(found: DataFrame, frame: Frame) -> Model | None:
         evidence, c = _amplitude(values, w, a[m, 0], a[m, 1])
         back, shrunk = white @ vectors, 1 / (1 + c * values / NOISE)
         weights, spread = back @ (shrunk * w) / NOISE, (back * (values / NOISE * shrunk)) @ back.T
-        columns = [[a[m, 1]], [evidence], [c], [length], [weights.tobytes()], [spread.tobytes()]]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.float64()] * 4 + [pa.binary()] * 2, strict=True)], ["n", "evidence", "amplitude", "length", "weights", "spread"])
+        columns = [[a[m, 1]], [a[m, 0]], [evidence], [c], [length], [weights.tobytes()], [spread.tobytes()]]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.float64()] * 5 + [pa.binary()] * 2, strict=True)], ["n", "ones", "evidence", "amplitude", "length", "weights", "spread"])
 
-    models = found.groupBy("length").applyInArrow(one, "n double, evidence double, amplitude double, length double, weights binary, spread binary")
+    models = found.groupBy("length").applyInArrow(one, "n double, ones double, evidence double, amplitude double, length double, weights binary, spread binary")
     best = models.where("n > 0").orderBy(F.desc("evidence"), "length").limit(1).collect()
     if not best:
         return None
     r, m = best[0], len(frame.inducing)
-    return Model(frame.features, frame.mean, frame.std, frame.inducing, r.amplitude, r.length, np.frombuffer(r.weights), np.frombuffer(r.spread).reshape(m, m), r.evidence)
+    return Model(frame.features, frame.mean, frame.std, frame.inducing, r.amplitude, r.length, np.frombuffer(r.weights), np.frombuffer(r.spread).reshape(m, m), r.evidence, 2 if 0 < r.ones < r.n else 1)
 
 
 def _amplitude(values: np.ndarray, w: np.ndarray, yy: float, n: float) -> tuple[float, float]:

@@ -57,3 +57,23 @@ def phase_timeline(decisions: DataFrame, scenario: Scenario = Scenario(), mode:
     early = (F.col("idx") < scenario.first_phase) | (F.col("violations") == 0)
     phase = F.when(F.col("done"), "STEP3").when(F.col("started"), "STEP2").when(early, "STEP1").otherwise("FALLBACK")
     return step.select("idx", phase.alias("phase"))
+
+
+def next_phases(decisions: DataFrame, start: int | None, seen: int, done: bool, scenario: Scenario = Scenario(), mode: str = "explore") -> DataFrame:
+    """One batch of decisions with the phases that phase_timeline gives them behind all earlier ones. Of those it is enough to
+    know: start, the index of the first decision past STEP1 (None before); seen, how many there were from it on; done,
+    whether STEP3 has begun. One row for each decision of the batch, so ordered windows."""
+    if mode == "margin":
+        return decisions.join(phase_timeline(decisions, scenario, mode), "idx")
+    if done:
+        return decisions.withColumn("phase", F.lit("STEP3"))
+    order = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    starts = (F.col("idx") >= scenario.first_phase) & (F.col("violations") > 0) & F.col("trained")
+    begun = F.lit(True) if start is not None else F.max(starts.cast("int")).over(order) == 1
+    step = decisions.withColumn("_begun", begun)
+    place = F.lit(seen) + F.sum(F.col("_begun").cast("int")).over(order)
+    step = step.withColumn("_ends", F.col("_begun") & (F.col("stable") | (place > scenario.second_phase)))
+    third = F.max(F.col("_ends").cast("int")).over(order) == 1
+    early = (F.col("idx") < scenario.first_phase) | (F.col("violations") == 0)
+    phase = F.when(third, "STEP3").when(F.col("_begun"), "STEP2").when(early, "STEP1").otherwise("FALLBACK")
+    return step.withColumn("phase", phase).drop("_begun", "_ends")

@@ -15,6 +15,7 @@ from safespan.scenario import Scenario
 from safespan.session import shared_dir
 from safespan.sources.tables import VIEWS
 from safespan.streaming import campaign
+from safespan.streaming.store import FirstOf, Upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,7 +48,11 @@ def stream_traces(s, d):
 
 @query("SELECT DISTINCT loop_num FROM (SELECT user_id AS loop_num FROM events)")
 def stream_dedup(s, d):
-    return campaign.drain(campaign.dedup(stream(s, d, "frames"), "ts", "3650 days").select("loop_num"))
+    """Repeats within an hour are dropped by the stream's state, all others by the stored keys."""
+    base = f"{shared_dir(s).rstrip('/')}/dedup-{uuid.uuid4().hex}"
+    first = FirstOf(f"{base}/first")
+    campaign.drain_into(campaign.dedup(stream(s, d, "frames").select("loop_num", "ts"), "ts", "1 hour"), first, base)
+    return first.read(s).select("loop_num")
 
 
 _MERGED = "SELECT p.loop_num, 'merged' AS status, p.dx0, p.ego_speed, p.npc_speed, r.c_collision, r.c_ttc_0_5, r.ts FROM last_params p JOIN results r USING (loop_num)"
@@ -75,15 +80,23 @@ def stream_timeout(s, d):
     return out.where("status = 'timeout'").select("loop_num", "status", "c_collision", "c_ttc_0_5")
 
 
+def _upserted(s, frame, key):
+    """Update mode: a batch changes the rows of its keys only."""
+    base = f"{shared_dir(s).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    sink = Upsert(f"{base}/table", key)
+    campaign.drain_into(frame, sink, base, "update")
+    return sink.read(s)
+
+
 @query("SELECT outcome, count(*) AS n_runs FROM live GROUP BY outcome")
 def stream_totals(s, d):
     runs = stream(s, d, "runs").withColumn("outcome", outcome_live(LABELS))
-    return campaign.drain(campaign.outcome_totals(runs), "complete")
+    return _upserted(s, campaign.outcome_totals(runs), "outcome")
 
 
 @query("SELECT worker_id, status FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY ts DESC, event_id DESC) AS n FROM worker_status) WHERE n = 1")
 def stream_status(s, d):
-    return campaign.drain(campaign.latest_status(stream(s, d, "worker_status")), "complete")
+    return _upserted(s, campaign.latest_status(stream(s, d, "worker_status")), "worker_id")
 
 
 def stream_loop(s, d):

@@ -206,5 +206,5 @@ def test_expiry_within_the_join(spark, tmp_path):
     r = spark.createDataFrame([(1, 1500), (2, 1600), (3, 1601), (4, 1700), (9, 5000)], "loop_num long, at long")
     r.select("loop_num", F.timestamp_seconds("at").alias("ts"), F.lit(0).alias("c_collision"), F.lit(1).alias("c_ttc_0_5")).coalesce(1).write.parquet(f"{tmp_path}/r")
     streams = [campaign.watch(spark, f"{tmp_path}/{x}", spark.read.parquet(f"{tmp_path}/{x}").schema) for x in "pr"]
-    got = sorted((x.loop_num, x.status) for x in campaign.drain(campaign.merge_stream(*streams, seconds=600, buckets=3)).collect())
+    got = sorted((x.loop_num, x.status) for x in campaign.drain(campaign.merge_stream(*streams, seconds=600)).collect())
     assert got == [(1, "merged"), (2, "merged"), (3, "expired"), (3, "orphan"), (4, "merged"), (9, "orphan")]

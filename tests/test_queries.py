@@ -53,14 +53,13 @@ def test_loop_goes_on_from_batch_to_batch(spark, tmp_path):
     loop = Loop(f"file://{tmp_path}/loop", batch_size=4, candidates=50, references=20, scenario=Scenario(max_samples=10_000, first_phase=500))
     loop(runs.where("loop_num < 60"), 0)
     loop(runs.where("loop_num >= 60"), 1)
-    rows = spark.read.parquet(f"{tmp_path}/loop/decisions").orderBy("batch", "idx").collect()
+    rows = loop.store.read(spark, "decisions").orderBy("batch", "idx").collect()
     first, second = rows[:4], rows[4:]
     assert len(rows) == 8 and [r.idx for r in first] == list(range(first[0].idx, first[0].idx + 4)) and first[0].idx < 60
     assert second[0].idx > 1500 and second[0].n_runs == runs.count() and second[0].target == "c_collision"
     assert all(r.reason.startswith("STEP1: Global Search") for r in first) and all(r.reason.startswith("STEP2") for r in second)
     assert all(low <= r[c] <= high for r in rows for c, (low, high) in Scenario().ranges.items())
-    states = spark.read.parquet(f"{tmp_path}/loop/states").groupBy("iter").count().collect()
-    assert (1, 20) in [(r["iter"], r["count"]) for r in states]
+    assert loop.store.batch(spark, "states", 1).count() == 20
 
 
 def test_entry_imports():
