@@ -29,7 +29,9 @@ def read_dataset(spark: SparkSession, path: str, scenario: Scenario = Scenario()
     schema = dataset_schema(scenario)
     try:
         return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -106,7 +108,7 @@ def read_snapshot(spark: SparkSession, path: str, stamp: str) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """path, content and modified of each file of a folder."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified"))
 
 

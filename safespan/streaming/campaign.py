@@ -32,12 +32,12 @@ def watch_traces(spark: SparkSession, path: str, files_per_trigger: int | None =
     """Evaluation traces that appear in a folder of whole files, with loop_num and state. Writers rename finished files
     into the folder, so half-written ones aren't seen. The stream's checkpoint knows the files it has had; those are moved
     to the folder `archive`, if given, which must not lie within the path."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json")
+    reader = spark.readStream.option("pathGlobFilter", "*.json")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    text = reader.text(path)
+    text = reader.text(path, wholetext=True)  # the argument overrides an option
     files = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified"))
     return scan_traces(files).withColumn("state", content_state(F.col("content")))
 
@@ -131,7 +131,8 @@ def merge_stream(params: DataFrame, results: DataFrame, seconds: int = 600, dela
 
 def merge_once(params: DataFrame, results: DataFrame, seconds: int = 600, delay: str = "0 seconds", status: str = "expired", labels: int | None = None) -> DataFrame:
     """As merge_stream, for runs whose parameters are sent once and that have one result at most: an outer join of the
-    streams by a time bound, without results that have no parameters."""
+    streams by a time bound, without results that have no parameters. Parameters leave as `status` once both streams are
+    beyond their time."""
     p = params.withWatermark("ts", delay).select("loop_num", "ts", "dx0", "ego_speed", "npc_speed")
     r = results.withWatermark("ts", delay).select(F.col("loop_num").alias("_run"), F.col("ts").alias("_ts"), "c_collision", "c_ttc_0_5")
     end = F.col("ts") + F.expr(f"interval {seconds} seconds")
