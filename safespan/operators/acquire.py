@@ -48,28 +48,13 @@ def pick_safe_cleanup(scored: DataFrame) -> DataFrame:
 
 
 def next_batch(scored: DataFrame, phase: str, first_idx: int, scenario: Scenario = Scenario(), dice: Column | None = None) -> DataFrame:
-    """A decision for each draw, in order of draw_id from first_idx on. STEP2: the most uncertain candidate at a chance of
-    30 %, else the one nearest the boundary. STEP3: safe cleanup, or stop when its uncertainty is small. Stop, too, once the
-    index reaches the limit."""
-    dice = hash_unit(F.col("draw_id"), 11) if dice is None else dice
-    safe = F.col("mean") <= 0.5
-    picks = scored.groupBy("draw_id").agg(
-        _best(F.col("std")).alias("u"), _best(-F.abs(F.col("mean") - 0.5)).alias("b"), _best(F.col("std"), safe).alias("s"),
-        F.max(F.when(safe, F.col("std"))).alias("safe_std"),
-    )
+    """A decision of one phase for each draw, in order of draw_id from first_idx on, as `decide` makes it with a model and
+    violations at hand. dice: a function of draw_id."""
     idx = F.lit(first_idx) + F.col("draw_id")
-    if phase == "STEP3":
-        stop = F.when(F.col("safe_std") < scenario.uncertainty, "Safe Area Verification Complete")
-        pick = F.coalesce("s", "u")
-        reason = F.when(F.col("s").isNull(), "STEP3: Backup Search").otherwise("STEP3: Safe Area Cleanup")
-    else:
-        stop, explore = F.lit(None).cast("string"), dice < 0.3
-        pick = F.when(explore, F.col("u")).otherwise(F.col("b"))
-        reason = F.when(explore, "STEP2: Exploration (Max std)").otherwise("STEP2: Boundary 0.5")
-    stop = F.coalesce(stop, F.when(idx >= scenario.max_samples, "Max Samples Reached"))
-    out = picks.select("draw_id", idx.alias("idx"), pick.alias("p"), stop.alias("stop"), reason.alias("why"))
-    values = [F.when(F.col("stop").isNull(), F.col(f"p.{c}")).alias(c) for c in ("dx0", "ego_speed", "npc_speed")]
-    return out.select("draw_id", "idx", *values, F.coalesce("stop", "why").alias("reason"), F.when(F.col("stop").isNotNull(), "stop").alias("system_command"))
+    dice = hash_unit(F.col("draw_id"), 11) if dice is None else dice
+    known = {"idx": idx.cast("long"), "violations": F.lit(1), "trained": F.lit(True), "phase": F.lit(phase)}
+    out = decide(scored.select("draw_id").distinct().withColumns(known), scored, scenario=scenario, dice=dice)
+    return out.select((F.col("idx") - first_idx).cast(scored.schema["draw_id"].dataType).alias("draw_id"), *out.columns)
 
 
 def refill_batch(scored: DataFrame, outstanding: int, target: int = 15) -> DataFrame:
@@ -87,7 +72,8 @@ def decide(decisions: DataFrame, scored: DataFrame, mode: str = "explore", point
 
     In focus mode the first decisions repeat the focus points and STEP1 searches their neighbourhood (a random candidate of
     the draw); else STEP1 takes the design's point. Without violations, a model or candidates the design's point stands in.
-    STEP2 explores or follows the boundary, STEP3 cleans up the safe area or stops; both stop at the last index. scored
+    STEP2 explores or follows the boundary, STEP3 cleans up the safe area or stops; both stop at the last index. Reasons of
+    STEP3 have the greatest deviation in the safe area, or the mean at the backup point. scored
     (draw_id, candidates, mean, std) are the candidates of each draw. dice (below 0.3: explore) and luck (the candidate of
     the least is the random one) are drawn from ids unless given."""
     dice = hash_unit(F.col("idx"), 11) if dice is None else dice
@@ -121,9 +107,9 @@ def decide(decisions: DataFrame, scored: DataFrame, mode: str = "explore", point
         (first, F.coalesce(neighbour, design_point), F.concat(F.lit("STEP1: Focus Neighborhood Search " if focus else "STEP1: Global Search "), found)),
         (no_violation, design_point, F.lit("STEP3 Fallback: Global Search (No Violations)")),
         (no_model, design_point, F.lit("Fallback (Error)")),
-        (third & F.col("s").isNotNull(), point("s"), F.lit(f"{mark}STEP3: Safe Area Cleanup")),
-        (third, point("u"), F.lit(f"{mark}STEP3: Backup Search")),
-        (explore, point("u"), F.lit(f"{mark}STEP2: Exploration (Max std)")),
+        (third & F.col("s").isNotNull(), point("s"), F.format_string(f"{mark}STEP3: Safe Area Cleanup (σ=%.4f)", "safe_std")),
+        (third, point("u"), F.format_string(f"{mark}STEP3: Backup Search (M:%.2f)", F.col("u.mean"))),
+        (explore, point("u"), F.lit(f"{mark}STEP2: Exploration (Max σ)")),
         (F.lit(True), point("b"), F.lit(f"{mark}STEP2: Boundary 0.5")),
     )
     pick, reason = (F.coalesce(*[F.when(c[0], c[i]) for c in cases]) for i in (1, 2))

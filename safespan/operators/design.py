@@ -30,11 +30,14 @@ def directions(dimensions: int = 3) -> list[list[int]]:
 
 def sobol_unit(index: Column, numbers: list[int], shift: int, bits: int = BITS) -> Column:
     """The index-th number in [0, 1) for indices below 2**bits: direction numbers of the set bits of the index's Gray code,
-    XORed together and with a digital shift."""
+    XORed together and with a digital shift. The numbers of each byte of the code are looked up together."""
     gray = index.bitwiseXOR(F.shiftright(index, 1))
     out = F.lit(shift).cast("bigint")
-    for i in range(bits):
-        out = out.bitwiseXOR(F.when(F.shiftright(gray, i).bitwiseAND(1) == 1, F.lit(numbers[i]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    for low in range(0, bits, 8):
+        table = [0]
+        for v in numbers[low : min(low + 8, bits)]:
+            table += [x ^ v for x in table]
+        out = out.bitwiseXOR(F.get(F.expr(f"array({', '.join(f'{x}L' for x in table)})"), F.shiftright(gray, low).bitwiseAND(len(table) - 1).cast("int")))
     return out / float(1 << BITS)
 
 
@@ -98,5 +101,19 @@ def focus_plan(points: DataFrame, repeats: int = 20, scenario: Scenario = Scenar
     return rows.withColumns(middle | {"idx": F.col("point") * repeats + F.col("repeat") - 1, "reason": reason}).drop("n")
 
 
+def parse_points(spark: SparkSession, text: str, scenario: Scenario = Scenario()) -> tuple[tuple[float | None, ...], ...]:
+    """Focus points from JSON, a list of objects with a number for each parameter; a parameter that is missing or null is
+    None, for the middle of its range. Anything else is an error."""
+    kind = "array<struct<" + ", ".join(f"{c}: double" for c in scenario.ranges) + ">>"
+    row = spark.range(1).select(F.from_json(F.lit(text), kind, {"mode": "FAILFAST"}).alias("points"))
+    try:
+        found = row.first().points
+    except Exception as e:
+        raise ValueError(f"focus points are not a JSON list of objects: {text[:100]}") from e
+    if not found or any(p is None for p in found):
+        raise ValueError("focus points are an empty list or have empty entries")
+    return tuple(tuple(p) for p in found)
+
+
 def ids(spark: SparkSession, n: int, name: str) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", name)

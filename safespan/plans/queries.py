@@ -73,11 +73,23 @@ def snapshot_read(s, d):
 @query("SELECT CASE WHEN loop_num % 2 = 0 THEN '20240101_000000' ELSE '20240102_000000' END AS snapshot, count(*) AS n_runs FROM runs GROUP BY 1")
 def snapshot_write(s, d):
     path, runs = _folder(s, "snapshots"), load(s, d, "runs")
-    for i, stamp in enumerate(("20240101_000000", "20240102_000000")):
-        files.write_snapshot(runs.where(f"loop_num % 2 = {i}"), path, stamp)
+    for i, stamp in enumerate(("20240101_000000", "20240102_000000", "20240101_000000")):  # the first one is written again
+        files.write_snapshot(runs.where(f"loop_num % 2 = {i % 2}"), path, stamp)
     return s.read.parquet(path).groupBy(F.col("snapshot").cast("string").alias("snapshot")).agg(F.count("*").alias("n_runs"))
 
 
+@query("SELECT '20240101_000000' AS snapshot, count(*) AS n_runs FROM runs WHERE loop_num % 2 = 0 UNION ALL SELECT 'live', count(*) FROM runs WHERE loop_num % 2 = 1")
+def dataset_archive(s, d):
+    """Half of the runs are archived, the archive is repeated, and the live table starts anew with the others."""
+    table, runs = files.LiveTable(_folder(s, "live")), load(s, d, "runs")
+    table.append(runs.where("loop_num % 2 = 0"))
+    for _ in range(2):
+        table.archive(s, "20240101_000000")
+    table.append(runs.where("loop_num % 2 = 1"))
+    old = table.snapshot(s, "20240101_000000").withColumn("snapshot", F.lit("20240101_000000"))
+    return old.unionByName(table.read(s).withColumn("snapshot", F.lit("live"))).groupBy("snapshot").agg(F.count("*").alias("n_runs"))
+
+
 @query("SELECT path, loop_num FROM scanned")
 def trace_file_scan(s, d):
     return ingest.scan_traces(load(s, d, "traces")).select("path", "loop_num")
@@ -644,7 +656,7 @@ def refill_batch(s, d):
 _NEXT = """SELECT u.draw_id, 2990 + u.draw_id AS idx, CASE WHEN 2990 + u.draw_id < 3000 THEN CASE WHEN u.draw_id % 3 = 0 THEN u.dx0 ELSE b.dx0 END END AS dx0,
  CASE WHEN 2990 + u.draw_id < 3000 THEN CASE WHEN u.draw_id % 3 = 0 THEN u.ego_speed ELSE b.ego_speed END END AS ego_speed,
  CASE WHEN 2990 + u.draw_id < 3000 THEN CASE WHEN u.draw_id % 3 = 0 THEN u.npc_speed ELSE b.npc_speed END END AS npc_speed,
- CASE WHEN 2990 + u.draw_id >= 3000 THEN 'Max Samples Reached' WHEN u.draw_id % 3 = 0 THEN 'STEP2: Exploration (Max std)' ELSE 'STEP2: Boundary 0.5' END AS reason,
+ CASE WHEN 2990 + u.draw_id >= 3000 THEN 'Max Samples Reached' WHEN u.draw_id % 3 = 0 THEN 'STEP2: Exploration (Max σ)' ELSE 'STEP2: Boundary 0.5' END AS reason,
  CASE WHEN 2990 + u.draw_id >= 3000 THEN 'stop' END AS system_command"""
 
 
@@ -674,10 +686,10 @@ def _decided(mode: str) -> str:
     step1 = "Focus Neighborhood Search" if mode == "focus" else "Global Search"
     reason = f"""CASE kind WHEN 'exact' THEN '[FOCUS] Exact Point ' || (idx // 20 + 1) || '/6 (Repeat ' || (idx % 20 + 1) || '/20)' WHEN 'first' THEN 'STEP1: {step1} (V:' || violations || ')'
       WHEN 'calm' THEN 'STEP3 Fallback: Global Search (No Violations)' WHEN 'error' THEN 'Fallback (Error)' WHEN 'done' THEN 'Safe Area Verification Complete' WHEN 'most' THEN 'Max Samples Reached'
-      WHEN 'safe' THEN '{mark}STEP3: Safe Area Cleanup' WHEN 'backup' THEN '{mark}STEP3: Backup Search' WHEN 'explore' THEN '{mark}STEP2: Exploration (Max std)' ELSE '{mark}STEP2: Boundary 0.5' END"""
+      WHEN 'safe' THEN '{mark}STEP3: Safe Area Cleanup ' || printf('(σ=%.4f)', safe_std) WHEN 'backup' THEN '{mark}STEP3: Backup Search ' || printf('(M:%.2f)', u_mean) WHEN 'explore' THEN '{mark}STEP2: Exploration (Max σ)' ELSE '{mark}STEP2: Boundary 0.5' END"""
     picks = []
     for k, order, where in (("u", "std DESC, cand_id", "true"), ("b", "abs(mean - 0.5e0), cand_id", "true"), ("s", "std DESC, cand_id", "mean <= 0.5e0"), ("r", "cand_id % 1009, cand_id", "true")):
-        picks.append(f"LEFT JOIN (SELECT draw_id, cand_id AS {k}_id, " + ", ".join(f"{c} AS {k}_{c}" for c in S.features) + f" FROM scored WHERE {where} QUALIFY row_number() OVER (PARTITION BY draw_id ORDER BY {order}) = 1) {k} USING (draw_id)")
+        picks.append(f"LEFT JOIN (SELECT draw_id, cand_id AS {k}_id, mean AS {k}_mean, " + ", ".join(f"{c} AS {k}_{c}" for c in S.features) + f" FROM scored WHERE {where} QUALIFY row_number() OVER (PARTITION BY draw_id ORDER BY {order}) = 1) {k} USING (draw_id)")
     tables = f"(SELECT *, idx % 15 AS draw_id FROM ({_DECISIONS.format(orders='orders')})) d JOIN ({phases}) p USING (idx) {' '.join(picks)} LEFT JOIN (SELECT draw_id, max(std) FILTER (WHERE mean <= 0.5e0) AS safe_std FROM scored GROUP BY draw_id) m USING (draw_id)"
     return f"SELECT idx, {', '.join(values)}, {reason} AS reason, CASE WHEN kind IN ('done', 'most') THEN 'stop' END AS system_command FROM (SELECT *, {kind} AS kind FROM {tables})"
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,27 @@ class Scenario:
         return tuple(sorted((c for c in self.labels if c.startswith("c_ttc_")), key=threshold))
 
 
+SCENARIOS: dict[str, Scenario] = {"uturn": Scenario()}
+
+
+def scenario(name: str, spark: SparkSession | None = None, folder: str | None = None) -> Scenario:
+    """The scenario of a name: of SCENARIOS, or of the file <folder>/<name>.json, whose settings stand in for the defaults.
+    Unknown names and settings are errors."""
+    if folder is None:
+        if name not in SCENARIOS:
+            raise ValueError(f"no scenario {name}; there are {sorted(SCENARIOS)}")
+        return SCENARIOS[name]
+    given = json.loads(spark.read.text(f"{folder}/{name}.json", wholetext=True).first()[0])
+    unknown = sorted(set(given) - {f.name for f in fields(Scenario)})
+    if unknown:
+        raise ValueError(f"scenario {name} has unknown settings: {unknown}")
+    listed = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
+    if "ranges" in listed:
+        listed["ranges"] = {c: tuple(r) for c, r in listed["ranges"].items()}
+        listed.setdefault("features", tuple(listed["ranges"]))
+    return Scenario(**listed)
+
+
 def threshold(label: str) -> float:
     """The threshold in a label's name: c_ttc_0_3 is 0.3."""
     return float(".".join(label.rsplit("_", 2)[-2:]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,7 +100,9 @@ def error_detail(verdicts: DataFrame, logs: DataFrame, at: Column | None = None,
 
 
 def write_snapshot(df: DataFrame, path: str, stamp: str) -> None:
-    df.withColumn("snapshot", F.lit(stamp)).write.mode("append").partitionBy("snapshot").parquet(path)
+    """A snapshot in place of what was written under its stamp before; the others stay."""
+    out = df.withColumn("snapshot", F.lit(stamp)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("snapshot").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, stamp: str) -> DataFrame:
@@ -106,6 +110,48 @@ def read_snapshot(spark: SparkSession, path: str, stamp: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("snapshot") == stamp).drop("snapshot")
 
 
+@dataclass(frozen=True)
+class LiveTable:
+    """A table that can be archived under a stamp and then starts empty. Rows are appended to the current generation, which
+    the last line of a small table names; archiving writes the generation's rows as a snapshot and then that line. So one
+    that was stopped can be repeated, and one that was done changes nothing when it is. One writer at a time."""
+
+    path: str
+
+    def _lines(self, spark: SparkSession) -> list:
+        try:
+            return spark.read.schema("generation long, stamp string").parquet(f"{self.path}/generations").orderBy("generation").collect()  # one for each archive
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def _current(self, spark: SparkSession) -> str:
+        return f"{self.path}/runs/generation={len(self._lines(spark))}"
+
+    def append(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self._current(df.sparkSession))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The rows since the last archive; without any, an empty table of the columns there were."""
+        try:
+            return spark.read.parquet(self._current(spark))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], spark.read.parquet(f"{self.path}/runs").drop("generation").schema)
+
+    def archive(self, spark: SparkSession, stamp: str) -> None:
+        lines = self._lines(spark)
+        if any(x.stamp == stamp for x in lines):
+            return
+        write_snapshot(self.read(spark), f"{self.path}/snapshots", stamp)
+        spark.createDataFrame([(len(lines), stamp)], "generation long, stamp string").coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
+
+    def snapshot(self, spark: SparkSession, stamp: str) -> DataFrame:
+        return read_snapshot(spark, f"{self.path}/snapshots", stamp)
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """path, content and modified of each file of a folder."""
     files = spark.read.text(path, wholetext=True)
