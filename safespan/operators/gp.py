@@ -210,26 +210,74 @@ def _amplitude(values: np.ndarray, w: np.ndarray, yy: float, n: float) -> tuple[
     return float(found[i]), float(np.exp(grid[i]))
 
 
-def data_frame(counted: DataFrame, features: tuple[str, ...], inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS) -> Frame | None:
-    """The frame of rows put together by `points`: their mean and deviation, and the points of the least hashes, at most
-    `inducing` of them. None without rows."""
+def data_frame(counted: DataFrame, features: tuple[str, ...], inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS, spread: bool = False) -> Frame | None:
+    """The frame of rows put together by `points`: their mean and deviation, and at most `inducing` of their points, those
+    of the least hashes or, with `spread`, the centres of as many groups of near points. None without rows."""
     n = F.sum("_n")
     first = [(F.sum(F.col(c) * F.col("_n")) / n).alias(f"{c}_mean") for c in features]
     row = counted.agg(*first).first()
     if row[f"{features[0]}_mean"] is None:
         return None
     mean = np.array([row[f"{c}_mean"] for c in features])
-    spread = counted.agg(*[F.sqrt(F.sum((F.col(c) - float(a)) ** 2 * F.col("_n")) / n).alias(c) for c, a in zip(features, mean, strict=True)]).first()
-    std = np.array([spread[c] or 1.0 for c in features])
-    chosen = counted.select(*features).orderBy(F.xxhash64(*features), *features).limit(inducing).collect()
-    return Frame(features, mean, std, (np.array([[p[c] for c in features] for p in chosen], float) - mean) / std, lengths)
-
-
-def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS) -> Model | None:
+    wide = counted.agg(*[F.sqrt(F.sum((F.col(c) - float(a)) ** 2 * F.col("_n")) / n).alias(c) for c, a in zip(features, mean, strict=True)]).first()
+    std = np.array([wide[c] or 1.0 for c in features])
+    chosen = counted.select(*features).orderBy(F.xxhash64(*features), *features).limit(max(1, inducing // 6) if spread else inducing).collect()
+    frame = Frame(features, mean, std, (np.array([[p[c] for c in features] for p in chosen], float) - mean) / std, lengths)
+    return _spread(counted, frame, inducing) if spread else frame
+
+
+def _spread(counted: DataFrame, frame: Frame, inducing: int, rounds: int = 5, moves: int = 4) -> Frame:
+    """More inducing points in rounds, each drawn by its rows and its squared distance from those there are (Bahmani and
+    others 2012; a draw is a race of exponential times from hashes), and then moved to the means of the rows nearest to
+    them. A round reads the points once; at most `inducing` rows reach the driver."""
+    features = frame.features
+
+    def near(z: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = (np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in features]).astype(float) - frame.mean) / frame.std
+        parts = [squares(x[lo : lo + 2048], z) for lo in range(0, len(x), 2048)]
+        return x, np.concatenate([d.argmin(1) for d in parts]), np.concatenate([d.min(1) for d in parts])
+
+    for r in range(1, rounds + 1):
+        z = frame.inducing
+        wanted = (inducing - len(z)) // (rounds + 1 - r)
+
+        def race(batches: Iterator[pa.RecordBatch], z: np.ndarray = z) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    _, _, d = near(z, batch)
+                    weight = d * batch.column("_n").to_numpy(zero_copy_only=False)
+                    time = -np.log(batch.column("_u").to_numpy(zero_copy_only=False)) / np.maximum(weight, 1e-300)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(pa.float64()) for c in features], pa.array(np.where(d > 1e-12, time, np.inf))], [*features, "time"])
+
+        unit = (F.pmod(F.xxhash64(*features, F.lit(r)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        raced = counted.select(*features, "_n", unit.alias("_u")).mapInArrow(race, ", ".join(f"`{c}` double" for c in features) + ", time double")
+        got = raced.where(F.col("time") < float("inf")).orderBy("time", *features).limit(wanted).collect()
+        new = (np.array([[p[c] for c in features] for p in got], float).reshape(-1, len(features)) - frame.mean) / frame.std
+        frame = replace(frame, inducing=np.vstack([z, new]))
+    for _ in range(moves):
+        z = frame.inducing
+
+        def gather(batches: Iterator[pa.RecordBatch], z: np.ndarray = z) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(z), len(features) + 1))
+            for batch in batches:
+                if batch.num_rows:
+                    x, who, _ = near(z, batch)
+                    n = batch.column("_n").to_numpy(zero_copy_only=False).astype(float)
+                    for j, v in enumerate([*(x * n[:, None]).T, n]):
+                        total[:, j] += np.bincount(who, v, len(z))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z))), *map(pa.array, total.T.copy())], ["_who", *features, "_n"])
+
+        sums_ = ", ".join(f"`{c}` double" for c in (*features, "_n"))
+        rows = counted.select(*features, "_n").mapInArrow(gather, f"_who long, {sums_}").groupBy("_who").agg(*[F.sum(c).alias(c) for c in (*features, "_n")]).where("_n > 0").orderBy("_who").collect()
+        frame = replace(frame, inducing=np.array([[r[c] / r["_n"] for c in features] for r in rows]))
+    return frame
+
+
+def fit(df: DataFrame, features: tuple[str, ...], target: str = "y", inducing: int = INDUCING, lengths: tuple[float, ...] = LENGTHS, spread: bool = False) -> Model | None:
     """The model of all rows, by the likelihood of all rows; None without rows. The best of the lengths is followed by a
-    second look at lengths around it."""
+    second look at lengths around it. spread: see data_frame."""
     counted = materialize(points(df, features, target), "points")
-    frame = data_frame(counted, features, inducing, lengths)
+    frame = data_frame(counted, features, inducing, lengths, spread)
     if frame is None:
         return None
     first = solve(sums(counted, frame), frame)

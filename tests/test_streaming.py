@@ -270,3 +270,24 @@ def test_trainable_rows(spark):
         df = df.withColumn(c, F.lit(0))
     assert [r.loop_num for r in clean.trainable(df, "c_collision").collect()] == [1]
     assert clean.training_set(df, "c_collision").count() == 0
+
+
+def test_spread_inducing_points_do_as_well_at_half_the_number(spark):
+    """On runs that crowd together, as those of a campaign that follows the boundary do."""
+    rng = np.random.default_rng(8)
+    crowd = rng.normal([12.0, 36.0, 15.0], 0.3, size=(4500, 3))
+    x = np.vstack([crowd, rng.uniform([10, 30, 10], [25, 40, 25], size=(1500, 3))])
+    y = (x[:, 0] < 13 + 2 * np.sin(x[:, 1]) + 0.2 * (x[:, 2] - 15)).astype(float)
+    rows = [(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "id long, dx0 double, ego_speed double, npc_speed double, y double").cache()
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0 and id >= 4500")
+
+    def error(inducing, spread):
+        m = gp.fit(train, S.features, inducing=inducing, lengths=(0.4, 0.7, 1.0, 1.5), spread=spread)
+        return len(m.inducing), gp.predict(test, m).select(F.avg((F.col("mean") - F.col("y")) ** 2)).first()[0]
+
+    hashed, spread = error(120, False), error(60, True)
+    assert hashed[0] == 120 and 50 <= spread[0] <= 60 and spread[1] <= hashed[1]
+    few = spark.createDataFrame([(1.0, 1.0, 1.0, 0.0), (2.0, 1.0, 1.0, 1.0), (2.0, 1.0, 1.0, 1.0)], "dx0 double, ego_speed double, npc_speed double, y double")
+    assert len(gp.fit(few, S.features, inducing=30, lengths=(1.0,), spread=True).inducing) == 2
+    assert gp.fit(few.limit(0), S.features, spread=True) is None
