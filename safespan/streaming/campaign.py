@@ -222,7 +222,7 @@ class Loop:
         start, seen, done = before.get("start"), before.get("seen") or 0, bool(before.get("done"))
         decisions = spark.range(self.batch_size).select((F.col("id") + first).alias("idx"), F.col("id").alias("draw_id"), F.lit(violations).cast("long").alias("violations"), F.lit(model is not None).alias("trained"), F.lit(streak >= s.streak).alias("stable"))
         phased = next_phases(decisions, start, seen, done, s, self.mode)
-        next_ = store.write(decide(phased, scored, self.mode, self.points, s).withColumns({"target": F.lit(target).cast("string"), "n_runs": F.lit(facts["n_runs"]), "violations": F.lit(violations).cast("long")}), "decisions", number)
+        next_ = store.write(decide(phased, scored, self.mode, self.points, s).withColumns({"target": F.lit(target).cast("string"), "n_runs": F.lit(facts["n_runs"]).cast("long"), "violations": F.lit(violations).cast("long")}), "decisions", number)
 
         begun = F.min(F.when(F.col("phase").isin("STEP2", "STEP3"), F.col("idx")))
         after = phased.agg(begun.alias("begun"), F.count_if(F.col("phase").isin("STEP2", "STEP3")).alias("more"), F.max((F.col("phase") == "STEP3").cast("int")).alias("third")).first()
