@@ -50,10 +50,9 @@ def pick_safe_cleanup(scored: DataFrame) -> DataFrame:
 def next_batch(scored: DataFrame, phase: str, first_idx: int, scenario: Scenario = Scenario(), dice: Column | None = None) -> DataFrame:
     """A decision of one phase for each draw, in order of draw_id from first_idx on, as `decide` makes it with a model and
     violations at hand. dice: a function of draw_id."""
-    idx = F.lit(first_idx) + F.col("draw_id")
-    dice = hash_unit(F.col("draw_id"), 11) if dice is None else dice
-    known = {"idx": idx.cast("long"), "violations": F.lit(1), "trained": F.lit(True), "phase": F.lit(phase)}
-    out = decide(scored.select("draw_id").distinct().withColumns(known), scored, scenario=scenario, dice=dice)
+    idx = (F.lit(first_idx) + F.col("draw_id")).cast("long")
+    known = {"idx": idx, "violations": F.lit(1), "trained": F.lit(True), "phase": F.lit(phase), "_dice": hash_unit(F.col("draw_id"), 11) if dice is None else dice}
+    out = _decided(_picks(scored, None).withColumns(known), "explore", FOCUS_POINTS, scenario)
     return out.select((F.col("idx") - first_idx).cast(scored.schema["draw_id"].dataType).alias("draw_id"), *out.columns)
 
 
@@ -77,13 +76,25 @@ def decide(decisions: DataFrame, scored: DataFrame, mode: str = "explore", point
     (draw_id, candidates, mean, std) are the candidates of each draw. dice (below 0.3: explore) and luck (the candidate of
     the least is the random one) are drawn from ids unless given."""
     dice = hash_unit(F.col("idx"), 11) if dice is None else dice
-    focus, safe, names = mode == "focus", F.col("mean") <= 0.5, tuple(scenario.ranges)
-    picks = scored.groupBy("draw_id").agg(
+    rows = decisions.select("idx", "draw_id", "violations", "trained", "phase", dice.alias("_dice"))
+    return _decided(rows.join(_picks(scored, luck), "draw_id", "left"), mode, points, scenario)
+
+
+def _picks(scored: DataFrame, luck: Column | None) -> DataFrame:
+    """For each draw its most uncertain candidate (u), the one nearest the boundary (b), the most uncertain safe one (s) and a
+    random one (r)."""
+    safe = F.col("mean") <= 0.5
+    luck = hash_unit(F.col("cand_id"), 12) if luck is None else luck
+    return scored.groupBy("draw_id").agg(
         _best(F.col("std")).alias("u"), _best(-F.abs(F.col("mean") - 0.5)).alias("b"), _best(F.col("std"), safe).alias("s"),
-        F.max(F.when(safe, F.col("std"))).alias("safe_std"), F.min_by(_row(), F.struct(hash_unit(F.col("cand_id"), 12) if luck is None else luck, "cand_id")).alias("r"),
+        F.max(F.when(safe, F.col("std"))).alias("safe_std"), F.min_by(_row(), F.struct(luck, "cand_id")).alias("r"),
     )
-    rows = sobol_design(decisions.select("idx", "draw_id", "violations", "trained", "phase", dice.alias("_dice")), scenario=scenario)
-    rows = rows.join(picks, "draw_id", "left")
+
+
+def _decided(rows: DataFrame, mode: str, points: tuple, scenario: Scenario) -> DataFrame:
+    """The decision of each row, which has its picks and its dice."""
+    focus, names = mode == "focus", tuple(scenario.ranges)
+    rows = sobol_design(rows, scenario=scenario)
     design_point = F.struct(*names)
 
     def point(name: str) -> Column:
