@@ -7,10 +7,14 @@ only strings that hang on equal anchors need comparing. The strings of one ancho
 together cover its context.
 
 1. Each batch of documents makes its anchor occurrences, with hashes of the k-gram, of the context and of the SIDE bytes on
-   either side of the k-gram, and keeps for each context those of the least document; the others are repeats at once. What
-   is left is dealt out by anchor.
+   either side of the k-gram, and keeps for each context those of the least document; the others are repeats at once, if
+   their bytes are those of the least document's. What is left is dealt out by anchor.
 2. A context that a smaller document has too is a repeat as a whole: hashes of 32 bits of the k-gram, 64 of the context
-   and 32 of its shape and sides must agree. Of the others, two can share a string only if they share the SIDE bytes on one
+   and 32 of its shape and sides must agree, and then the bytes: each such context is linked with the one before it in the
+   order of documents, and links of one offset that touch are compared as one stretch of bytes. A context is the one before
+   of at most one other, so what a document is compared with is bounded by its own length, however many copies it has.
+   Contexts whose hashes agree where bytes differ are marked, and the step is done again without settling them by hashes.
+   Of the others, two can share a string only if they share the SIDE bytes on one
    side, as a string has 2 * SIDE bytes besides its k-gram; those that share one with another document are passed on.
 3. The bytes of these contexts meet by anchor. They are sorted twice, from the anchor on and from the anchor back, by a
    mergesort: prefix sums of a polynomial hash and a binary search give the common extension of two suffixes in
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +45,8 @@ from safespan.session import materialize
 SPAN, K = 50, 16
 SIDE = (SPAN - K) // 2
 CROWD = 100_000
+#: Bits of a context's hash that are used; fewer let the tests see hashes agree where bytes differ.
+CONTEXT_BITS = 64
 _BLOCK = 1 << 18
 _LOW = (1 << 24) - 1
 _LISTS = T.ArrayType(T.LongType())
@@ -99,14 +106,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _first_of_context(gram, context, shape, doc) -> tuple[np.ndarray, np.ndarray]:
-    """An order by gram, context and document, and whether each is of its context's least document."""
+def _first_of_context(gram, context, shape, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by gram, context and document, whether each is of its context's least document, and the first row of its
+    context."""
     same = (gram.astype(np.uint64) << np.uint64(32)) | shape.astype(np.uint64)
     order = np.lexsort((doc, same, context))
     x, y, d = same[order], context[order], doc[order]
     begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-    least = np.repeat(d[begin], np.diff(np.concatenate((begin, [len(d)]))))
-    return order, d == least
+    first = np.repeat(begin, np.diff(np.concatenate((begin, [len(d)]))))
+    return order, d == d[first], order[first]
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes (8 or more) from a and from b are the same, 8 at a time."""
+    same = np.ones(len(a), bool)
+    if len(a):
+        eights = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data), 0, (1,))
+        for step in range(0, int(size.max()), 8):
+            at = np.minimum(step, size - 8)
+            same &= eights[a + at] == eights[b + at]
+    return same
 
 
 def _met(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -132,15 +151,16 @@ def _cuts(x: np.ndarray) -> np.ndarray:
 
 _INTS = T.ArrayType(T.IntegerType())
 _DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("gram", _INTS), T.StructField("context", _LISTS), T.StructField("doc", _LISTS), T.StructField("start", _INTS), T.StructField("shape", _INTS)])
-_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", _LISTS), T.StructField("place", _LISTS), T.StructField("gram", _LISTS), T.StructField("crowded", T.BooleanType())])
+_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", _LISTS), T.StructField("before", _LISTS), T.StructField("shift", _LISTS), T.StructField("place", _LISTS), T.StructField("gram", _LISTS), T.StructField("crowded", T.BooleanType())])
 
 
 def _ints(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32).view(np.int32)
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray, shape: np.ndarray, gram: np.ndarray | None = None, crowded: bool = False) -> Iterator[pa.RecordBatch]:
-    """_FOUND rows, some thousands at a time. A place is start << 12 | (anchor - first) << 6 | (last - first)."""
+def _by_doc(doc: np.ndarray, start: np.ndarray, shape: np.ndarray, gram: np.ndarray | None = None, crowded: bool = False, before: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """_FOUND rows, some thousands at a time. A place is start << 12 | (anchor - first) << 6 | (last - first). before: the
+    document and the start of the context that each has yet to be compared with; shift is the difference of the starts."""
     order = np.argsort(doc, kind="stable")
     d = doc[order]
     place = (start.astype(np.int64) << 12 | (shape.astype(np.int64) >> 20))[order]
@@ -150,7 +170,8 @@ def _by_doc(doc: np.ndarray, start: np.ndarray, shape: np.ndarray, gram: np.ndar
         n, part = len(c) - 1, slice(c[0], c[-1])
         none = _lists(np.zeros(n + 1), np.empty(0, np.int64))[0]
         places = _lists(c - c[0], place[part])[0]
-        columns = [places, none, none] if gram is None else [none, places, _lists(c - c[0], gram[order][part].astype(np.int64))[0]]
+        links = [none, none] if before is None else _lists(c - c[0], before[0][order][part], (start - before[1])[order][part].astype(np.int64))
+        columns = [places, *links, none, none] if gram is None else [none, *links, places, _lists(c - c[0], gram[order][part].astype(np.int64))[0]]
         yield pa.RecordBatch.from_arrays([pa.array(d[c[:-1]]), *columns, pa.array([crowded] * n)], _FOUND.names)
 
 
@@ -159,9 +180,15 @@ def _deal(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(batch.column(key).is_valid())
-        gram, context, doc, start, shape = anchors(*text_bytes(batch.column(text)))
+        data, offsets = text_bytes(batch.column(text))
+        gram, context, doc, start, shape = anchors(data, offsets)
+        context &= np.uint64((1 << CONTEXT_BITS) - 1)
         ids = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)[doc] if len(doc) else doc
-        order, least = _first_of_context(gram >> np.uint64(32), context, shape, ids)
+        order, least, first = _first_of_context(gram >> np.uint64(32), context, shape, ids)
+        more = np.flatnonzero(~least)
+        one, two = order[more], first[more]
+        size = (shape[one] >> np.uint64(20)).astype(np.int64) % 64 + SPAN
+        least[more] = ~_equal(data, offsets[doc[one]] + start[one], offsets[doc[two]] + start[two], size)
         for keep, again in ((order[least], False), (order[~least], True)):
             keep = np.sort(keep)  # in the order of the texts, which packs well
             bucket = (gram[keep] % np.uint64(buckets)).astype(np.int64)
@@ -182,17 +209,25 @@ def _deal(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
 
 def _settle(dealt: DataFrame) -> DataFrame:
-    """Step 2: places that are repeats as a whole, and places whose strings have yet to be compared."""
+    """Step 2: places that are repeats as a whole, and places whose strings have yet to be compared. Rows of dealt without
+    documents are marks: contexts of their hashes are never settled as a whole."""
 
-    def flush(bucket: int, parts: list) -> Iterator[pa.RecordBatch]:
+    def flush(bucket: int, parts: list, marks: list) -> Iterator[pa.RecordBatch]:
         gram, context, doc, start, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
         gram, shape = (x.view(np.uint32).astype(np.uint64) for x in (gram, shape))
-        order, least = _first_of_context(gram, context, shape, doc)
-        again = order[~least]
-        yield from _by_doc(doc[again], start[again], shape[again])
+        order, least, _ = _first_of_context(gram, context, shape, doc)
+        marked = np.zeros(len(doc), bool)
+        if marks:
+            g, c, s = (np.concatenate(x) for x in zip(*marks, strict=True))
+            g, s = (x.view(np.uint32).astype(np.uint64) for x in (g, s))
+            marked = np.isin(context, c) & np.isin(gram << np.uint64(32) | shape, g << np.uint64(32) | s)
+            least |= marked[order]
+        again = np.flatnonzero(~least)
+        last, again = order[again - 1], order[again]
+        yield from _by_doc(doc[again], start[again], shape[again], before=(doc[last], start[last]))
         one = order[least]
         g, d, s = gram[one], doc[one], shape[one]
-        open_ = np.zeros(len(one), bool)
+        open_ = marked[one]
         for bits in (10, 0):
             side = (s >> np.uint64(bits)) & np.uint64(1023)
             has = np.flatnonzero(side)
@@ -206,7 +241,7 @@ def _settle(dealt: DataFrame) -> DataFrame:
             yield from _by_doc(doc[x], start[x], shape[x], gram[x] << np.uint64(24) | np.uint64(bucket & 0xFFFFFF), there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, marks = None, [], []
         for batch in batches:
             lists = [batch.column(i) for i in range(1, 6)]
             for i, bucket in enumerate(batch.column(0).to_pylist()):
@@ -214,13 +249,16 @@ def _settle(dealt: DataFrame) -> DataFrame:
                 if bucket < 0:
                     yield from _by_doc(row[2], row[3], row[4].view(np.uint32))
                     continue
-                if bucket != now and parts:
-                    yield from flush(now, parts)
-                    parts = []
-                now = bucket
-                parts.append(row)
+                if bucket != now:
+                    if parts:
+                        yield from flush(now, parts, marks)
+                    now, parts, marks = bucket, [], []
+                if row[2] is None:
+                    marks.append((row[0], row[1], row[4]))
+                else:
+                    parts.append(row)
         if parts:
-            yield from flush(now, parts)
+            yield from flush(now, parts, marks)
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # buckets are equally many in each task; repeats found within a batch may go anywhere
@@ -228,6 +266,77 @@ def _settle(dealt: DataFrame) -> DataFrame:
     return dealt.repartitionById(n, to).sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
+_ASKED = T.StructType([T.StructField("before", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("start", _LISTS), T.StructField("shift", _LISTS), T.StructField("size", _LISTS), T.StructField("bytes", T.BinaryType())])
+
+
+def _unequal(packed: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+    """doc, start and end of stretches of bytes that aren't those of the contexts they are linked with: none, unless hashes
+    collide."""
+    texts = packed.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("packed"))
+    lists = ("whole", "before", "shift")
+    links = found.where(F.size("before") > 0).groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+
+    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        rows = []
+        for d, raw, *row in zip(batch.column("doc").to_pylist(), unpacked(batch.column("packed")), *(batch.column(c) for c in lists), strict=True):
+            place, before, shift = (np.asarray(x.values) for x in row)
+            order = np.lexsort((place, shift, before))
+            place, before, shift = place[order], before[order], shift[order]
+            start, end = place >> 12, (place >> 12) + (place & 63) + SPAN
+            new = np.concatenate(([True], (before[1:] != before[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > end[:-1])))
+            begin = np.flatnonzero(new)
+            start, end, before, shift = start[begin], end[np.concatenate((begin[1:], [len(new)])) - 1], before[begin], shift[begin]
+            cuts = _cuts(before)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                parts = b"".join(raw[s:e] for s, e in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True))
+                rows.append((before[lo], d, start[lo:hi], shift[lo:hi], (end - start)[lo:hi], press(parts)))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _ASKED.names)
+
+    asked = texts.join(links, "doc").select("doc", "packed", *lists).mapInArrow(per_batch(ask, 500), _ASKED)
+    asked = asked.groupBy("before").agg(F.collect_list(F.struct(*_ASKED.names[1:])).alias("asked"))
+
+    def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        wrong = []
+        for raw, rows in zip(unpacked(batch.column("packed")), batch.column("asked"), strict=True):
+            for row in rows:
+                row = row.as_py()
+                parts, at = zstandard.ZstdDecompressor().decompress(row["bytes"]), 0
+                for s, shift, n in zip(row["start"], row["shift"], row["size"], strict=True):
+                    if raw[s - shift : s - shift + n] != parts[at : at + n]:
+                        wrong.append((row["doc"], s, s + n))
+                    at += n
+        columns = list(zip(*wrong, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "end"])
+
+    held = texts.join(asked, texts["doc"] == asked["before"]).select("packed", "asked")
+    return held.mapInArrow(per_batch(compare, 500), "doc long, start long, end long")
+
+
+def _marks(df: DataFrame, key: str, text: str, wrong: DataFrame, buckets: int) -> DataFrame:
+    """Rows for _settle that mark the contexts within unequal stretches."""
+    doc_, starts_, ends_ = unused(df.select(key, text), "doc", "starts", "ends")
+    spans = wrong.groupBy(F.col("doc").alias(doc_)).agg(F.collect_list("start").alias(starts_), F.collect_list("end").alias(ends_))
+
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        gram, context, doc, start, shape = anchors(*text_bytes(batch.column(text)))
+        context &= np.uint64((1 << CONTEXT_BITS) - 1)
+        within = np.zeros(len(doc), bool)
+        for i, (starts, ends) in enumerate(zip(batch.column(starts_).to_pylist(), batch.column(ends_).to_pylist(), strict=True)):
+            for s, e in zip(starts, ends, strict=True):
+                within |= (doc == i) & (start >= s) & (start < e)
+        gram, context, shape = gram[within], context[within], shape[within]
+        one = np.arange(len(gram) + 1)
+        none = [pa.nulls(len(gram), pa.list_(k)) for k in (pa.int64(), pa.int32())]
+        gram_, context_, shape_ = _lists(one, _ints(gram >> np.uint64(32)), context.view(np.int64), _ints(shape))
+        yield pa.RecordBatch.from_arrays([pa.array((gram % np.uint64(buckets)).astype(np.int64)), gram_, context_, *none, shape_], _DEALT.names)
+
+    texts = df.select(key, text)
+    return texts.join(spans, texts[key] == spans[doc_]).select(text, starts_, ends_).mapInArrow(per_batch(make, 500), _DEALT)
+
+
 _CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("place", T.LongType()), T.StructField("bytes", T.BinaryType())])
 
 
@@ -428,8 +537,13 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
     """df with the byte spans of each text that strings of smaller documents cover, joined and in order:
     array<struct<start: bigint, end: bigint>>."""
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(_settle(_deal(df, key, text, buckets)), "repeats")
-    packed = pack(df, text)
+    dealt, packed = _deal(df, key, text, buckets), pack(df, text)
+    while True:
+        found = materialize(_settle(dealt), "repeats")
+        wrong = materialize(_unequal(packed, key, text, found), "unequal")
+        if wrong.isEmpty():
+            break
+        dealt = dealt.unionByName(materialize(_marks(df, key, text, wrong, buckets), "marks"))
     parts = [found.where(F.size("whole") > 0).select("doc", F.col("whole").alias("places"))]
     for crowded, compare in ((False, _compare), (True, _compare_crowds)):
         some = found.where((F.size("place") > 0) & (F.col("crowded") == crowded))

@@ -210,6 +210,28 @@ def test_repeats(spark, crowd, monkeypatch):
     assert suffix.find_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [100_000, 2])
+def test_repeats_compare_bytes_where_hashes_agree(spark, monkeypatch, crowd):
+    """Contexts of one k-gram, shape and sides have equal hashes here, whatever stands further out."""
+    monkeypatch.setattr(suffix, "CROWD", crowd)
+    monkeypatch.setattr(suffix, "CONTEXT_BITS", 0)
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abcdefgh", k=n)) for n in (50, 56, 62, 90)]
+    texts = {d: "".join("".join(rng.choices("xy", k=rng.randint(0, 40))) + rng.choice(passages) for _ in range(3)) for d in range(300)}
+    texts |= {1000 + d: texts[d] for d in range(0, 300, 7)} | {2000 + d: texts[d][:-60] for d in range(0, 300, 11)}
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    dealt = suffix._deal(df, "doc_id", "text", 32)
+    wrong = suffix._unequal(suffix.pack(df, "text"), "doc_id", "text", suffix._settle(dealt))
+    assert wrong.count() > 0  # otherwise nothing is tested
+    want = plain_repeats([(d, t.encode()) for d, t in texts.items()])
+    got = {r.doc_id: bytes(r.kept) for r in suffix.cut(suffix.find_repeats(df)).collect()}
+    assert got == want
+    monkeypatch.setattr(suffix, "CONTEXT_BITS", 64)
+    assert suffix._unequal(suffix.pack(df, "text"), "doc_id", "text", suffix._settle(suffix._deal(df, "doc_id", "text", 32))).count() == 0
+
+
 def plain_contexts(gram, doc, place, contexts):
     seen, found = {}, set()
     for i in np.argsort(doc, kind="stable"):
