@@ -22,7 +22,7 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = unpack(winnow.with_next(pack(docs, "text")), "text", "next_text").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    pairs = unpack(winnow.with_next(pack(docs, "text"), keys=docs), "text", "next_text").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
     return winnow.compare(pairs, "text", {"edited": ("near_edited", "edited_fingerprint"), "next_text": ("near_next", None)})
 

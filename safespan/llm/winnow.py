@@ -129,19 +129,21 @@ def compare(df: DataFrame, text: str, others: dict[str, tuple[str, str | None]],
     return df.mapInArrow(per_batch(make, 500), schema)
 
 
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "next_text") -> DataFrame:
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "next_text", keys: DataFrame | None = None) -> DataFrame:
     """df with the text (or packed text) of the row that follows in descending order of key (nulls last; rows of equal
     key by text); the last row is followed by the first.
 
-    The rows are dealt over ranges of the key, with bounds from an approximate quantile sketch; each range also gets the
+    The rows are dealt over ranges of the key, with bounds from Spark's own range partitioning of the keys alone (of the table
+    `keys`, where one is given that has the same keys and is cheaper to read than df); each range also gets the
     first row of the range below as a ghost, and looks ahead within itself. So the texts are shuffled once, and no range
     holds more than its share of the keys. Keys are numbers. The bounds are shared with the tasks: four for each shuffle
     partition.
     """
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    bounds, top = df.agg(F.percentile_approx(key, shares, 20 * n), F.max(key)).first()
-    bounds = sorted({b for b in bounds or [] if b < top})
+    known = (df if keys is None else keys).select(F.col(key).alias("key")).where("key is not null")
+    ends = known.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.max("key").alias("end")).collect()  # n rows at most
+    top = max((r.end for r in ends), default=None)
+    bounds = sorted({r.end for r in ends} - {top})
     shared = df.sparkSession.sparkContext.broadcast((bounds, set(bounds), top))
     names, (range_, ghost) = df.columns, unused(df, "range", "ghost")
 
