@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -114,21 +114,88 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def events(params: DataFrame, results: DataFrame) -> DataFrame:
+    """Parameters (kind 0) and results (kind 1) of runs as one stream, with the seconds they came at."""
+    none, at = F.lit(None), F.col("ts").cast("double").alias("at")
+    p = params.select("loop_num", "ts", at, F.lit(0).alias("kind"), "seq", "dx0", "ego_speed", "npc_speed", none.cast("int").alias("c_collision"), none.cast("int").alias("c_ttc_0_5"))
+    r = results.select("loop_num", "ts", at, F.lit(1).alias("kind"), F.lit(0).alias("seq"), *[none.cast("double").alias(c) for c in ("dx0", "ego_speed", "npc_speed")], "c_collision", "c_ttc_0_5")
+    return p.unionByName(r)
+
+
 def merge_stream(params: DataFrame, results: DataFrame, seconds: int = 600, delay: str = "0 seconds", status: str = "expired", labels: int | None = None) -> DataFrame:
     """Parameters and results of each run, joined while the parameters are at most `seconds` old.
 
     A newer parameter row replaces the one in wait; the first result takes it (`merged`); a result without parameters is
     an `orphan`; parameters that get too old leave as `status`, with `labels` as their labels, by a timer in event time. A
-    run has state only while its parameters wait."""
+    run has state only while its parameters wait. Every run of a batch is a call of Python with requests to its state, a
+    millisecond or so: for campaigns that run. MergeTable does large batches."""
     keyed_state(params.sparkSession)
-    none, at = F.lit(None), F.col("ts").cast("double").alias("at")
-    p = params.select("loop_num", "ts", at, F.lit(0).alias("kind"), "seq", "dx0", "ego_speed", "npc_speed", none.cast("int").alias("c_collision"), none.cast("int").alias("c_ttc_0_5"))
-    r = results.select("loop_num", "ts", at, F.lit(1).alias("kind"), F.lit(0).alias("seq"), *[none.cast("double").alias(c) for c in ("dx0", "ego_speed", "npc_speed")], "c_collision", "c_ttc_0_5")
-    both = p.unionByName(r).withWatermark("ts", delay)
+    both = events(params, results).withWatermark("ts", delay)
     out = both.groupBy("loop_num").transformWithState(Merge(seconds, status, labels), _OUT, "Append", "EventTime")
     return out.withColumn("ts", F.timestamp_seconds("at")).drop("at")
 
 
+@dataclass(frozen=True)
+class MergeTable:
+    """For foreachBatch over `events`: what merge_stream says, with the parameters in wait in a table in place of keyed
+    state. A batch is one window over its rows and those in wait, in built-in functions alone. Its row before tells which
+    parameters a result takes, the row after whether parameters are taken, replaced or too old.
+
+    The time of the stream is that of its latest row less the delay; parameters that are too old by then leave with the
+    batch. Rows that come later than that are worked through all the same. `made` keeps a batch's rows out and, without
+    status, the last parameters of each run; `times` says which of these have left and which still wait."""
+
+    path: str
+    seconds: int = 600
+    delay: int = 0
+    status: str = "expired"
+    labels: int | None = None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        store = BatchStore(self.path)
+
+        def work(batch: DataFrame, number: int) -> None:
+            spark, last = batch.sparkSession, store.last(batch.sparkSession)
+            rows = batch.drop("ts").withColumn("new", F.lit(1))
+            if last >= 0:
+                held = self.timed(store.batch(spark, "made", last), store.batch(spark, "times", last)).where("status is null and not due")
+                rows = rows.unionByName(held.select(*batch.drop("ts", "kind", "seq").columns, F.lit(0).alias("kind"), F.lit(0).alias("seq"), F.lit(0).alias("new")))
+            made = store.write(self.matched(rows), "made", number)
+            times = made.select("at")  # the latest row of a run is in it
+            if last >= 0:
+                times = times.union(store.batch(spark, "times", last))
+            store.write(times.agg(F.max("at").alias("time")), "times", number)
+
+        store.once(work)(batch, number)
+
+    def matched(self, rows: DataFrame) -> DataFrame:
+        """The rows that leave, and the last parameters of each run without a status."""
+        features, labels = ("dx0", "ego_speed", "npc_speed"), ("c_collision", "c_ttc_0_5")
+        w = Window.partitionBy("loop_num").orderBy("new", "at", "kind", "seq", *features, *labels)  # of equal rows no choice is left
+        near = [F.lag(c).over(w).alias(f"_{c}") for c in ("kind", "at", *features)] + [F.lead("kind").over(w).alias("_next"), F.lead("at").over(w).alias("_then")]
+        side = rows.select("*", *near)
+        took = F.coalesce((F.col("_kind") == 0) & (F.col("at") - F.col("_at") <= self.seconds), F.lit(False))
+        result, last = F.col("kind") == 1, F.col("_next").isNull()
+        old = F.coalesce(F.col("_then") - F.col("at") > self.seconds, F.lit(False))
+        status = F.when(result, F.when(took, "merged").otherwise("orphan")).when(~last, self.status)
+        params = [F.when(result, F.when(took, F.col(f"_{c}"))).otherwise(F.col(c)).alias(c) for c in features]
+        given = [F.when(result, F.col(c)).when(~last, F.lit(self.labels)).cast("int").alias(c) for c in labels]
+        return side.where(result | last | old).select("loop_num", status.alias("status"), *params, *given, F.when(result | last, F.col("at")).otherwise(F.col("at") + self.seconds).alias("at"))
+
+    def timed(self, made: DataFrame, times: DataFrame, on: str | None = None) -> DataFrame:
+        """Rows of `made` with whether parameters in wait are too old at the time of their batch, to the millisecond."""
+        due = F.round((F.col("at") + self.seconds) * 1000) + 1 <= F.floor(F.col("time") * 1000) - self.delay * 1000
+        one = F.broadcast(times)  # a row for each batch
+        return (made.join(one, on) if on else made.crossJoin(one)).withColumn("due", F.coalesce(F.col("status").isNull() & due, F.lit(False)))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        store = BatchStore(self.path)
+        rows = self.timed(store.read(spark, "made"), store.read(spark, "times"), "batch").where("status is not null or due")
+        left = {"status": F.lit(self.status), "c_collision": F.lit(self.labels).cast("int"), "c_ttc_0_5": F.lit(self.labels).cast("int"), "at": F.col("at") + self.seconds}
+        rows = rows.withColumns({k: F.when(F.col("due"), v).otherwise(F.col(k)) for k, v in left.items()})
+        return rows.withColumn("ts", F.timestamp_seconds("at")).drop("at", "time", "due", "batch")
+
+
 def merge_once(params: DataFrame, results: DataFrame, seconds: int = 600, delay: str = "0 seconds", status: str = "expired", labels: int | None = None) -> DataFrame:
     """As merge_stream, for runs whose parameters are sent once and that have one result at most: an outer join of the
     streams by a time bound, without results that have no parameters. Parameters leave as `status` once both streams are

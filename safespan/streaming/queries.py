@@ -60,8 +60,10 @@ _ORPHAN = "SELECT r.loop_num, 'orphan' AS status, CAST(NULL AS DOUBLE) AS dx0, C
 
 
 def _merge(s, d, **kind):
-    out = campaign.drain(campaign.merge_stream(stream(s, d, "params"), stream(s, d, "results"), **kind))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    base = f"{shared_dir(s).rstrip('/')}/merge-{uuid.uuid4().hex}"
+    sink = campaign.MergeTable(f"{base}/table", **kind)
+    campaign.drain_into(campaign.events(stream(s, d, "params"), stream(s, d, "results")), sink, base)
+    return sink.read(s).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(_MERGED)
