@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from safespan.operators.design import hash_unit, sobol_design
-from safespan.operators.sequence import boundary_shift, stability_history, stability_streak
+from safespan.operators.sequence import boundary_shift, packed_history, stability_streak
 from safespan.scenario import FOCUS_POINTS, Scenario
 
 _ROW = ("cand_id", "dx0", "ego_speed", "npc_speed", "mean", "std")
@@ -62,7 +62,7 @@ def refill_batch(scored: DataFrame, outstanding: int, target: int = 15) -> DataF
 
 
 def boundary_stability(states: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
-    return stability_streak(boundary_shift(stability_history(states, scenario.history, scenario.hysteresis)), scenario.shift, scenario.streak)
+    return stability_streak(boundary_shift(packed_history(states, scenario.history, scenario.hysteresis)), scenario.shift, scenario.streak)
 
 
 def decide(decisions: DataFrame, scored: DataFrame, mode: str = "explore", points: tuple = FOCUS_POINTS, scenario: Scenario = Scenario(), dice: Column | None = None, luck: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from safespan.scenario import Scenario
+from safespan.session import materialize
 
 
 def ttc_cascade(long: DataFrame) -> DataFrame:
@@ -24,6 +25,47 @@ def stability_history(states: DataFrame, length: int = 50, hysteresis: tuple[flo
     return states.withColumn("state", hysteresis_state(F.col("mean"), *hysteresis)).withColumn("old_state", F.lag("state", length - 1).over(w))
 
 
+def packed_history(states: DataFrame, length: int = 50, hysteresis: tuple[float, float] = (0.40, 0.60)) -> DataFrame:
+    """(iter, point_id, state, old_state) of stability_history, for many points and whole-numbered iterations.
+
+    The states of a point in 32 iterations are packed into words, a bit each, before anything is shuffled, and old states
+    are words moved by length - 1 bits. That counts iterations, not rows: points that miss some between their first and last
+    or have one twice go through stability_history."""
+    names = ("iter", "point_id", "state", "old_state")
+    if length < 1:
+        return stability_history(states, length, hysteresis).select(*names)
+    state = hysteresis_state(F.col("mean"), *hysteresis)
+    rows = states.select("point_id", state.alias("state"), F.expr("shiftright(cast(iter as long), 5)").alias("word"), F.expr("shiftleft(1L, cast(iter & 31 as int))").alias("bit"))
+    words = rows.groupBy("point_id", "word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("given"), *[F.bit_or(F.when(F.col("state") == x, F.col("bit")).otherwise(0)).alias(f"is_{x}") for x in (0, 1)])
+    lowest = F.expr("given & -given")
+    words = words.withColumn("first", F.col("word") * 32 + F.bit_count(lowest - 1))
+    # a word without gaps: its lowest bit, added, leaves none of its bits
+    words = words.withColumn("full", F.coalesce((F.col("n") == F.bit_count("given")) & ((F.col("given") + lowest).bitwiseAND(F.col("given")) == 0), F.lit(False)))
+    point = Window.partitionBy("point_id")
+    dense = F.min("full").over(point) & (F.sum("n").over(point) == F.max(F.col("first") + F.col("n")).over(point) - F.min("first").over(point))
+    steps, bits = divmod(length - 1, 32)
+
+    def moved(name: str) -> Column:
+        near, far = (F.lag(name, n).over(point.orderBy("word")) if n else F.col(name) for n in (steps, steps + 1))
+        low = F.shiftleft(F.coalesce(near, F.lit(0)), bits).bitwiseOR(F.shiftright(F.coalesce(far, F.lit(0)), 32 - bits))
+        return low.bitwiseAND(F.lit((1 << 32) - 1)).alias(f"old_{name}")
+
+    masks = ("given", "is_0", "is_1")
+    table = materialize(words.select("point_id", "word", *masks, *map(moved, masks), dense.alias("dense")), "words")
+
+    def at(old: str) -> Column:
+        has = {m: F.expr(f"shiftright({old}{m}, k) & 1 = 1") for m in masks}
+        return F.when(has["given"], F.when(has["is_0"], 0).when(has["is_1"], 1).otherwise(-1))
+
+    each = table.where("dense").withColumn("k", F.explode(F.array(*map(F.lit, range(32))))).where("shiftright(given, k) & 1 = 1")
+    found = each.select((F.col("word") * 32 + F.col("k")).cast(states.schema["iter"].dataType).alias("iter"), "point_id", at("").alias("state"), at("old_").alias("old_state"))
+    odd = table.where("not dense")
+    if odd.isEmpty():
+        return found
+    rest = states.join(odd.select(F.col("point_id").alias("_odd")).distinct(), F.col("point_id").eqNullSafe(F.col("_odd")), "left_semi")
+    return found.unionByName(stability_history(rest, length, hysteresis).select(*names))
+
+
 def boundary_shift(history: DataFrame) -> DataFrame:
     """Per iteration with a full history: share of points that went from 0 to 1 or back; -1 never counts as a flip."""
     flip = ((F.col("state") == 0) & (F.col("old_state") == 1)) | ((F.col("state") == 1) & (F.col("old_state") == 0))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from safespan.operators import sequence
 from safespan.streaming import campaign
 from safespan.streaming import queries as streaming
 
@@ -42,3 +43,29 @@ def test_merges_run_without_a_call_of_python_for_each_run(spark, monkeypatch, na
 
     monkeypatch.setattr(campaign, "merge_stream", slow)
     assert streaming.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 20, 32, 33, 34, 50, 65, 120])
+def test_packed_histories_are_those_of_rows(spark, length):
+    """Points that begin late or below zero, miss iterations, have one twice, have no number, no mean or no iteration."""
+    spans = {1: range(150), 2: range(-70, 40), 3: [*range(5), *range(9, 140)], 4: [*range(100), 60], None: range(31, 97), 6: [32], 7: [*range(70), *range(128, 180)], 8: [*range(60), None], 9: range(64, 200)}
+    rows = [(i, p, None if (i or 0) % 41 == 7 else float("nan") if (i or 0) % 43 == 5 else ((i or 0) * 37 + (p or 0) * 11) % 19 / 18) for p, span in spans.items() for i in span]
+    rows = [(i, p, 0.1 if (i, p) == (60, 4) else m) for i, p, m in rows]  # of the repeated one, either may come first
+    df = spark.createDataFrame(rows, "iter long, point_id long, mean double").repartition(5)
+    names = ["iter", "point_id", "state", "old_state"]
+    want = sequence.stability_history(df, length).select(names)
+    got = sequence.packed_history(df, length)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, map(tuple, got.select(names).collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+@pytest.mark.parametrize("name", ["stability_history", "boundary_shift", "stability_streak", "boundary_stability", "boundary_stability_settings"])
+def test_histories_shuffle_words_not_rows(spark, monkeypatch, name):
+    """What is shuffled and sorted by point is one row for 32 iterations, and nothing where no point is odd."""
+    from safespan.plans import queries as campaign_queries
+
+    def rows(*args, **kind):
+        raise AssertionError("a row for each iteration")
+
+    monkeypatch.setattr(sequence, "stability_history", rows)
+    assert campaign_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
