@@ -21,61 +21,69 @@ from safespan.llm.arrays import per_batch
 from safespan.llm.bpe import Memory, Vocabulary, _with
 
 
+#: Bytes that a task remembers of chunks, and as many of words: texts of a batch of rows have hundreds of thousands of them.
+REMEMBERED = 128_000_000
+
+
 class Counter:
     """Numbers of tokens of texts, chunks and words; what was found is remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.chunks = Memory(self.chunk)
-        self.words = Memory(self.word)
-        self.rules = {a << 20 | b: (rank, made) for (a, b), (rank, made) in vocabulary.merges.items()}
+        self.forget()
+        #: rank << 32 of each pair's rule, and what a rule makes, by rank.
+        self.rules = {a << 20 | b: rank << 32 for (a, b), (rank, _) in vocabulary.merges.items()}
+        self.made = {rank: made for rank, made in vocabulary.merges.values()}
+        symbol = vocabulary.symbol_ids
+        self.inner, self.last = ([symbol.get(chr(x + mark)) for x in range(256)] for mark in (0, 256 if vocabulary.end else 0))
 
     def chunk(self, chunk: str) -> int:
         return sum([self.words[w] for w in self.v.words(chunk)])
 
     def word(self, word: str) -> int:
-        symbol = self.v.symbol_ids
-        return self.count([symbol[s] for s in self.v.word_symbols(word)])
+        raw = word.encode("utf-8")
+        ids = [*map(self.inner.__getitem__, raw)]
+        ids[-1] = self.last[raw[-1]]
+        return self.count(ids)
 
     def count(self, ids: list[int]) -> int:
-        n, rules = len(ids), self.rules
-        heap = []
-        for i in range(n - 1):
-            rule = rules.get(ids[i] << 20 | ids[i + 1])
-            if rule is not None:
-                heap.append(rule[0] << 32 | i)
+        n, rule, made = len(ids), self.rules.get, self.made
+        # what each symbol's pair with the next one has as its rule; -1: none, or the symbol is gone
+        pair = [rule(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]
+        heap = [r | i for i, r in enumerate(pair) if r >= 0]
         if not heap:
             return n
         heapify(heap)
+        pair.append(-1)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         left = n
         while heap:
             top = heappop(heap)
             i = top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or ids[i] < 0:
-                continue
-            rule = rules.get(ids[i] << 20 | ids[j])
-            if rule is None or rule[0] != top >> 32:
+            if pair[i] != top - i:
                 continue  # one of the two has merged elsewhere since
-            ids[i], ids[j] = rule[1], -1
+            a = ids[i] = made[top >> 32]
             left -= 1
+            j = after[i]
+            pair[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rule = rules.get(ids[i] << 20 | ids[k])
-                if rule is not None:
-                    heappush(heap, rule[0] << 32 | i)
+                r = pair[i] = rule(a << 20 | ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r | i)
+            else:
+                pair[i] = -1
             h = before[i]
             if h >= 0:
-                rule = rules.get(ids[h] << 20 | ids[i])
-                if rule is not None:
-                    heappush(heap, rule[0] << 32 | h)
+                r = pair[h] = rule(ids[h] << 20 | a, -1)
+                if r >= 0:
+                    heappush(heap, r | h)
         return left
 
     def forget(self) -> None:
-        self.chunks, self.words = Memory(self.chunk), Memory(self.word)
+        self.chunks, self.words = Memory(self.chunk, REMEMBERED), Memory(self.word, REMEMBERED)
 
     def text(self, text: str) -> int:
         known = self.chunks

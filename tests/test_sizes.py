@@ -78,3 +78,20 @@ def test_profiles_cross_without_grouping_runs(spark):
 
     small = "/root/testdata/sf0.001"
     assert same(campaign_queries.QUERIES["profile_cross"](spark, small), connect(small), campaign_queries.ORACLE["profile_cross"]) > 0
+
+
+def test_counts_remember_what_a_task_meets():
+    """A second pass over 150,000 different words finds them all; 62,500 of each kind were remembered before."""
+    import public_tokenizers
+    from safespan.llm.bpe import Vocabulary
+    from safespan.llm.tokencount import Counter
+
+    class Counting(Counter):
+        def word(self, word):
+            self.seen = getattr(self, "seen", 0) + 1
+            return super().word(word)
+
+    c = Counting(Vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    letters = "abcdefghij"
+    text = " ".join("x" + "".join(letters[int(d)] for d in str(i)) for i in range(150_000))
+    assert c.text(text) == c.text(text) > 150_000 and c.seen == 150_000
