@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from safespan.operators import sequence
+from safespan.operators import acquire, sequence
 from safespan.streaming import campaign
 from safespan.streaming import queries as streaming
 
@@ -68,6 +68,7 @@ def test_histories_shuffle_words_not_rows(spark, monkeypatch, name):
         raise AssertionError("a row for each iteration")
 
     monkeypatch.setattr(sequence, "stability_history", rows)
+    monkeypatch.setattr(acquire, "stability_history", rows, raising=False)
     assert campaign_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
