@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from safespan.functions.decimals import rounded
 from safespan.operators.ingest import repair
 from safespan.scenario import ERROR, Scenario
 from safespan.session import materialize
@@ -121,7 +122,7 @@ def unpivot_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def format_values(df: DataFrame) -> DataFrame:
     """Fractions at four decimals."""
-    return df.withColumns({c: F.round(c, 4) for c, t in df.dtypes if t in ("double", "float")})
+    return df.withColumns({c: rounded(c) if t == "double" else F.round(c, 4) for c, t in df.dtypes if t in ("double", "float")})
 
 
 def executed_params(df: DataFrame, features: tuple[str, ...] = Scenario().features) -> DataFrame:

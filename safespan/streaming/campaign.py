@@ -339,7 +339,8 @@ class Loop:
         return (before.get("streak") or 0) + 1 if shift.shift_rate < s.shift else 0
 
 
-def campaign_loop(results: DataFrame, loop: Loop) -> DataFrame:
-    """The decisions of a loop over all batches that there are."""
-    drain_into(results, loop, loop.path)
+def campaign_loop(results: DataFrame, loop: Loop, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The decisions of a loop over all batches that there are. prepare: what is done to each batch rather than to the
+    stream, as Spark makes code for the two apart (see theory.with_margins)."""
+    drain_into(results, (lambda batch, number: loop(prepare(batch), number)) if prepare else loop, loop.path)
     return loop.store.read(results.sparkSession, "decisions")

@@ -101,14 +101,17 @@ def stream_status(s, d):
     return _upserted(s, campaign.latest_status(stream(s, d, "worker_status")), "worker_id")
 
 
-def stream_loop(s, d):
-    """Decisions of a campaign that appends, fits and picks after each batch of finished runs. Runs are numbered anew, by
-    order and line, so that numbers can go on from the last."""
-    runs = enrich(stream(s, d, "runs"))
+def finished(runs):
+    """Runs with theory, without that of late ones. They are numbered anew, by order and line, so that numbers can go on from
+    the last."""
     runs = runs.withColumns({c: F.when(~F.col("late"), F.col(c)) for c in runs.columns if c.startswith("theory_")}).drop("late")
-    runs = runs.withColumn("loop_num", F.expr("loop_num div 10000000000 * 8 + loop_num % 10"))
+    return runs.withColumn("loop_num", F.expr("loop_num div 10000000000 * 8 + loop_num % 10"))
+
+
+def stream_loop(s, d):
+    """Decisions of a campaign that appends, fits and picks after each batch of finished runs."""
     path = f"{shared_dir(s).rstrip('/')}/loop-{uuid.uuid4().hex}"
-    return campaign.campaign_loop(runs, campaign.Loop(path, scenario=Scenario(max_samples=1 << 40)))
+    return campaign.campaign_loop(enrich(stream(s, d, "runs")), campaign.Loop(path, scenario=Scenario(max_samples=1 << 40)), finished)
 
 
 QUERIES["stream_loop"] = stream_loop  # random candidates: tested by its properties

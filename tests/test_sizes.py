@@ -1,8 +1,12 @@
 """Steps that grow with the tables: the same results as the plain way, without its cost."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from safespan.functions.decimals import rounded
 from safespan.operators import acquire, sequence
 from safespan.streaming import campaign
 from safespan.streaming import queries as streaming
@@ -96,3 +100,37 @@ def test_counts_remember_what_a_task_meets():
     letters = "abcdefghij"
     text = " ".join("x" + "".join(letters[int(d)] for d in str(i)) for i in range(150_000))
     assert c.text(text) == c.text(text) > 150_000 and c.seen == 150_000
+
+
+def method_bytes(df):
+    """The size of the largest method in the code that Spark makes of a plan."""
+    debug = df.sparkSession._jvm.org.apache.spark.sql.execution.debug
+    return max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", getattr(debug, "package").codegenString(df._jdf.queryExecution().executedPlan())))
+
+
+def test_runs_are_worked_out_by_compiled_code(spark, tmp_path, monkeypatch):
+    """Java runs methods above 8,000 bytes without compiling them: those of a stream's theory and of a batch's rows are below."""
+    from safespan.functions.theory import enrich
+    from safespan.sources.tables import load
+    from safespan.streaming.store import BatchStore
+
+    kept, write = {}, BatchStore.write
+
+    def keep(self, df, table, number):
+        kept.setdefault(table, df)
+        return write(self, df, table, number)
+
+    monkeypatch.setattr(BatchStore, "write", keep)
+    monkeypatch.setattr(streaming.campaign, "drain_into", lambda stream, sink, base: sink(spark.createDataFrame(stream.rdd, stream.schema), 0))
+    monkeypatch.setattr(streaming, "stream", load)
+    assert streaming.QUERIES["stream_loop"](spark, "/root/testdata/sf0.001").count() == 15
+    assert method_bytes(enrich(load(spark, "/root/testdata/sf0.01", "runs"))) < 8000
+    assert method_bytes(kept["dataset"]) < 8000
+
+
+def test_quick_rounding_is_that_of_spark(spark):
+    """Middles of two decimals and their neighbours, all magnitudes, both zeros, what isn't finite, null."""
+    x = [(k + 0.5) / 1e4 for k in range(-3000, 3000)] + [s * m * 10.0**e for e in range(-9, 25) for m in (1.00005, 2.675, 0.99995, 7.0, 1 / 3) for s in (1, -1)]
+    x += [math.nextafter(v, w) for v in x for w in (math.inf, -math.inf)] + [0.0, -0.0, 1e308, 5e-324, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 4).cast("string").alias("want"), rounded("x").cast("string").alias("got"))
+    assert df.where("not want <=> got").count() == 0
