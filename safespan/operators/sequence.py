@@ -10,8 +10,9 @@ from safespan.session import materialize
 
 
 def ttc_cascade(long: DataFrame) -> DataFrame:
-    """(loop_num, threshold, label): each label raised to the greatest of itself and all tighter thresholds of the run."""
-    w = Window.partitionBy("loop_num").orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
+    """(loop_num, threshold, label): each label raised to the greatest of itself and all tighter thresholds of the run. Where a
+    run number occurs twice, lower labels come first, so that reruns agree."""
+    w = Window.partitionBy("loop_num").orderBy("threshold", "label").rowsBetween(Window.unboundedPreceding, 0)
     return long.withColumn("label", F.max("label").over(w))
 
 

@@ -134,3 +134,10 @@ def test_quick_rounding_is_that_of_spark(spark):
     x += [math.nextafter(v, w) for v in x for w in (math.inf, -math.inf)] + [0.0, -0.0, 1e308, 5e-324, math.inf, -math.inf, math.nan, None]
     df = spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 4).cast("string").alias("want"), rounded("x").cast("string").alias("got"))
     assert df.where("not want <=> got").count() == 0
+
+
+def test_cascades_of_repeated_runs_agree(spark):
+    """Two rows of a run at one threshold, in either order."""
+    for labels in ([1, 0], [0, 1]):
+        df = spark.createDataFrame([(1, 1.2, x) for x in labels], "loop_num long, threshold double, label int").coalesce(1)
+        assert sorted(r.label for r in sequence.ttc_cascade(df).collect()) == [0, 1]
